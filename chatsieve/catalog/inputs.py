@@ -26,35 +26,25 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn rows with cut texts, a bad role, a missing text, and copies."""
     turns = conversations(spark, sf_dir)
-    conv = F.col("conv_id")
     last = (
-        turns.where(conv % 11 == 4)
+        turns.where("conv_id % 11 = 4")
         .groupBy("conv_id")
-        .agg(F.max("turn").alias("turn"))
-        .withColumn("is_last", F.lit(True))
-    )
-    copies = (
-        F.when(conv % 10 == 0, F.array(F.lit(0), F.lit(1_000_000), F.lit(2_000_000)))
-        .when(conv % 5 == 0, F.array(F.lit(0), F.lit(1_000_000)))
-        .otherwise(F.array(F.lit(0)))
-    )
-    content = (
-        F.when((conv % 13 == 6) & (F.col("turn") == 0), F.lit(None))
-        .when(conv % 7 == 3, F.substring("content", 1, 3))
-        .otherwise(F.col("content"))
+        .agg(F.expr("max(turn) AS turn"), F.expr("true AS is_last"))
     )
     return (
         turns.join(last, ["conv_id", "turn"], "left")
-        .select(
+        .selectExpr(
             "conv_id",
             "turn",
-            F.when(F.col("is_last"), F.lit("bot")).otherwise(F.col("role")).alias(
-                "role"
-            ),
-            content.alias("content"),
-            F.explode(copies).alias("shift"),
+            "IF(is_last, 'bot', role) AS role",
+            """CASE WHEN conv_id % 13 = 6 AND turn = 0 THEN NULL
+              WHEN conv_id % 7 = 3 THEN substring(content, 1, 3)
+              ELSE content END AS content""",
+            """explode(CASE WHEN conv_id % 10 = 0 THEN array(0, 1000000, 2000000)
+              WHEN conv_id % 5 = 0 THEN array(0, 1000000)
+              ELSE array(0) END) AS shift""",
         )
-        .select((conv + F.col("shift")).alias("conv_id"), "turn", "role", "content")
+        .selectExpr("conv_id + shift AS conv_id", "turn", "role", "content")
     )
 
 
@@ -65,9 +55,10 @@ def chat_lines(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
     """
     lines = to_lines(assemble(chat_input(spark, sf_dir)))
     if cut:
-        short = F.expr("substring(raw, 1, length(raw) - 5)")
-        lines = lines.withColumn(
-            "raw", F.when(F.col("conv_id") % 17 == 5, short).otherwise(F.col("raw"))
+        lines = lines.selectExpr(
+            "conv_id",
+            "part",
+            "IF(conv_id % 17 = 5, substring(raw, 1, length(raw) - 5), raw) AS raw",
         )
     path = scratch_path(spark, "jsonl")
     lines.sort("conv_id", "part").select("raw").write.text(path)
@@ -78,26 +69,23 @@ def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt, base and tuned response of each conversation that opens with a
     user turn and an assistant turn; names repeat."""
     turns = conversations(spark, sf_dir)
-    conv = F.col("conv_id")
-    asked = turns.where("turn = 0 AND role = 'user'").select(
-        "conv_id", F.col("content").alias("question")
-    )
-    answered = turns.where("turn = 1 AND role = 'assistant'").select(
-        "conv_id", F.col("content").alias("answer")
+    asked = turns.where("turn = 0 AND role = 'user'").selectExpr(
+        "conv_id", "content AS question"
     )
-    first_words = F.transform(
-        F.slice(words(F.col("answer")), 1, 3), lambda w: F.upper(w)
+    answered = turns.where("turn = 1 AND role = 'assistant'").selectExpr(
+        "conv_id", "content AS answer"
     )
-    keywords = F.concat(first_words, F.array(F.lit("zzzz")))
-    return asked.join(answered, "conv_id").select(
-        conv.alias("pos"),
-        F.concat(F.lit("p"), (conv % 40).cast("string")).alias("name"),
-        F.col("question").alias("user"),
-        F.when(conv % 3 == 0, F.lit("Be brief.")).alias("system"),
-        F.when(conv % 4 != 0, keywords).alias("expected_keywords"),
-        F.when(conv % 5 == 0, F.lit(64)).alias("max_tokens"),
-        F.expr("substring(answer, 1, cast(conv_id % 600 AS INT))").alias("base"),
-        F.col("answer").alias("tuned"),
+    first_words = f"transform(slice({words('answer')}, 1, 3), w -> upper(w))"
+    return asked.join(answered, "conv_id").selectExpr(
+        "conv_id AS pos",
+        "concat('p', conv_id % 40) AS name",
+        "question AS user",
+        "IF(conv_id % 3 = 0, 'Be brief.', NULL) AS system",
+        f"IF(conv_id % 4 <> 0, concat({first_words}, array('zzzz')), NULL)"
+        " AS expected_keywords",
+        "IF(conv_id % 5 = 0, 64, NULL) AS max_tokens",
+        "substring(answer, 1, CAST(conv_id % 600 AS INT)) AS base",
+        "answer AS tuned",
     )
 
 
@@ -108,4 +96,4 @@ def prompts(rows: DataFrame) -> DataFrame:
 
 
 def responses(rows: DataFrame, model: str) -> DataFrame:
-    return rows.select("pos", "name", F.col(model).alias("response"))
+    return rows.selectExpr("pos", "name", f"{model} AS response")

@@ -50,12 +50,11 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate(features, "conv_id", "conv_id", min_quality=MIN_QUALITY)
 
 
-def line_id(raw: str = "raw") -> list:
-    """Ids of a line as ``to_lines`` writes them, also where its end is cut."""
-    return [
-        F.regexp_extract(raw, r'"id":(\d+)', 1).cast("bigint").alias("conv_id"),
-        F.regexp_extract(raw, r'"part":(\d+)', 1).cast("bigint").alias("part"),
-    ]
+# Ids of a line as ``to_lines`` writes them, also where its end is cut.
+LINE_ID = [
+    """CAST(regexp_extract(raw, '"id":([0-9]+)', 1) AS BIGINT) AS conv_id""",
+    """CAST(regexp_extract(raw, '"part":([0-9]+)', 1) AS BIGINT) AS part""",
+]
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +71,11 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def conversation_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble(inputs.chat_input(spark, sf_dir)).select(
+    return assemble(inputs.chat_input(spark, sf_dir)).selectExpr(
         "conv_id",
         "part",
-        F.size("messages").alias("n_messages"),
-        F.array_join(F.transform("messages", lambda m: m.role), ",").alias("roles"),
+        "size(messages) AS n_messages",
+        "array_join(transform(messages, m -> m.role), ',') AS roles",
     )
 
 
@@ -88,26 +87,22 @@ def conversation_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_jsonl(spark, inputs.chat_lines(spark, sf_dir))
-    return lines.select(
-        F.try_variant_get("sample", "$.id", "bigint").alias("conv_id"),
-        F.try_variant_get("sample", "$.part", "bigint").alias("part"),
-        typed_messages(F.col("sample")).alias("messages"),
-    ).select(
+    return lines.selectExpr(
+        "try_variant_get(sample, '$.id', 'bigint') AS conv_id",
+        "try_variant_get(sample, '$.part', 'bigint') AS part",
+        f"{typed_messages()} AS messages",
+    ).selectExpr(
         "conv_id",
         "part",
-        F.size("messages").alias("n_messages"),
-        F.aggregate(
-            "messages",
-            F.lit(0).cast("bigint"),
-            lambda n, m: n + F.coalesce(F.length(m.content), F.lit(0)),
-        ).alias("chars"),
+        "size(messages) AS n_messages",
+        "aggregate(messages, 0L, (n, m) -> n + coalesce(length(m.content), 0)) AS chars",
     )
 
 
 @registered
 def jsonl_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_jsonl(spark, inputs.chat_lines(spark, sf_dir, cut=True))
-    return malformed(lines).orderBy("ord").limit(5).select(*line_id())
+    return malformed(lines).orderBy("ord").limit(5).selectExpr(*LINE_ID)
 
 
 @registered
@@ -121,8 +116,8 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "roundtrip")
     write_jsonl(first, path)
     return explode_messages(
-        read_jsonl(spark, path).select(
-            *line_id(), typed_messages(F.col("sample")).alias("messages")
+        read_jsonl(spark, path).selectExpr(
+            *LINE_ID, f"{typed_messages()} AS messages"
         )
     )
 
@@ -130,15 +125,17 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def jsonl_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_jsonl(spark, inputs.chat_lines(spark, sf_dir))
-    return measured_lines(lines).select(
-        *line_id(), F.array_join("errors", ",").alias("errors")
+    return measured_lines(lines).selectExpr(
+        *LINE_ID, "array_join(errors, ',') AS errors"
     )
 
 
 @registered
 def jsonl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = measured_lines(read_jsonl(spark, inputs.chat_lines(spark, sf_dir)))
-    return with_quality(lines.where("valid")).select(*line_id(), "quality", "bucket")
+    return with_quality(lines.where("valid")).selectExpr(
+        *LINE_ID, "quality", "bucket"
+    )
 
 
 # --- curation ---------------------------------------------------------------
@@ -244,8 +241,8 @@ def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = inputs.conversations(spark, sf_dir)
-    return assemble(turns).select(
-        "conv_id", "part", render_chat("messages").alias("text")
+    return assemble(turns).selectExpr(
+        "conv_id", "part", f"{render_chat('messages')} AS text"
     )
 
 
@@ -263,11 +260,11 @@ def prepare_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def prompt_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = inputs.prompts(inputs.evaluation_rows(spark, sf_dir)).withColumn(
-        "user", F.when(F.col("pos") % 9 != 0, F.col("user"))
+        "user", F.expr("IF(pos % 9 <> 0, user, NULL)")
     )
-    return evaluate.with_prompt_defaults(prompts).select(
+    return evaluate.with_prompt_defaults(prompts).selectExpr(
         "pos", "name", "system", "max_tokens",
-        F.size("expected_keywords").alias("n_keywords"), "error",
+        "size(expected_keywords) AS n_keywords", "error",
     )
 
 
@@ -276,7 +273,7 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = inputs.prompts(inputs.evaluation_rows(spark, sf_dir))
     return (
         evaluate.prompt_messages(evaluate.with_prompt_defaults(prompts))
-        .select("pos", "name", F.posexplode("messages").alias("i", "m"))
+        .selectExpr("pos", "name", "posexplode(messages) AS (i, m)")
         .select("pos", "name", "i", "m.role", "m.content")
     )
 

@@ -12,36 +12,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # A digest is read as four lanes of 15 hex digits (60 bits), so that each fits a
 # BIGINT: 240 of the 256 bits are used.
 LANES = 4
 LANE_DIGITS = 15
 
 
-def message_digest(position: Column, role: Column, content: Column) -> Column:
+def message_digest(position: str, role: str, content: str) -> str:
     """SHA-256 of an unambiguous text: the role is preceded by its length."""
-    text = F.concat(
-        position.cast("string"), F.lit(":"),
-        F.length(role).cast("string"), F.lit(":"), role, content,
-    )
-    return F.sha2(text, 256)
+    return (
+        f"sha2(concat(CAST({position} AS STRING), ':', "
+        f"CAST(length({role}) AS STRING), ':', {role}, {content}), 256)"
+    )
 
 
-def lane(digest: Column, i: int) -> Column:
+def lane(digest: str, i: int) -> str:
     """Lane ``i`` of a digest as BIGINT."""
-    digits = F.substring(digest, 1 + i * LANE_DIGITS, LANE_DIGITS)
-    return F.conv(digits, 16, 10).cast("bigint")
+    start = 1 + i * LANE_DIGITS
+    return f"CAST(conv(substring({digest}, {start}, {LANE_DIGITS}), 16, 10) AS BIGINT)"
 
 
-def content_key(n_messages: Column, lanes: Sequence[Column]) -> Column:
+def content_key(n_messages: str, lanes: Sequence[str]) -> str:
     """Key of a whole conversation from its message count and XOR-ed lanes."""
-    parts = [n_messages, *lanes]
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    parts = ", ".join(f"CAST({p} AS STRING)" for p in [n_messages, *lanes])
+    return f"sha2(concat_ws('|', {parts}), 256)"
 
 
-def split_key(key: Column, seed: int) -> Column:
+def split_key(key: str, seed: int) -> str:
     """Seeded pseudo-random 64-digit hex key of a content key."""
-    return F.sha2(F.concat(key.cast("string"), F.lit(f"|{seed}")), 256)
+    return f"sha2(concat(CAST({key} AS STRING), '|{seed}'), 256)"

@@ -6,12 +6,7 @@ right in DOUBLE, since the rounding step sees the last bit.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from chatsieve.functions.text import py_round, ratio
+from chatsieve.functions.text import py_round, quoted, ratio
 
 # Fixed values: (upper limit, points); the last entry is for everything above.
 ASSISTANT_LENGTH_BANDS = [(20, 0.0), (100, 0.1), (500, 0.2), (None, 0.3)]
@@ -30,67 +25,73 @@ NO_KEYWORDS_SCORE = 0.5
 RESPONSE_DIVERSITY_WEIGHT = 1.2
 
 
-def banded(x: Column, bands: list[tuple]) -> Column:
-    """Value of the first band whose upper limit exceeds ``x``."""
+def literal(value: float | int | str) -> str:
+    """SQL literal; floats are DOUBLE, not DECIMAL."""
+    if isinstance(value, str):
+        return quoted(value)
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def banded(x: str, bands: list[tuple]) -> str:
+    """Value of the first band whose upper limit exceeds ``x``; NULL for NULL."""
     *limited, (_, rest) = bands
-    value = reduce(
-        lambda acc, band: acc.when(x < F.lit(band[0]), F.lit(band[1])),
-        limited,
-        F.when(x.isNull(), F.lit(None)),
+    whens = " ".join(
+        f"WHEN {x} < {literal(limit)} THEN {literal(value)}" for limit, value in limited
     )
-    return value.otherwise(F.lit(rest))
+    return f"CASE WHEN {x} IS NULL THEN NULL {whens} ELSE {literal(rest)} END"
 
 
-def quality_parts() -> dict[str, Column]:
+def quality_parts() -> dict[str, str]:
     """The five parts s1..s5 of a conversation's score, from feature columns."""
-    c = F.col
-    diversity = ratio(c("n_distinct"), c("n_words")) * F.lit(DIVERSITY_WEIGHT)
+    diversity = f"{ratio('n_distinct', 'n_words')} * {literal(DIVERSITY_WEIGHT)}"
     return {
-        "s1": banded(c("mean_assistant"), ASSISTANT_LENGTH_BANDS),
-        "s2": banded(c("turns"), TURN_BANDS),
-        "s3": F.when(c("has_system"), F.lit(SYSTEM_BONUS)).otherwise(F.lit(0.0)),
-        "s4": banded(c("mean_user"), USER_LENGTH_BANDS),
-        "s5": F.when(
-            c("n_words") > 0, F.least(F.lit(DIVERSITY_LIMIT), diversity)
-        ).otherwise(F.lit(0.0)),
+        "s1": banded("mean_assistant", ASSISTANT_LENGTH_BANDS),
+        "s2": banded("turns", TURN_BANDS),
+        "s3": f"CASE WHEN has_system THEN {literal(SYSTEM_BONUS)} ELSE 0D END",
+        "s4": banded("mean_user", USER_LENGTH_BANDS),
+        "s5": (
+            f"CASE WHEN n_words > 0 THEN least({literal(DIVERSITY_LIMIT)}, {diversity})"
+            " ELSE 0D END"
+        ),
     }
 
 
-def quality_total() -> Column:
-    """Sum of the parts, in their order, from the columns s1..s5."""
-    parts = [F.col(name) for name in ("s1", "s2", "s3", "s4", "s5")]
-    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+def quality() -> str:
+    """Quality in [0, 1] from the parts, which are added in their order.
 
-
-def quality(total: Column) -> Column:
-    """Quality in [0, 1]; 0 where the user or the assistant says nothing."""
-    return F.when(
-        (F.col("n_user") > 0) & (F.col("n_assistant") > 0),
-        F.least(F.lit(1.0), py_round(total, 3)),
-    ).otherwise(F.lit(0.0))
+    It is 0 where the user or the assistant says nothing.
+    """
+    rounded = py_round("0D + s1 + s2 + s3 + s4 + s5", 3)
+    return (
+        f"CASE WHEN n_user > 0 AND n_assistant > 0 THEN least(1D, {rounded})"
+        " ELSE 0D END"
+    )
 
 
-def quality_bucket(score: Column) -> Column:
+def quality_bucket(score: str) -> str:
     """Label of a quality score; a limit itself belongs to the upper bucket."""
     return banded(score, QUALITY_BUCKETS)
 
 
-def length_score(n_chars: Column) -> Column:
+def length_score(n_chars: str) -> str:
     """Band value of a response's stripped length."""
     return banded(n_chars, RESPONSE_LENGTH_BANDS)
 
 
-def keyword_coverage(lowered: Column, keywords: Column) -> Column:
+def keyword_coverage(lowered: str, keywords: str) -> str:
     """Share of keywords found in the lower-cased response; repeats count."""
-    found = F.filter(keywords, lambda k: F.contains(lowered, F.lower(k)))
-    return F.when(
-        F.size(keywords) > 0, ratio(F.size(found), F.size(keywords))
-    ).otherwise(F.lit(NO_KEYWORDS_SCORE))
+    found = f"filter({keywords}, k -> contains({lowered}, lower(k)))"
+    return (
+        f"CASE WHEN size({keywords}) > 0 THEN "
+        f"{ratio(f'size({found})', f'size({keywords})')} "
+        f"ELSE {literal(NO_KEYWORDS_SCORE)} END"
+    )
 
 
-def response_diversity(ws: Column) -> Column:
+def response_diversity(ws: str) -> str:
     """Weighted share of distinct words, at most 1; 0 without words."""
-    share = ratio(F.size(F.array_distinct(ws)), F.size(ws))
-    return F.when(
-        F.size(ws) > 0, F.least(F.lit(1.0), share * F.lit(RESPONSE_DIVERSITY_WEIGHT))
-    ).otherwise(F.lit(0.0))
+    share = ratio(f"size(array_distinct({ws}))", f"size({ws})")
+    return (
+        f"CASE WHEN size({ws}) > 0 THEN "
+        f"least(1D, {share} * {literal(RESPONSE_DIVERSITY_WEIGHT)}) ELSE 0D END"
+    )

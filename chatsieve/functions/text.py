@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The 29 code points that Python's str.strip and str.split treat
 # as whitespace. The \x{...} form is read alike by Java and by RE2.
 WHITESPACE = (
@@ -15,31 +10,38 @@ WHITESPACE = (
 )
 
 
-def strip_ws(text: Column) -> Column:
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def strip_ws(text: str) -> str:
     """Text without whitespace at either end."""
-    return F.regexp_replace(text, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    ends = quoted(rf"\A{WHITESPACE}+|{WHITESPACE}+\z")
+    return f"regexp_replace({text}, {ends}, '')"
 
 
-def words(text: Column) -> Column:
+def words(text: str) -> str:
     """Lower-cased whitespace-separated words, in order."""
-    return F.filter(F.split(F.lower(text), f"{WHITESPACE}+"), lambda w: w != "")
+    return f"filter(split(lower({text}), {quoted(WHITESPACE + '+')}), w -> w <> '')"
 
 
-def ratio(part: Column, whole: Column) -> Column:
+def ratio(part: str, whole: str) -> str:
     """``part / whole`` as DOUBLE, NULL where ``whole`` is 0."""
-    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
+    return f"(CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D))"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once.
 
-    A Column that is used several times is otherwise worked out at each use, and
+    An expression that is used several times may be worked out at each use, and
     nested uses multiply.
     """
-    return F.transform(F.array(value), body)[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def py_round(x: Column, digits: int) -> Column:
+def py_round(x: str, digits: int) -> str:
     """Round a DOUBLE to 1 or 3 digits as Python does: exact value, ties to even.
 
     Spark's ``round`` and ``bround`` work on the printed decimal, so they move
@@ -51,30 +53,18 @@ def py_round(x: Column, digits: int) -> Column:
     if digits not in (1, 3):
         raise ValueError("py_round is exact for 1 and 3 digits only")
     ten = 10**digits
-    unit = F.lit(1).cast("bigint")
-
-    def from_quotient(q: Column, scaled: Column, one: Column) -> Column:
-        twice = (scaled - q * one) * 2
-        up = (twice > one) | ((twice == one) & (q % 2 == 1))
-        return (q + up.cast("bigint")).cast("double") / F.lit(float(ten))
-
-    def from_unit(one: Column, size: Column) -> Column:
-        m = (size * one.cast("double")).cast("bigint")
-        return let(
-            m * ten,
-            lambda scaled: let(
-                F.call_function("div", scaled, one),
-                lambda q: from_quotient(q, scaled, one),
-            ),
-        )
-
-    def from_size(size: Column) -> Column:
-        k = (F.lit(52) - F.floor(F.log2(size))).cast("int")
-        return F.when(size < F.lit(2.0**-10), F.round(size, digits)).otherwise(
-            let(
-                F.call_function("shiftleft", unit, k),
-                lambda one: from_unit(one, size),
-            )
-        )
-
-    return let(x, lambda v: let(F.abs(v), from_size) * F.sign(v))
+    twice_rest = "2 * (scaled_ - quot_ * unit_)"
+    up = f"{twice_rest} > unit_ OR ({twice_rest} = unit_ AND quot_ % 2 = 1)"
+    result = f"CAST(quot_ + CAST({up} AS BIGINT) AS DOUBLE) / {ten}D"
+    exact = let(
+        "unit_",
+        "shiftleft(1L, CAST(52 - floor(log2(size_)) AS INT))",
+        let(
+            "scaled_",
+            f"CAST(size_ * CAST(unit_ AS DOUBLE) AS BIGINT) * {ten}L",
+            let("quot_", "scaled_ div unit_", result),
+        ),
+    )
+    small = f"round(size_, {digits})"
+    unsigned = f"CASE WHEN size_ < {2.0**-10}D THEN {small} ELSE {exact} END"
+    return let("x_", x, f"{let('size_', 'abs(x_)', unsigned)} * sign(x_)")

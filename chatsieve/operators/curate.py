@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatsieve.functions import scoring
 from chatsieve.operators.features import FEATURES, with_means
+from chatsieve.operators.validate import aggregates
 
 # The defaults of the curation thresholds.
 MIN_QUALITY = 0.3
@@ -24,36 +25,31 @@ def dedup_first(features: DataFrame, id_col: str, order_col: str) -> DataFrame:
     """
     measures = [c for c in FEATURES if c not in ("key", "valid")]
     first = (
-        F.min(id_col)
-        if id_col == order_col
-        else F.min_by(F.col(id_col), F.col(order_col))
+        f"min({id_col})" if id_col == order_col else f"min_by({id_col}, {order_col})"
     )
-    return features.groupBy(
-        "valid", F.when(F.col("valid"), F.col("key")).alias("key")
-    ).agg(
-        first.alias(id_col),
-        *[F.any_value(c).alias(c) for c in measures],
-        F.count("*").alias("copies"),
+    return features.groupBy("valid", F.expr("CASE WHEN valid THEN key END AS key")).agg(
+        *aggregates(
+            {
+                id_col: first,
+                **{c: f"any_value({c})" for c in measures},
+                "copies": "count(*)",
+            }
+        )
     )
 
 
 def with_parts(features: DataFrame) -> DataFrame:
     """Add the score parts ``s1``..``s5`` (and their inputs)."""
-    return with_means(features).withColumns(scoring.quality_parts())
+    parts = [f"{sql} AS {name}" for name, sql in scoring.quality_parts().items()]
+    return with_means(features).selectExpr("*", *parts)
 
 
 def with_quality(features: DataFrame) -> DataFrame:
-    """Add ``quality`` and ``bucket``.
-
-    The sum is a column of its own, so that the rounding reads it and does not
-    work it out again at each of its uses.
-    """
+    """Add ``quality`` and ``bucket``."""
     return (
         with_parts(features)
-        .withColumn("_total", scoring.quality_total())
-        .withColumn("quality", scoring.quality(F.col("_total")))
-        .withColumn("bucket", scoring.quality_bucket(F.col("quality")))
-        .drop("_total")
+        .selectExpr("*", f"{scoring.quality()} AS quality")
+        .selectExpr("*", f"{scoring.quality_bucket('quality')} AS bucket")
     )
 
 
@@ -63,12 +59,11 @@ def with_drop_reason(
     min_assistant_length: float = MIN_ASSISTANT_LENGTH,
 ) -> DataFrame:
     """Add ``drop_reason``: NULL for kept rows; quality is tested first."""
-    return scored.withColumn(
-        "drop_reason",
-        F.when(F.col("quality") < F.lit(min_quality), F.lit("low_quality")).when(
-            F.col("mean_assistant") < F.lit(float(min_assistant_length)),
-            F.lit("short_assistant"),
-        ),
+    return scored.selectExpr(
+        "*",
+        f"CASE WHEN quality < {float(min_quality)!r}D THEN 'low_quality' "
+        f"WHEN mean_assistant < {float(min_assistant_length)!r}D "
+        "THEN 'short_assistant' END AS drop_reason",
     )
 
 
@@ -86,4 +81,4 @@ def curate(
 
 def kept(curated: DataFrame) -> DataFrame:
     """Rows that pass validation, deduplication and both thresholds."""
-    return curated.where(F.col("valid") & F.col("drop_reason").isNull())
+    return curated.where("valid AND drop_reason IS NULL")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chatsieve.functions import scoring
 from chatsieve.functions.text import py_round, strip_ws, words
+from chatsieve.operators.validate import aggregates
 
 # Defaults of a prompt, and the length of a response preview.
 DEFAULT_SYSTEM = ""
@@ -16,33 +16,26 @@ PREVIEW_CHARS = 500
 
 def with_prompt_defaults(prompts: DataFrame) -> DataFrame:
     """Fill absent optional fields; ``error`` names a missing required one."""
-    no_keywords = F.array().cast("array<string>")
-    return prompts.withColumns(
-        {
-            "system": F.coalesce("system", F.lit(DEFAULT_SYSTEM)),
-            "expected_keywords": F.coalesce("expected_keywords", no_keywords),
-            "max_tokens": F.coalesce("max_tokens", F.lit(DEFAULT_MAX_TOKENS)),
-            "error": F.when(F.col("name").isNull(), F.lit("missing_name")).when(
-                F.col("user").isNull(), F.lit("missing_user")
-            ),
-        }
+    return prompts.selectExpr(
+        "pos",
+        "name",
+        "user",
+        f"coalesce(system, '{DEFAULT_SYSTEM}') AS system",
+        "coalesce(expected_keywords, CAST(array() AS ARRAY<STRING>))"
+        " AS expected_keywords",
+        f"coalesce(max_tokens, {DEFAULT_MAX_TOKENS}) AS max_tokens",
+        "CASE WHEN name IS NULL THEN 'missing_name' "
+        "WHEN user IS NULL THEN 'missing_user' END AS error",
     )
 
 
 def prompt_messages(prompts: DataFrame) -> DataFrame:
     """Add ``messages``: an optional system message, then the user message."""
-
-    def message(role: str, content: str):
-        return F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
-
-    return prompts.withColumn(
-        "messages",
-        F.array_compact(
-            F.array(
-                F.when(F.col("system") != "", message("system", "system")),
-                message("user", "user"),
-            )
-        ),
+    return prompts.selectExpr(
+        "*",
+        "array_compact(array("
+        "IF(system <> '', struct('system' AS role, system AS content), NULL), "
+        "struct('user' AS role, user AS content))) AS messages",
     )
 
 
@@ -52,29 +45,25 @@ def with_response_features(
     keywords: str = "expected_keywords",
     prefix: str = "",
 ) -> DataFrame:
-    """Add length score, keyword coverage and diversity of a response column.
+    """Add ``length_score``, ``coverage``, ``diversity``, ``blank`` of a response.
 
     The lower-cased text and the word list are columns first, so each is made
     once.
     """
     low, ws, n = f"_{prefix}lower", f"_{prefix}words", f"_{prefix}chars"
     return (
-        rows.withColumns(
-            {
-                low: F.lower(response),
-                ws: words(F.col(response)),
-                n: F.length(strip_ws(F.col(response))),
-            }
+        rows.selectExpr(
+            "*",
+            f"lower({response}) AS {low}",
+            f"{words(response)} AS {ws}",
+            f"length({strip_ws(response)}) AS {n}",
         )
-        .withColumns(
-            {
-                f"{prefix}length_score": scoring.length_score(F.col(n)),
-                f"{prefix}coverage": scoring.keyword_coverage(
-                    F.col(low), F.col(keywords)
-                ),
-                f"{prefix}diversity": scoring.response_diversity(F.col(ws)),
-                f"{prefix}blank": F.coalesce(F.col(n), F.lit(0)) == 0,
-            }
+        .selectExpr(
+            "*",
+            f"{scoring.length_score(n)} AS {prefix}length_score",
+            f"{scoring.keyword_coverage(low, keywords)} AS {prefix}coverage",
+            f"{scoring.response_diversity(ws)} AS {prefix}diversity",
+            f"coalesce({n}, 0) = 0 AS {prefix}blank",
         )
         .drop(low, ws, n)
     )
@@ -88,18 +77,11 @@ def with_response_score(
 ) -> DataFrame:
     """Add ``score``: the mean of the three parts, 0 for a blank response."""
     parts = [f"{prefix}{p}" for p in ("length_score", "coverage", "diversity")]
-    total = f"_{prefix}total"
-    mean = (F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2])) / F.lit(3.0)
+    mean = py_round(f"({' + '.join(parts)}) / 3D", 3)
     return (
         with_response_features(rows, response, keywords, prefix)
-        .withColumn(total, mean)
-        .withColumn(
-            f"{prefix}score",
-            F.when(F.col(f"{prefix}blank"), F.lit(0.0)).otherwise(
-                py_round(F.col(total), 3)
-            ),
-        )
-        .drop(total, *parts, f"{prefix}blank")
+        .selectExpr("*", f"IF({prefix}blank, 0D, {mean}) AS {prefix}score")
+        .drop(*parts, f"{prefix}blank")
     )
 
 
@@ -110,7 +92,7 @@ def last_per_name(base: DataFrame) -> DataFrame:
     reaches the reducer as one row per map task.
     """
     return base.groupBy("name").agg(
-        F.max_by("response", "pos").alias("response"), F.max("pos").alias("pos")
+        *aggregates({"response": "max_by(response, pos)", "pos": "max(pos)"})
     )
 
 
@@ -120,45 +102,38 @@ def compare(prompts: DataFrame, base: DataFrame, tuned: DataFrame) -> DataFrame:
     Each tuned row keeps its own prompt (same position); all prompts of one name
     share that name's last base response.
     """
+    last = last_per_name(base).selectExpr("name", "response AS base_response")
     paired = (
         prompts.select("pos", "name", "user", "expected_keywords")
         .join(
-            tuned.select("pos", "name", F.col("response").alias("tuned_response")),
+            tuned.selectExpr("pos", "name", "response AS tuned_response"),
             ["pos", "name"],
         )
-        .join(
-            last_per_name(base).select(
-                "name", F.col("response").alias("base_response")
-            ),
-            "name",
-        )
+        .join(last, "name")
     )
     scored = with_response_score(paired, "base_response", prefix="base_")
     scored = with_response_score(scored, "tuned_response", prefix="tuned_")
-    return scored.select(
+    return scored.selectExpr(
         "pos",
-        F.col("name").alias("prompt_name"),
-        F.col("user").alias("user_input"),
+        "name AS prompt_name",
+        "user AS user_input",
         "base_response",
         "tuned_response",
         "base_score",
         "tuned_score",
-        F.round(F.col("tuned_score") - F.col("base_score"), 3).alias("improvement"),
+        "round(tuned_score - base_score, 3) AS improvement",
     )
 
 
 def report(results: DataFrame) -> DataFrame:
     """Direction of the improvement and a preview of both responses."""
-    gain = F.col("improvement")
-    return results.select(
+    return results.selectExpr(
         "pos",
         "prompt_name",
-        F.when(gain > 0, F.lit("up"))
-        .when(gain < 0, F.lit("down"))
-        .otherwise(F.lit("same"))
-        .alias("label"),
-        F.substring("base_response", 1, PREVIEW_CHARS).alias("base_preview"),
-        F.substring("tuned_response", 1, PREVIEW_CHARS).alias("tuned_preview"),
+        "CASE WHEN improvement > 0 THEN 'up' WHEN improvement < 0 THEN 'down' "
+        "ELSE 'same' END AS label",
+        f"substring(base_response, 1, {PREVIEW_CHARS}) AS base_preview",
+        f"substring(tuned_response, 1, {PREVIEW_CHARS}) AS tuned_preview",
     )
 
 
@@ -168,16 +143,17 @@ def summary(results: DataFrame) -> DataFrame:
     An improvement has three digits, so it is summed in whole thousandths: the
     mean is the same whatever the order of the rows.
     """
-    gain = F.col("improvement")
-    milli = F.round(gain * 1000).cast("bigint")
-    sums = results.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(milli), F.lit(0)).alias("_milli"),
-        F.count_if(gain > 0).alias("up"),
-        F.count_if(gain == 0).alias("same"),
-        F.count_if(gain < 0).alias("down"),
-    )
-    mean = F.col("_milli").cast("double") / (
-        F.lit(1000.0) * F.greatest("n", F.lit(1)).cast("double")
+    return results.selectExpr(
+        "count(*) AS n",
+        "coalesce(sum(CAST(round(improvement * 1000) AS BIGINT)), 0L) AS milli",
+        "count_if(improvement > 0) AS up",
+        "count_if(improvement = 0) AS same",
+        "count_if(improvement < 0) AS down",
+    ).selectExpr(
+        "n",
+        "CAST(milli AS DOUBLE) / (1000D * CAST(greatest(n, 1L) AS DOUBLE))"
+        " AS mean_improvement",
+        "up",
+        "same",
+        "down",
     )
-    return sums.select("n", mean.alias("mean_improvement"), "up", "same", "down")

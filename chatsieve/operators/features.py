@@ -9,12 +9,11 @@ assistant_chars, n_words, n_distinct, key, valid``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from chatsieve.functions.keys import LANES, content_key, lane, message_digest
 from chatsieve.functions.text import ratio, words
-from chatsieve.operators.validate import conversation_counts, is_valid
+from chatsieve.operators.validate import CONVERSATION_COUNTS, IS_VALID, aggregates
 from chatsieve.storage import broadcast_if_small
 
 FEATURES = [
@@ -26,22 +25,16 @@ FEATURES = [
 # shuffle; a shorter one has its word sets merged in one bounded group.
 LONG_TURNS = 1000
 
-
-def contents_of(messages: Column | str, role: str) -> Column:
-    """Contents of one role's messages, in order."""
-    return F.transform(
-        F.filter(messages, lambda m: m.role == role), lambda m: m.content
-    )
+_LANES = [f"_lane{i}" for i in range(LANES)]
 
 
-def _chars(texts: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.aggregate(texts, zero, lambda acc, t: acc + F.length(t))
+def contents_of(messages: str, role: str) -> str:
+    """Contents of one role's messages, in order."""
+    return f"transform(filter({messages}, m -> m.role = '{role}'), m -> m.content)"
 
 
-def _xor_lane(digests: Column, i: int) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.aggregate(digests, zero, lambda acc, d: acc.bitwiseXOR(lane(d, i)))
+def _chars(texts: str) -> str:
+    return f"aggregate({texts}, 0L, (n, t) -> n + length(t))"
 
 
 def sample_features(samples: DataFrame) -> DataFrame:
@@ -50,80 +43,68 @@ def sample_features(samples: DataFrame) -> DataFrame:
     Rows whose ``messages`` is NULL (invalid samples) get ``valid = false`` and
     NULL measures.
     """
-    lists = samples.withColumns(
-        {
-            "_user": contents_of("messages", "user"),
-            "_assistant": contents_of("messages", "assistant"),
-            "_system": contents_of("messages", "system"),
-            "_digests": F.transform(
-                "messages", lambda m, i: message_digest(i, m.role, m.content)
-            ),
-        }
-    ).withColumn("_words", words(F.array_join("_assistant", " ")))
-    n_messages = F.size("messages").cast("bigint")
-    lanes = [_xor_lane(F.col("_digests"), i) for i in range(LANES)]
-    return lists.withColumns(
-        {
-            "n_messages": n_messages,
-            "n_user": F.size("_user").cast("bigint"),
-            "n_assistant": F.size("_assistant").cast("bigint"),
-            "n_system": F.size("_system").cast("bigint"),
-            "user_chars": _chars(F.col("_user")),
-            "assistant_chars": _chars(F.col("_assistant")),
-            "n_words": F.size("_words").cast("bigint"),
-            "n_distinct": F.size(F.array_distinct("_words")).cast("bigint"),
-            "key": F.when(n_messages.isNotNull(), content_key(n_messages, lanes)),
-            "valid": F.col("messages").isNotNull(),
-        }
-    ).drop("_user", "_assistant", "_system", "_digests", "_words")
+    digest = message_digest("i", "m.role", "m.content")
+    lanes = [
+        f"aggregate(_digests, 0L, (acc, d) -> acc ^ {lane('d', i)})"
+        for i in range(LANES)
+    ]
+    key = content_key("n_messages", lanes)
+    return (
+        samples.selectExpr(
+            "*",
+            f"{contents_of('messages', 'user')} AS _user",
+            f"{contents_of('messages', 'assistant')} AS _said",
+            f"transform(messages, (m, i) -> {digest}) AS _digests",
+        )
+        .selectExpr("*", f"{words("array_join(_said, ' ')")} AS _words")
+        .selectExpr(
+            "*",
+            "CAST(size(messages) AS BIGINT) AS n_messages",
+            "CAST(size(_user) AS BIGINT) AS n_user",
+            "CAST(size(_said) AS BIGINT) AS n_assistant",
+            "CAST(size(filter(messages, m -> m.role = 'system')) AS BIGINT)"
+            " AS n_system",
+            f"{_chars('_user')} AS user_chars",
+            f"{_chars('_said')} AS assistant_chars",
+            "CAST(size(_words) AS BIGINT) AS n_words",
+            "CAST(size(array_distinct(_words)) AS BIGINT) AS n_distinct",
+            f"CASE WHEN messages IS NOT NULL THEN {key} END AS key",
+            "messages IS NOT NULL AS valid",
+        )
+        .drop("_user", "_said", "_digests", "_words")
+    )
 
 
 def _measured(turns: DataFrame) -> DataFrame:
     """Per-turn measures; the text itself goes no further than this step."""
-    said = F.col("role") == "assistant"
-    return (
-        turns.withColumns(
-            {
-                "_words": F.when(said, words(F.col("content"))),
-                "_digest": message_digest(
-                    F.col("turn"), F.col("role"), F.col("content")
-                ),
-            }
-        )
-        .withColumns({f"_lane{i}": lane(F.col("_digest"), i) for i in range(LANES)})
-        .withColumns(
-            {
-                "_chars": F.length("content").cast("bigint"),
-                "_n_words": F.size("_words").cast("bigint"),
-                "_vocabulary": F.array_distinct("_words"),
-            }
-        )
-        .select(
-            "conv_id",
-            "role",
-            # Only the null-ness of the content is still of interest.
-            F.when(F.col("content").isNotNull(), F.lit("")).alias("content"),
-            "_chars",
-            "_n_words",
-            "_vocabulary",
-            *[f"_lane{i}" for i in range(LANES)],
-        )
+    digest = message_digest("turn", "role", "content")
+    return turns.selectExpr(
+        "*",
+        f"CASE WHEN role = 'assistant' THEN {words('content')} END AS _words",
+        f"{digest} AS _digest",
+    ).selectExpr(
+        "conv_id",
+        "role",
+        # Only the null-ness of the content is still of interest.
+        "CASE WHEN content IS NOT NULL THEN '' END AS content",
+        "CAST(length(content) AS BIGINT) AS _chars",
+        "CAST(size(_words) AS BIGINT) AS _n_words",
+        "array_distinct(_words) AS _vocabulary",
+        *[f"{lane('_digest', i)} AS {name}" for i, name in enumerate(_LANES)],
     )
 
 
-def _sums() -> list[Column]:
-    role, chars = F.col("role"), F.col("_chars")
-    zero = F.lit(0).cast("bigint")
-    return [
-        *conversation_counts(),
-        F.count_if(role == "system").alias("n_system"),
-        F.sum(F.when(role == "user", chars).otherwise(zero)).alias("user_chars"),
-        F.sum(F.when(role == "assistant", chars).otherwise(zero)).alias(
-            "assistant_chars"
-        ),
-        F.coalesce(F.sum("_n_words"), zero).alias("n_words"),
-        *[F.bit_xor(f"_lane{i}").alias(f"_lane{i}") for i in range(LANES)],
-    ]
+_SUMS = {
+    **CONVERSATION_COUNTS,
+    "n_system": "count_if(role = 'system')",
+    "user_chars": "sum(CASE WHEN role = 'user' THEN _chars ELSE 0L END)",
+    "assistant_chars": "sum(CASE WHEN role = 'assistant' THEN _chars ELSE 0L END)",
+    "n_words": "coalesce(sum(_n_words), 0L)",
+    **{name: f"bit_xor({name})" for name in _LANES},
+}
+_MERGED = (
+    "CAST(size(array_distinct(flatten(collect_list(_vocabulary)))) AS BIGINT)"
+)
 
 
 def conversation_features(
@@ -135,53 +116,57 @@ def conversation_features(
     more, if the table has any, take a second way whose every step combines
     map-side: their distinct words are counted by (conversation, word).
     """
-    long_ids = turns.where(F.col("turn") >= long_turns).select("conv_id").distinct()
+    long_ids = turns.where(f"turn >= {long_turns}").select("conv_id").distinct()
     has_long = not long_ids.isEmpty()
     short = turns
     if has_long:
         long_ids = broadcast_if_small(long_ids)
         short = turns.join(long_ids, "conv_id", "left_anti")
-    vocabulary = F.array_distinct(F.flatten(F.collect_list("_vocabulary")))
     features = (
         _measured(short)
         .groupBy("conv_id")
-        .agg(*_sums(), F.size(vocabulary).cast("bigint").alias("n_distinct"))
+        .agg(*aggregates({**_SUMS, "n_distinct": _MERGED}))
     )
     if has_long:
         measured = _measured(turns.join(long_ids, "conv_id", "left_semi"))
         distinct = (
-            measured.select("conv_id", F.explode("_vocabulary").alias("word"))
+            measured.selectExpr("conv_id", "explode(_vocabulary) AS word")
             .distinct()
             .groupBy("conv_id")
-            .agg(F.count("*").alias("n_distinct"))
+            .agg(*aggregates({"_n": "count(*)"}))
         )
         features = features.unionByName(
             measured.groupBy("conv_id")
-            .agg(*_sums())
+            .agg(*aggregates(_SUMS))
             .join(distinct, "conv_id", "left")
-            .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+            .selectExpr("*", "coalesce(_n, 0L) AS n_distinct")
+            .drop("_n")
         )
-    lanes = [F.col(f"_lane{i}") for i in range(LANES)]
-    return features.withColumns(
-        {"key": content_key(F.col("n_messages"), lanes), "valid": is_valid()}
-    ).select("conv_id", *FEATURES)
+    plain = [c for c in FEATURES if c not in ("key", "valid")]
+    return features.selectExpr(
+        "conv_id",
+        *plain,
+        f"{content_key('n_messages', _LANES)} AS key",
+        f"{IS_VALID} AS valid",
+    )
+
+
+# Inputs of the score: turn count, system flag and mean lengths.
+MEANS = [
+    "n_system > 0 AS has_system",
+    "n_user + n_assistant AS turns",
+    f"{ratio('user_chars', 'n_user')} AS mean_user",
+    f"{ratio('assistant_chars', 'n_assistant')} AS mean_assistant",
+]
 
 
 def with_means(features: DataFrame) -> DataFrame:
-    """Add the inputs of the score: turn count, system flag, mean lengths."""
-    c = F.col
-    return features.withColumns(
-        {
-            "has_system": c("n_system") > 0,
-            "turns": c("n_user") + c("n_assistant"),
-            "mean_user": ratio(c("user_chars"), c("n_user")),
-            "mean_assistant": ratio(c("assistant_chars"), c("n_assistant")),
-        }
-    )
+    """Add the inputs of the score."""
+    return features.selectExpr("*", *MEANS)
 
 
 def role_totals(turns: DataFrame) -> DataFrame:
     """``conv_id, role, n, chars`` per role of each conversation."""
     return turns.groupBy("conv_id", "role").agg(
-        F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")
+        *aggregates({"n": "count(*)", "chars": "sum(length(content))"})
     )

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from chatsieve.functions.text import quoted
 
 # Fixed value: one message in ChatML form.
 CHATML = "<|im_start|>{role}\n{content}<|im_end|>\n"
 
 
-def render_message(role: Column, content: Column, template: str = CHATML) -> Column:
-    """One message through a template with ``{role}`` and ``{content}``."""
+def render_message(role: str, content: str, template: str = CHATML) -> str:
+    """One message through a template with ``{role}`` and then ``{content}``."""
     before, rest = template.split("{role}")
     between, after = rest.split("{content}")
-    return F.concat(F.lit(before), role, F.lit(between), content, F.lit(after))
+    return (
+        f"concat({quoted(before)}, {role}, {quoted(between)}, {content}, "
+        f"{quoted(after)})"
+    )
 
 
-def render_chat(messages: Column | str, template: str = CHATML) -> Column:
+def render_chat(messages: str, template: str = CHATML) -> str:
     """All messages of a nested row as one text, no generation prompt."""
-    return F.array_join(
-        F.transform(messages, lambda m: render_message(m.role, m.content, template)),
-        "",
-    )
+    message = render_message("m.role", "m.content", template)
+    return f"array_join(transform({messages}, m -> {message}), '')"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.functions.keys import split_key
@@ -19,11 +19,7 @@ def train_size(n: int, eval_ratio: float) -> int:
     return max(1, int(n * (1 - eval_ratio)))
 
 
-def _label(is_train: Column) -> Column:
-    return F.when(is_train, F.lit("train")).otherwise(F.lit("eval"))
-
-
-def _cut(ranks: DataFrame, eval_ratio: float) -> str | None:
+def _cut(ranks: DataFrame, eval_ratio: float, max_tail: int) -> str | None:
     """The last train rank: the k-th smallest value, found by radix selection.
 
     Each round counts rows per next few digits below the known prefix (one
@@ -34,16 +30,10 @@ def _cut(ranks: DataFrame, eval_ratio: float) -> str | None:
     prefix, k = "", None
     while True:
         below = ranks.where(F.col("rank").startswith(prefix)) if prefix else ranks
-        depth = len(prefix) + DIGITS
-        groups = (
-            below.groupBy(F.substring("rank", 1, depth).alias("head"))
-            .agg(F.count("*").alias("n"))
-            .collect()
-        )
+        head = F.expr(f"substring(rank, 1, {len(prefix) + DIGITS}) AS head")
+        groups = below.groupBy(head).agg(F.count("*").alias("n")).collect()
         if k is None:
             n = sum(g.n for g in groups)
-            if n == 0:
-                return None
             k = train_size(n, eval_ratio)
             if k >= n:
                 return None
@@ -52,7 +42,7 @@ def _cut(ranks: DataFrame, eval_ratio: float) -> str | None:
                 break
             k -= group.n
         prefix = group.head
-        if group.n <= MAX_TAIL:
+        if group.n <= max_tail:
             tail = ranks.where(F.col("rank").startswith(prefix))
             return tail.orderBy("rank").limit(k).agg(F.max("rank")).first()[0]
 
@@ -63,6 +53,7 @@ def split_exact(
     key_col: str = "key",
     eval_ratio: float = 0.1,
     seed: int = 42,
+    max_tail: int = MAX_TAIL,
 ) -> DataFrame:
     """Add ``split``: exactly ``train_size`` rows are ``train``.
 
@@ -72,14 +63,11 @@ def split_exact(
     not a long lineage. A ratio outside (0, 1) puts every row into train.
     """
     if not 0.0 < eval_ratio < 1.0:
-        return samples.withColumn("split", F.lit("train"))
-    rank = F.concat(
-        split_key(F.col(key_col), seed), split_key(F.col(id_col), seed)
-    ).alias("rank")
-    cut = _cut(samples.select(rank), eval_ratio)
-    return samples.withColumn(
-        "split", F.lit("train") if cut is None else _label(rank <= F.lit(cut))
-    )
+        return samples.selectExpr("*", "'train' AS split")
+    rank = f"concat({split_key(key_col, seed)}, {split_key(id_col, seed)})"
+    cut = _cut(samples.selectExpr(f"{rank} AS rank"), eval_ratio, max_tail)
+    is_train = "true" if cut is None else f"{rank} <= '{cut}'"
+    return samples.selectExpr("*", f"IF({is_train}, 'train', 'eval') AS split")
 
 
 def split_hash(
@@ -91,7 +79,7 @@ def split_hash(
     parts is approximate.
     """
     if not 0.0 < eval_ratio < 1.0:
-        return samples.withColumn("split", F.lit("train"))
-    head = F.conv(F.substring(split_key(F.col(key_col), seed), 1, 8), 16, 10)
+        return samples.selectExpr("*", "'train' AS split")
+    head = f"CAST(conv(substring({split_key(key_col, seed)}, 1, 8), 16, 10) AS BIGINT)"
     limit = int(eval_ratio * 2**32)
-    return samples.withColumn("split", _label(head.cast("bigint") >= F.lit(limit)))
+    return samples.selectExpr("*", f"IF({head} < {limit}L, 'eval', 'train') AS split")

@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.functions.text import py_round, ratio
 from chatsieve.operators.curate import kept
 
 
-def _sum_where(value: Column, condition: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.coalesce(F.sum(F.when(condition, value).otherwise(zero)), zero)
-
-
 def counters(curated: DataFrame) -> DataFrame:
     """One row of counts, from raw samples to kept ones.
 
     ``invalid_removed`` is the part the other counters leave over.
     """
-    valid, copies = F.col("valid"), F.col("copies")
-    return curated.agg(
-        _sum_where(copies, F.lit(True)).alias("total_raw"),
-        _sum_where(copies, ~valid).alias("invalid_removed"),
-        _sum_where(copies - 1, valid).alias("duplicates_removed"),
-        F.count_if(valid & F.col("drop_reason").isNotNull()).alias(
-            "low_quality_removed"
-        ),
-        F.count_if(valid & F.col("drop_reason").isNull()).alias("total_filtered"),
+    return curated.selectExpr(
+        "coalesce(sum(copies), 0L) AS total_raw",
+        "coalesce(sum(IF(valid, 0L, copies)), 0L) AS invalid_removed",
+        "coalesce(sum(IF(valid, copies - 1, 0L)), 0L) AS duplicates_removed",
+        "count_if(valid AND drop_reason IS NOT NULL) AS low_quality_removed",
+        "count_if(valid AND drop_reason IS NULL) AS total_filtered",
     )
 
 
 def role_distribution(curated: DataFrame) -> DataFrame:
     """``role, n``: messages per role over kept samples, roles in order."""
-    sums = kept(curated).agg(
-        *[F.sum(f"n_{r}").alias(r) for r in ("assistant", "system", "user")]
-    )
     return (
-        sums.unpivot([], ["assistant", "system", "user"], "role", "n")
-        .where(F.col("n") > 0)
+        kept(curated)
+        .selectExpr(
+            "sum(n_assistant) AS assistant", "sum(n_system) AS system",
+            "sum(n_user) AS user",
+        )
+        .selectExpr(
+            "stack(3, 'assistant', assistant, 'system', system, 'user', user)"
+            " AS (role, n)"
+        )
+        .where("n > 0")
         .orderBy("role")
-    )
+    )
 
 
 def quality_histogram(curated: DataFrame) -> DataFrame:
@@ -55,21 +52,13 @@ def quality_histogram(curated: DataFrame) -> DataFrame:
 
 def averages(curated: DataFrame) -> DataFrame:
     """Mean messages per kept sample and mean lengths per message, one digit."""
-    sums = kept(curated).agg(
-        F.count("*").alias("n"),
-        *[
-            F.sum(c).alias(c)
-            for c in (
-                "n_messages", "n_user", "user_chars", "n_assistant", "assistant_chars",
-            )
-        ],
-    )
-    c = F.col
-    means = sums.select(
-        ratio(c("n_messages"), c("n")).alias("avg_turns"),
-        ratio(c("user_chars"), c("n_user")).alias("avg_user_length"),
-        ratio(c("assistant_chars"), c("n_assistant")).alias("avg_assistant_length"),
-    )
-    return means.select(
-        *[F.coalesce(py_round(c(m), 1), F.lit(0.0)).alias(m) for m in means.columns]
+    means = {
+        "avg_turns": ratio("sum(n_messages)", "count(*)"),
+        "avg_user_length": ratio("sum(user_chars)", "sum(n_user)"),
+        "avg_assistant_length": ratio("sum(assistant_chars)", "sum(n_assistant)"),
+    }
+    return (
+        kept(curated)
+        .selectExpr(*[f"{sql} AS {name}" for name, sql in means.items()])
+        .selectExpr(*[f"coalesce({py_round(m, 1)}, 0D) AS {m}" for m in means])
     )

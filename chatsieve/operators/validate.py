@@ -6,52 +6,47 @@ the others are reported side by side, those of message i with ``@i``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatsieve.functions.text import let, quoted
+
 # The roles a message may have, and the least number of messages.
 ROLES = ["system", "user", "assistant"]
 MIN_MESSAGES = 2
 
+_KNOWN = ", ".join(quoted(role) for role in ROLES)
+
 
-def _is_type(value: Column, prefix: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(prefix), F.lit(False))
+def _is_type(value: str, prefix: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({value}), '{prefix}'), false)"
 
 
-def _field(value: Column, name: str) -> Column:
+def _field(value: str, name: str) -> str:
     """A field as VARIANT: NULL if absent, a non-NULL variant for JSON null."""
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def _text(value: Column) -> Column:
-    """The field's text if it is a JSON string, else NULL."""
-    return F.when(_is_type(value, "STRING"), F.try_variant_get(value, "$", "string"))
-
-
-def _message_faults(m: Column, i: Column) -> Column:
-    role, content = _field(m, "role"), _field(m, "content")
-    at = F.concat(F.lit("@"), i.cast("string"))
-    not_object = role.isNull() & content.isNull() & ~_is_type(m, "OBJECT")
-    known_role = F.coalesce(_text(role).isin(ROLES), F.lit(False))
-    return F.when(
-        not_object, F.array(F.concat(F.lit("message_not_object"), at))
-    ).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(role.isNull(), F.concat(F.lit("missing_role"), at)).when(
-                    ~known_role, F.concat(F.lit("invalid_role"), at)
-                ),
-                F.when(content.isNull(), F.concat(F.lit("missing_content"), at)).when(
-                    ~_is_type(content, "STRING"),
-                    F.concat(F.lit("content_not_string"), at),
-                ),
-            )
-        )
-    )
+    return f"try_variant_get({value}, '$.{name}', 'variant')"
 
 
-def _lacks(roles: Column, role: str, code: str) -> Column:
-    return F.when(~F.array_contains(roles, role), F.lit(code))
+def _text(value: str) -> str:
+    """The text of a JSON string, NULL for any other value."""
+    text = f"try_variant_get({value}, '$', 'string')"
+    return f"CASE WHEN {_is_type(value, 'STRING')} THEN {text} END"
+
+
+def _message_faults() -> str:
+    """Fault codes of message ``m`` at position ``i``, with ``role_``, ``content_``."""
+    role_text = f"coalesce({_text('role_')}, '')"
+    codes = f"""array_compact(array(
+      CASE WHEN role_ IS NULL THEN concat('missing_role@', i)
+        WHEN {role_text} NOT IN ({_KNOWN}) THEN concat('invalid_role@', i) END,
+      CASE WHEN content_ IS NULL THEN concat('missing_content@', i)
+        WHEN NOT {_is_type("content_", "STRING")}
+        THEN concat('content_not_string@', i) END))"""
+    # The type of the whole message matters only where it has neither field.
+    faults = f"""CASE WHEN role_ IS NULL AND content_ IS NULL
+      AND NOT {_is_type("m", "OBJECT")}
+      THEN array(concat('message_not_object@', i)) ELSE {codes} END"""
+    return let("role_", _field("m", "role"), let("content_", _field("m", "content"), faults))
 
 
 def with_sample_faults(lines: DataFrame) -> DataFrame:
@@ -59,71 +54,53 @@ def with_sample_faults(lines: DataFrame) -> DataFrame:
 
     ``errors`` is NULL where ``sample`` is, that is for malformed lines.
     """
-    listed = lines.withColumn(
-        "_items", F.try_variant_get("sample", "$.messages", "array<variant>")
-    ).withColumn(
-        "_roles",
-        F.transform(
-            "_items", lambda m: F.coalesce(_text(_field(m, "role")), F.lit(""))
-        ),
-    )
-    items, roles = F.col("_items"), F.col("_roles")
-    count_fault = F.when(F.size(items) < MIN_MESSAGES, F.lit("too_few_messages"))
-    in_list = F.array_compact(
-        F.concat(
-            F.array(count_fault),
-            F.flatten(F.transform(items, _message_faults)),
-            F.array(
-                _lacks(roles, "user", "no_user"),
-                _lacks(roles, "assistant", "no_assistant"),
-            ),
+    role_texts = f"transform(_items, m -> {let('r', _field('m', 'role'), _text('r'))})"
+    in_list = f"""array_compact(concat(
+      array(CASE WHEN size(_items) < {MIN_MESSAGES} THEN 'too_few_messages' END),
+      flatten(transform(_items, (m, i) -> {_message_faults()})),
+      array(
+        CASE WHEN NOT exists(_roles, r -> r <=> 'user') THEN 'no_user' END,
+        CASE WHEN NOT exists(_roles, r -> r <=> 'assistant') THEN 'no_assistant' END)
+    ))"""
+    return (
+        lines.selectExpr(
+            "*",
+            "try_variant_get(sample, '$.messages', 'array<variant>') AS _items",
         )
-    )
-    # The full type of a sample is only worked out where it has no list.
-    errors = (
-        F.when(items.isNotNull(), in_list)
-        .when(
-            _field(F.col("sample"), "messages").isNotNull(),
-            F.array(F.lit("messages_not_list")),
+        .selectExpr("*", f"{role_texts} AS _roles")
+        .selectExpr(
+            "*",
+            f"""CASE WHEN _items IS NOT NULL THEN {in_list}
+              WHEN {_field("sample", "messages")} IS NOT NULL
+                THEN array('messages_not_list')
+              WHEN {_is_type("sample", "OBJECT")} THEN array('missing_messages')
+              WHEN sample IS NOT NULL THEN array('not_object') END AS errors""",
         )
-        .when(_is_type(F.col("sample"), "OBJECT"), F.array(F.lit("missing_messages")))
-        .when(F.col("sample").isNotNull(), F.array(F.lit("not_object")))
+        .drop("_items", "_roles")
     )
-    return listed.withColumn("errors", errors).drop("_items", "_roles")
-
 
-def role_fault() -> Column:
-    """Fault code of a turn row's role, NULL if it has none."""
-    known = F.coalesce(F.col("role").isin(ROLES), F.lit(False))
-    return F.when(~known, F.lit("invalid_role"))
 
+# Conditions on a turn row.
+BAD_ROLE = f"coalesce(role NOT IN ({_KNOWN}), true)"
+BAD_CONTENT = "content IS NULL"
 
-def content_fault() -> Column:
-    """Fault code of a turn row's content, NULL if it has none."""
-    return F.when(F.col("content").isNull(), F.lit("content_not_string"))
+# Aggregates over turn rows that decide whether a conversation is valid.
+CONVERSATION_COUNTS = {
+    "n_messages": "count(*)",
+    "n_user": "count_if(role = 'user')",
+    "n_assistant": "count_if(role = 'assistant')",
+    "n_bad": f"count_if({BAD_ROLE} OR {BAD_CONTENT})",
+}
 
+# Condition on these counts.
+IS_VALID = (
+    f"n_messages >= {MIN_MESSAGES} AND n_bad = 0 AND n_user > 0 AND n_assistant > 0"
+)
 
-def conversation_counts() -> list[Column]:
-    """Aggregates over turn rows that decide whether a conversation is valid."""
-    return [
-        F.count("*").alias("n_messages"),
-        F.count_if(F.col("role") == "user").alias("n_user"),
-        F.count_if(F.col("role") == "assistant").alias("n_assistant"),
-        F.count_if(role_fault().isNotNull() | content_fault().isNotNull()).alias(
-            "n_bad"
-        ),
-    ]
 
-
-def is_valid() -> Column:
-    """True for a row of ``conversation_counts`` without any fault."""
-    c = F.col
-    return (
-        (c("n_messages") >= MIN_MESSAGES)
-        & (c("n_bad") == 0)
-        & (c("n_user") > 0)
-        & (c("n_assistant") > 0)
-    )
+def aggregates(named: dict[str, str]) -> list:
+    """Aggregate Columns from a name-to-SQL mapping."""
+    return [F.expr(sql).alias(name) for name, sql in named.items()]
 
 
 def turn_faults(turns: DataFrame) -> DataFrame:
@@ -132,35 +109,23 @@ def turn_faults(turns: DataFrame) -> DataFrame:
     Faults of messages are found row by row; only the counts of a conversation
     are aggregated, so nothing is gathered per conversation.
     """
-    at = F.concat(F.lit("@"), F.col("turn").cast("string"))
-    per_message = turns.select(
+    per_message = turns.selectExpr(
         "conv_id",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.concat(role_fault(), at),
-                    F.concat(content_fault(), at),
-                )
-            )
-        ).alias("error"),
+        f"""explode(array_compact(array(
+          CASE WHEN {BAD_ROLE} THEN concat('invalid_role@', turn) END,
+          CASE WHEN {BAD_CONTENT} THEN concat('content_not_string@', turn) END
+        ))) AS error""",
     )
     per_conversation = (
         turns.groupBy("conv_id")
-        .agg(*conversation_counts())
-        .select(
+        .agg(*aggregates(CONVERSATION_COUNTS))
+        .selectExpr(
             "conv_id",
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        F.when(
-                            F.col("n_messages") < MIN_MESSAGES,
-                            F.lit("too_few_messages"),
-                        ),
-                        F.when(F.col("n_user") == 0, F.lit("no_user")),
-                        F.when(F.col("n_assistant") == 0, F.lit("no_assistant")),
-                    )
-                )
-            ).alias("error"),
+            f"""explode(array_compact(array(
+              CASE WHEN n_messages < {MIN_MESSAGES} THEN 'too_few_messages' END,
+              CASE WHEN n_user = 0 THEN 'no_user' END,
+              CASE WHEN n_assistant = 0 THEN 'no_assistant' END
+            ))) AS error""",
         )
     )
     return per_message.unionAll(per_conversation)
@@ -168,5 +133,5 @@ def turn_faults(turns: DataFrame) -> DataFrame:
 
 def valid_conversations(turns: DataFrame) -> DataFrame:
     """``conv_id`` of the conversations without a fault."""
-    counts = turns.groupBy("conv_id").agg(*conversation_counts())
-    return counts.where(is_valid()).select("conv_id")
+    counts = turns.groupBy("conv_id").agg(*aggregates(CONVERSATION_COUNTS))
+    return counts.where(IS_VALID).select("conv_id")

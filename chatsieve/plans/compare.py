@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chatsieve.operators.evaluate import compare, summary, with_prompt_defaults
 from chatsieve.sources.evaluation import write_results
@@ -14,7 +13,7 @@ def compare_models(
 ) -> tuple[DataFrame, DataFrame]:
     """Results per prompt and their summary; raises if a prompt is incomplete."""
     checked = with_prompt_defaults(prompts)
-    bad = checked.where(F.col("error").isNotNull()).select("pos", "error").first()
+    bad = checked.where("error IS NOT NULL").select("pos", "error").first()
     if bad is not None:
         raise ValueError(f"prompt {bad.pos}: {bad.error}")
     results = compare(checked, base, tuned)

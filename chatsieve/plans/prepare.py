@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatsieve.operators import stats
 from chatsieve.operators.curate import (
@@ -19,7 +18,7 @@ from chatsieve.operators.features import (
     conversation_features,
     sample_features,
 )
-from chatsieve.operators.render import render_chat
+from chatsieve.operators.render import CHATML, render_chat
 from chatsieve.operators.split import split_exact
 from chatsieve.operators.validate import with_sample_faults
 from chatsieve.sources.jsonl import (
@@ -78,11 +77,9 @@ def measured_lines(lines: DataFrame) -> DataFrame:
     line a second time. ``errors`` is NULL for malformed lines, ``messages`` is
     NULL for these and for faulty samples. The VARIANT goes no further.
     """
-    valid = F.size("errors") == 0
+    messages = f"CASE WHEN size(errors) = 0 THEN {typed_messages()} END AS messages"
     return sample_features(
-        with_sample_faults(lines)
-        .withColumn("messages", F.when(valid, typed_messages(F.col("sample"))))
-        .drop("sample")
+        with_sample_faults(lines).selectExpr("*", messages).drop("sample")
     )
 
 
@@ -103,8 +100,9 @@ def prepare_jsonl(
     """
     work = written(
         measured_lines(read_jsonl(spark, path))
-        .select("ord", "raw", "parsed", *FEATURES)
-        .withColumn("line_id", F.monotonically_increasing_id()),
+        .selectExpr(
+            "monotonically_increasing_id() AS line_id", "ord", "raw", "parsed", *FEATURES
+        ),
         "lines",
     )
     samples = work.where("parsed").drop("raw")
@@ -149,9 +147,9 @@ def prepare_turns(
     return _prepared(curated, decisions)
 
 
-def training_text(spark: SparkSession, path: str, template: str) -> DataFrame:
+def training_text(
+    spark: SparkSession, path: str, template: str = CHATML
+) -> DataFrame:
     """Re-read curated JSON Lines and render each sample: ``ord, text``."""
-    lines = read_jsonl(spark, path)
-    return lines.select(
-        "ord", render_chat(typed_messages(F.col("sample")), template).alias("text")
-    )
+    text = render_chat(typed_messages(), template)
+    return read_jsonl(spark, path).selectExpr("ord", f"{text} AS text")

@@ -7,25 +7,25 @@ schema, because inference coerces the very type faults that validation reports.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from chatsieve.functions.text import strip_ws
+from chatsieve.functions.text import let, strip_ws
 
 
-def strict_json(line: Column) -> Column:
+def strict_json(line: str) -> str:
     """VARIANT of a line that is exactly one JSON value, else NULL.
 
     The parser alone accepts a good prefix and ignores what follows it. Inside
     ``[...]`` and inside ``{"k":...}`` the leftovers of a bad line break at
     least one of the two.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"k":'), line, F.lit("}")))
-    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(
-        keyed.isNotNull() & single, F.try_variant_get(listed, "$[0]", "variant")
+    listed = f"try_parse_json(concat('[', {line}, ']'))"
+    keyed = f"try_parse_json(concat('{{\"k\":', {line}, '}}'))"
+    value = (
+        "CASE WHEN try_variant_get(listed_, '$[1]', 'variant') IS NULL "
+        f"AND {keyed} IS NOT NULL THEN try_variant_get(listed_, '$[0]', 'variant') END"
     )
+    return let("listed_", listed, value)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -37,51 +37,49 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """
     # As in Python, the last of several equal keys counts.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    lines = spark.read.text(path).select(
-        F.struct(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("ord"),
-        strip_ws(F.col("value")).alias("raw"),
-    )
     return (
-        lines.where(F.col("raw") != "")
-        .withColumn("sample", strict_json(F.col("raw")))
-        .withColumn("parsed", F.col("sample").isNotNull())
+        spark.read.text(path)
+        .selectExpr(
+            "struct(_metadata.file_path AS path, _metadata.file_block_start AS block,"
+            " monotonically_increasing_id() AS line) AS ord",
+            f"{strip_ws('value')} AS raw",
+        )
+        .where("raw <> ''")
+        .selectExpr("ord", "raw", f"{strict_json('raw')} AS sample")
+        .selectExpr("*", "sample IS NOT NULL AS parsed")
     )
 
 
 def malformed(lines: DataFrame) -> DataFrame:
     """Lines set aside because they are not one JSON value."""
-    return lines.where(~F.col("parsed")).select("ord", "raw")
+    return lines.where("NOT parsed").select("ord", "raw")
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
     """One row: ``n_lines``, ``n_parsed``, ``n_malformed``."""
-    return lines.agg(
-        F.count("*").alias("n_lines"),
-        F.count_if("parsed").alias("n_parsed"),
-        F.count_if(~F.col("parsed")).alias("n_malformed"),
+    return lines.selectExpr(
+        "count(*) AS n_lines",
+        "count_if(parsed) AS n_parsed",
+        "count_if(NOT parsed) AS n_malformed",
     )
 
 
-def typed_messages(sample: Column) -> Column:
+def typed_messages(sample: str = "sample") -> str:
     """``messages`` of a valid sample as ARRAY<STRUCT<role, content>>."""
-    return F.transform(
-        F.try_variant_get(sample, "$.messages", "array<variant>"),
-        lambda m: F.struct(
-            F.try_variant_get(m, "$.role", "string").alias("role"),
-            F.try_variant_get(m, "$.content", "string").alias("content"),
-        ),
+    return (
+        f"transform(try_variant_get({sample}, '$.messages', 'array<variant>'), "
+        "m -> struct(try_variant_get(m, '$.role', 'string') AS role, "
+        "try_variant_get(m, '$.content', 'string') AS content))"
     )
 
 
 def to_lines(parts: DataFrame) -> DataFrame:
     """Nested rows to JSON lines ``{"id", "part", "messages"}`` in ``raw``."""
-    sample = F.struct(F.col("conv_id").alias("id"), "part", "messages")
-    return parts.select(
-        "conv_id", "part", F.to_json(sample, {"ignoreNullFields": "false"}).alias("raw")
+    return parts.selectExpr(
+        "conv_id",
+        "part",
+        "to_json(struct(conv_id AS id, part, messages),"
+        " map('ignoreNullFields', 'false')) AS raw",
     )
 
 

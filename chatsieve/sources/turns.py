@@ -18,36 +18,33 @@ PART_TURNS = 1000
 
 def read_turns(spark: SparkSession, path: str, content: str = "text") -> DataFrame:
     """Read a parquet turn table into the canonical columns."""
-    return spark.read.parquet(path).select(
-        "conv_id", "turn", "role", F.col(content).alias("content")
+    return spark.read.parquet(path).selectExpr(
+        "conv_id", "turn", "role", f"{content} AS content"
     )
 
 
 def assemble(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Turn rows to ``conv_id, part, messages`` with messages in turn order."""
-    part = F.call_function("div", F.col("turn"), F.lit(part_turns))
-    message = F.struct("turn", "role", "content")
+    collected = F.expr("array_sort(collect_list(struct(turn, role, content)))")
     return (
-        turns.groupBy("conv_id", part.alias("part"))
-        .agg(F.array_sort(F.collect_list(message)).alias("messages"))
-        .select(
+        turns.groupBy("conv_id", F.expr(f"turn div {part_turns} AS part"))
+        .agg(collected.alias("messages"))
+        .selectExpr(
             "conv_id",
             "part",
-            F.transform(
-                "messages",
-                lambda m: F.struct(m.role.alias("role"), m.content.alias("content")),
-            ).alias("messages"),
+            "transform(messages, m -> struct(m.role AS role, m.content AS content))"
+            " AS messages",
         )
     )
 
 
 def explode_messages(parts: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Nested rows back to turn rows."""
-    return parts.select(
-        "conv_id", "part", F.posexplode("messages").alias("pos", "m")
-    ).select(
+    return parts.selectExpr(
+        "conv_id", "part", "posexplode(messages) AS (pos, m)"
+    ).selectExpr(
         "conv_id",
-        (F.col("part") * part_turns + F.col("pos")).alias("turn"),
-        F.col("m.role").alias("role"),
-        F.col("m.content").alias("content"),
+        f"part * {part_turns}L + pos AS turn",
+        "m.role AS role",
+        "m.content AS content",
     )

@@ -12,6 +12,7 @@ from chatsieve.catalog.inputs import EVAL_RATIO, MIN_QUALITY, SEED
 from chatsieve.operators import evaluate, split, stats
 from chatsieve.operators.curate import curate, kept, with_parts, with_quality
 from chatsieve.operators.features import (
+    FEATURES,
     conversation_features,
     role_totals,
     with_means,
@@ -133,6 +134,8 @@ def jsonl_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def jsonl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = measured_lines(read_jsonl(spark, inputs.chat_lines(spark, sf_dir)))
+    # A filter on an unwritten frame would be evaluated on the parsed text twice.
+    lines = written(lines.select("raw", *FEATURES), "lines")
     return with_quality(lines.where("valid")).selectExpr(
         *LINE_ID, "quality", "bucket"
     )

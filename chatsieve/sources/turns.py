@@ -25,7 +25,7 @@ def read_turns(spark: SparkSession, path: str, content: str = "text") -> DataFra
 
 def assemble(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Turn rows to ``conv_id, part, messages`` with messages in turn order."""
-    collected = F.expr("array_sort(collect_list(struct(turn, role, content)))")
+    collected = F.expr("sort_array(collect_list(struct(turn, role, content)))")
     return (
         turns.groupBy("conv_id", F.expr(f"turn div {part_turns} AS part"))
         .agg(collected.alias("messages"))

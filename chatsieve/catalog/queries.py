@@ -135,7 +135,9 @@ def jsonl_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = measured_lines(read_jsonl(spark, inputs.chat_lines(spark, sf_dir)))
     # A filter on an unwritten frame would be evaluated on the parsed text twice.
-    lines = written(lines.select("raw", *FEATURES), "lines")
+    lines = written(
+        lines.select("raw", *FEATURES), scratch_path(spark, "lines")
+    )
     return with_quality(lines.where("valid")).selectExpr(
         *LINE_ID, "quality", "bucket"
     )
@@ -221,7 +223,10 @@ def dataset_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(kept(curated(spark, sf_dir)).select("conv_id", "key"), "kept")
+    rows = written(
+        kept(curated(spark, sf_dir)).select("conv_id", "key"),
+        scratch_path(spark, "kept"),
+    )
     return split.split_exact(rows, "conv_id", "key", EVAL_RATIO, SEED).select(
         "conv_id", "split"
     )

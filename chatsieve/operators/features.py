@@ -21,9 +21,9 @@ FEATURES = [
     "user_chars", "assistant_chars", "n_words", "n_distinct", "key", "valid",
 ]
 
-# A conversation with at least this many turns is counted word by word in the
-# shuffle; a shorter one has its word sets merged in one bounded group.
-LONG_TURNS = 1000
+# The words of a conversation with at least this many turns are counted in a
+# shuffle of their own; the texts of a shorter one are few enough for one group.
+LONG_TURNS = 256
 
 _LANES = [f"_lane{i}" for i in range(LANES)]
 
@@ -75,36 +75,69 @@ def sample_features(samples: DataFrame) -> DataFrame:
     )
 
 
-def _measured(turns: DataFrame) -> DataFrame:
-    """Per-turn measures; the text itself goes no further than this step."""
+def _keyed(turns: DataFrame) -> DataFrame:
+    """Add the digest lanes of each turn."""
     digest = message_digest("turn", "role", "content")
-    return turns.selectExpr(
-        "*",
-        f"CASE WHEN role = 'assistant' THEN {words('content')} END AS _words",
-        f"{digest} AS _digest",
-    ).selectExpr(
-        "conv_id",
-        "role",
-        # Only the null-ness of the content is still of interest.
-        "CASE WHEN content IS NOT NULL THEN '' END AS content",
-        "CAST(length(content) AS BIGINT) AS _chars",
-        "CAST(size(_words) AS BIGINT) AS _n_words",
-        "array_distinct(_words) AS _vocabulary",
-        *[f"{lane('_digest', i)} AS {name}" for i, name in enumerate(_LANES)],
+    return (
+        turns.selectExpr("*", f"{digest} AS _digest")
+        .selectExpr(
+            "*", *[f"{lane('_digest', i)} AS {name}" for i, name in enumerate(_LANES)]
+        )
+        .drop("_digest", "turn")
     )
 
 
 _SUMS = {
     **CONVERSATION_COUNTS,
     "n_system": "count_if(role = 'system')",
-    "user_chars": "sum(CASE WHEN role = 'user' THEN _chars ELSE 0L END)",
-    "assistant_chars": "sum(CASE WHEN role = 'assistant' THEN _chars ELSE 0L END)",
-    "n_words": "coalesce(sum(_n_words), 0L)",
+    "user_chars": "coalesce(sum(length(content)) FILTER (WHERE role = 'user'), 0L)",
+    "assistant_chars": (
+        "coalesce(sum(length(content)) FILTER (WHERE role = 'assistant'), 0L)"
+    ),
     **{name: f"bit_xor({name})" for name in _LANES},
 }
-_MERGED = (
-    "CAST(size(array_distinct(flatten(collect_list(_vocabulary)))) AS BIGINT)"
-)
+_SAID = "collect_list(content) FILTER (WHERE role = 'assistant')"
+
+
+def _short_features(turns: DataFrame) -> DataFrame:
+    """One exchange: the words are split and counted where the texts meet."""
+    return (
+        _keyed(turns)
+        .groupBy("conv_id")
+        .agg(*aggregates({**_SUMS, "_said": _SAID}))
+        .selectExpr("*", f"{words("array_join(_said, ' ')")} AS _words")
+        .selectExpr(
+            "*",
+            "CAST(size(_words) AS BIGINT) AS n_words",
+            "CAST(size(array_distinct(_words)) AS BIGINT) AS n_distinct",
+        )
+        .drop("_said", "_words")
+    )
+
+
+def _long_features(turns: DataFrame) -> DataFrame:
+    """No step gathers a conversation: each combines map-side, and distinct words
+    are spread by (conversation, word)."""
+    spoken = turns.where("role = 'assistant'").selectExpr(
+        "conv_id", f"{words('content')} AS _words"
+    )
+    totals = spoken.groupBy("conv_id").agg(
+        *aggregates({"n_words": "coalesce(sum(size(_words)), 0L)"})
+    )
+    distinct = (
+        spoken.selectExpr("conv_id", "explode(array_distinct(_words)) AS word")
+        .distinct()
+        .groupBy("conv_id")
+        .agg(*aggregates({"n_distinct": "count(*)"}))
+    )
+    return (
+        _keyed(turns)
+        .groupBy("conv_id")
+        .agg(*aggregates(_SUMS))
+        .join(totals, "conv_id", "left")
+        .join(distinct, "conv_id", "left")
+        .na.fill(0, ["n_words", "n_distinct"])
+    )
 
 
 def conversation_features(
@@ -113,35 +146,16 @@ def conversation_features(
     """``conv_id`` and the feature columns of every conversation of a turn table.
 
     One exchange in the usual case. Conversations of ``long_turns`` turns or
-    more, if the table has any, take a second way whose every step combines
-    map-side: their distinct words are counted by (conversation, word).
+    more, if the table has any, take a second way that never gathers them.
     """
     long_ids = turns.where(f"turn >= {long_turns}").select("conv_id").distinct()
-    has_long = not long_ids.isEmpty()
-    short = turns
-    if has_long:
+    if long_ids.isEmpty():
+        features = _short_features(turns)
+    else:
         long_ids = broadcast_if_small(long_ids)
-        short = turns.join(long_ids, "conv_id", "left_anti")
-    features = (
-        _measured(short)
-        .groupBy("conv_id")
-        .agg(*aggregates({**_SUMS, "n_distinct": _MERGED}))
-    )
-    if has_long:
-        measured = _measured(turns.join(long_ids, "conv_id", "left_semi"))
-        distinct = (
-            measured.selectExpr("conv_id", "explode(_vocabulary) AS word")
-            .distinct()
-            .groupBy("conv_id")
-            .agg(*aggregates({"_n": "count(*)"}))
-        )
-        features = features.unionByName(
-            measured.groupBy("conv_id")
-            .agg(*aggregates(_SUMS))
-            .join(distinct, "conv_id", "left")
-            .selectExpr("*", "coalesce(_n, 0L) AS n_distinct")
-            .drop("_n")
-        )
+        features = _short_features(
+            turns.join(long_ids, "conv_id", "left_anti")
+        ).unionByName(_long_features(turns.join(long_ids, "conv_id", "left_semi")))
     plain = [c for c in FEATURES if c not in ("key", "valid")]
     return features.selectExpr(
         "conv_id",

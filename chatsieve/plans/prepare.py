@@ -12,6 +12,8 @@ from chatsieve.operators.curate import (
     MIN_QUALITY,
     curate,
     kept,
+    with_drop_reason,
+    with_quality,
 )
 from chatsieve.operators.features import (
     FEATURES,
@@ -28,7 +30,7 @@ from chatsieve.sources.jsonl import (
     typed_messages,
     write_jsonl,
 )
-from chatsieve.storage import written
+from chatsieve.storage import discard, scratch_path, written
 
 
 @dataclass
@@ -36,7 +38,8 @@ class Prepared:
     """What a run kept, and its statistics, all as DataFrames.
 
     ``decisions`` has one row per kept sample: its id, ``quality``, ``bucket``
-    and ``split``.
+    and ``split``. The frames read the run's work tables, which stay until
+    ``discard`` is called.
     """
 
     decisions: DataFrame
@@ -44,9 +47,15 @@ class Prepared:
     roles: DataFrame
     histogram: DataFrame
     averages: DataFrame
+    work_paths: list[str]
     line_counts: DataFrame | None = None
     first_errors: DataFrame | None = None
 
+    def discard(self) -> None:
+        """Delete the work tables, once the statistics have been read."""
+        for path in self.work_paths:
+            discard(self.decisions.sparkSession, path)
+
 
 def decide(
     curated: DataFrame, id_col: str, eval_ratio: float, seed: int
@@ -60,13 +69,14 @@ def decide(
     )
 
 
-def _prepared(curated: DataFrame, decisions: DataFrame) -> Prepared:
+def _prepared(curated: DataFrame, decisions: DataFrame, paths: list[str]) -> Prepared:
     return Prepared(
         decisions,
         stats.counters(curated),
         stats.role_distribution(curated),
         stats.quality_histogram(curated),
         stats.averages(curated),
+        paths,
     )
 
 
@@ -98,26 +108,32 @@ def prepare_jsonl(
     split read its narrow columns only; the text is read again, and moved once,
     when the kept lines are written.
     """
+    lines_path = scratch_path(spark, "lines")
+    curated_path = scratch_path(spark, "curated")
     work = written(
         measured_lines(read_jsonl(spark, path))
         .selectExpr(
             "monotonically_increasing_id() AS line_id", "ord", "raw", "parsed", *FEATURES
         ),
-        "lines",
+        lines_path,
     )
     samples = work.where("parsed").drop("raw")
     if samples.isEmpty():
         raise ValueError(f"no valid samples found in {path}")
     curated = written(
         curate(samples, "line_id", "ord", min_quality, min_assistant_length),
-        "curated",
+        curated_path,
     )
     decisions = decide(curated, "line_id", eval_ratio, seed)
-    rows = work.select("line_id", "raw").join(
+    # Rows that fail on their own measures are left out before the text moves.
+    passing = kept(
+        with_drop_reason(with_quality(work), min_quality, min_assistant_length)
+    )
+    rows = passing.select("line_id", "raw").join(
         decisions.select("line_id", "split"), "line_id"
     )
     write_jsonl(rows, out, partition_by="split")
-    result = _prepared(curated, decisions)
+    result = _prepared(curated, decisions, [lines_path, curated_path])
     result.line_counts = line_counts(work)
     result.first_errors = malformed(work).orderBy("ord").limit(5)
     return result
@@ -133,9 +149,9 @@ def prepare_turns(
 ) -> Prepared:
     """Curate a turn table; ``out`` gets the kept turns, by ``split``, as parquet."""
     features = conversation_features(turns)
+    path = scratch_path(turns.sparkSession, "curated")
     curated = written(
-        curate(features, "conv_id", "conv_id", min_quality, min_assistant_length),
-        "curated",
+        curate(features, "conv_id", "conv_id", min_quality, min_assistant_length), path
     )
     decisions = decide(curated, "conv_id", eval_ratio, seed)
     if out is not None:
@@ -144,7 +160,7 @@ def prepare_turns(
         turns.join(decisions.select("conv_id", "split"), "conv_id").write.mode(
             "overwrite"
         ).partitionBy("split").parquet(out)
-    return _prepared(curated, decisions)
+    return _prepared(curated, decisions, [path])
 
 
 def training_text(

@@ -21,6 +21,13 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return spark.read.schema(RESPONSE_SCHEMA).format(fmt).load(path)
 
 
+# The fields of a written result.
+RESULT_FIELDS = [
+    "prompt_name", "user_input", "base_response", "tuned_response",
+    "base_score", "tuned_score", "improvement",
+]
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Write comparison results as JSON Lines, replacing what is at ``path``."""
-    results.write.mode("overwrite").json(path)
+    results.select(*RESULT_FIELDS).write.mode("overwrite").json(path)

@@ -31,17 +31,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/chatsieve/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet and read it back.
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as parquet to ``path`` and read it back.
 
     This cuts the lineage and survives the loss of executors, and every reader
     takes only the columns it needs.
     """
-    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def broadcast_if_small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """Hint a broadcast of a narrow key table after counting that it is small."""
     small = keys.limit(limit + 1).count() <= limit

@@ -13,7 +13,12 @@ from chatsieve.operators.evaluate import (
     with_response_score,
 )
 from chatsieve.plans.compare import compare_models
-from chatsieve.sources.evaluation import PROMPT_SCHEMA, RESPONSE_SCHEMA, read_prompts
+from chatsieve.sources.evaluation import (
+    PROMPT_SCHEMA,
+    RESPONSE_SCHEMA,
+    RESULT_FIELDS,
+    read_prompts,
+)
 
 
 def scores(spark, *rows):
@@ -124,7 +129,8 @@ def test_comparison(spark, tmp_path):
     assert total.mean_improvement == pytest.approx(-0.367 / 3)
     labels = report(results).orderBy("pos").collect()
     assert [r.label for r in labels] == ["down", "same", "up"]
-    assert spark.read.json(out).count() == 3
+    stored = spark.read.json(out)
+    assert stored.count() == 3 and sorted(stored.columns) == sorted(RESULT_FIELDS)
 
 
 def test_preview_is_cut_and_empty_summary(spark):

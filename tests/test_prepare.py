@@ -38,6 +38,9 @@ def test_prepare_jsonl(spark, write_lines, tmp_path):
         "system": 20, "user": 20, "assistant": 20,
     }
     assert result.averages.first().avg_turns == 3.0
+    assert all(os.path.exists(path) for path in result.work_paths)
+    result.discard()
+    assert not any(os.path.exists(path) for path in result.work_paths)
     # A second run without an eval part leaves no old one behind.
     prepare_jsonl(spark, path, out, eval_ratio=0.0)
     assert not os.path.exists(f"{out}/split=eval")

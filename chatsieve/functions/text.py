@@ -27,9 +27,14 @@ def strip_ws(text: str) -> str:
     return f"btrim({text}, '{characters}')"
 
 
+def split_words(lowered: str) -> str:
+    """Whitespace-separated words of a text that is lower case already."""
+    return f"filter(split({lowered}, {quoted(WHITESPACE_RUN)}), w -> w <> '')"
+
+
 def words(text: str) -> str:
     """Lower-cased whitespace-separated words, in order."""
-    return f"filter(split(lower({text}), {quoted(WHITESPACE_RUN)}), w -> w <> '')"
+    return split_words(f"lower({text})")
 
 
 def ratio(part: str, whole: str) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from chatsieve.functions import scoring
-from chatsieve.functions.text import py_round, strip_ws, words
+from chatsieve.functions.text import py_round, split_words, strip_ws
+from chatsieve.operators.skew import hot_keys, join_unique
 from chatsieve.operators.validate import aggregates
 
 # Defaults of a prompt, and the length of a response preview.
@@ -39,50 +40,54 @@ def prompt_messages(prompts: DataFrame) -> DataFrame:
     )
 
 
-def with_response_features(
-    rows: DataFrame,
-    response: str = "response",
-    keywords: str = "expected_keywords",
-    prefix: str = "",
+def with_text_features(
+    rows: DataFrame, response: str = "response", prefix: str = ""
 ) -> DataFrame:
-    """Add ``length_score``, ``coverage``, ``diversity``, ``blank`` of a response.
-
-    The lower-cased text and the word list are columns first, so each is made
-    once.
-    """
-    low, ws, n = f"_{prefix}lower", f"_{prefix}words", f"_{prefix}chars"
+    """Add what a response shows by itself: ``length_score``, ``diversity``,
+    ``blank`` and, for the keyword search, ``lower``."""
+    ws, n = f"_{prefix}words", f"_{prefix}chars"
     return (
-        rows.selectExpr(
+        rows.selectExpr("*", f"lower({response}) AS {prefix}lower")
+        .selectExpr(
             "*",
-            f"lower({response}) AS {low}",
-            f"{words(response)} AS {ws}",
+            f"{split_words(prefix + 'lower')} AS {ws}",
             f"length({strip_ws(response)}) AS {n}",
         )
         .selectExpr(
             "*",
             f"{scoring.length_score(n)} AS {prefix}length_score",
-            f"{scoring.keyword_coverage(low, keywords)} AS {prefix}coverage",
             f"{scoring.response_diversity(ws)} AS {prefix}diversity",
             f"coalesce({n}, 0) = 0 AS {prefix}blank",
         )
-        .drop(low, ws, n)
+        .drop(ws, n)
     )
 
 
-def with_response_score(
-    rows: DataFrame,
-    response: str = "response",
-    keywords: str = "expected_keywords",
-    prefix: str = "",
+def with_coverage(
+    rows: DataFrame, keywords: str = "expected_keywords", prefix: str = ""
 ) -> DataFrame:
-    """Add ``score``: the mean of the three parts, 0 for a blank response."""
+    """Add ``coverage``; takes the place of ``lower``."""
+    coverage = scoring.keyword_coverage(f"{prefix}lower", keywords)
+    return rows.selectExpr("*", f"{coverage} AS {prefix}coverage").drop(f"{prefix}lower")
+
+
+def with_score(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """Add ``score``, in place of its parts: their mean, 0 for a blank response."""
     parts = [f"{prefix}{p}" for p in ("length_score", "coverage", "diversity")]
     mean = py_round(f"({' + '.join(parts)}) / 3D", 3)
-    return (
-        with_response_features(rows, response, keywords, prefix)
-        .selectExpr("*", f"IF({prefix}blank, 0D, {mean}) AS {prefix}score")
-        .drop(*parts, f"{prefix}blank")
-    )
+    return rows.selectExpr(
+        "*", f"IF({prefix}blank, 0D, {mean}) AS {prefix}score"
+    ).drop(*parts, f"{prefix}blank")
+
+
+def with_response_features(rows: DataFrame, response: str = "response") -> DataFrame:
+    """Add all parts of a response's score; needs ``expected_keywords``."""
+    return with_coverage(with_text_features(rows, response))
+
+
+def with_response_score(rows: DataFrame, response: str = "response") -> DataFrame:
+    """Add ``score`` of a response; needs ``expected_keywords``."""
+    return with_score(with_response_features(rows, response))
 
 
 def last_per_name(base: DataFrame) -> DataFrame:
@@ -102,17 +107,20 @@ def compare(prompts: DataFrame, base: DataFrame, tuned: DataFrame) -> DataFrame:
     Each tuned row keeps its own prompt (same position); all prompts of one name
     share that name's last base response.
     """
-    last = last_per_name(base).selectExpr("name", "response AS base_response")
-    paired = (
-        prompts.select("pos", "name", "user", "expected_keywords")
-        .join(
-            tuned.selectExpr("pos", "name", "response AS tuned_response"),
-            ["pos", "name"],
-        )
-        .join(last, "name")
+    # A base response is measured once, however many prompts share its name.
+    last = with_text_features(
+        last_per_name(base).selectExpr("name", "response AS base_response"),
+        "base_response",
+        "base_",
+    )
+    answers = tuned.selectExpr("pos", "name", "response AS tuned_response")
+    paired = prompts.select("pos", "name", "user", "expected_keywords").join(
+        answers, ["pos", "name"]
     )
-    scored = with_response_score(paired, "base_response", prefix="base_")
-    scored = with_response_score(scored, "tuned_response", prefix="tuned_")
+    joined = join_unique(paired, last, "name", hot_keys(tuned, "name"))
+    scored = with_score(with_coverage(joined, prefix="base_"), "base_")
+    scored = with_text_features(scored, "tuned_response", "tuned_")
+    scored = with_score(with_coverage(scored, prefix="tuned_"), "tuned_")
     return scored.selectExpr(
         "pos",
         "name AS prompt_name",

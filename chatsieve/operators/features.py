@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 
 from chatsieve.functions.keys import LANES, content_key, lane, message_digest
 from chatsieve.functions.text import ratio, words
+from chatsieve.operators.skew import split_by_keys
 from chatsieve.operators.validate import CONVERSATION_COUNTS, IS_VALID, aggregates
-from chatsieve.storage import broadcast_if_small
 
 FEATURES = [
     "n_messages", "n_user", "n_assistant", "n_system",
@@ -25,6 +25,9 @@ FEATURES = [
 # shuffle of their own; the texts of a shorter one are few enough for one group.
 LONG_TURNS = 256
 
+# At most this many ids of long conversations are broadcast: below a megabyte.
+MAX_BROADCAST_IDS = 100_000
+
 _LANES = [f"_lane{i}" for i in range(LANES)]
 
 
@@ -152,10 +155,8 @@ def conversation_features(
     if long_ids.isEmpty():
         features = _short_features(turns)
     else:
-        long_ids = broadcast_if_small(long_ids)
-        features = _short_features(
-            turns.join(long_ids, "conv_id", "left_anti")
-        ).unionByName(_long_features(turns.join(long_ids, "conv_id", "left_semi")))
+        short, long = split_by_keys(turns, long_ids, "conv_id", MAX_BROADCAST_IDS)
+        features = _short_features(short).unionByName(_long_features(long))
     plain = [c for c in FEATURES if c not in ("key", "valid")]
     return features.selectExpr(
         "conv_id",

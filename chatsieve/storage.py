@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# At most this many one-column BIGINT or short string keys are broadcast: a few
-# megabytes. Beyond it the join is left to shuffle.
-MAX_BROADCAST_KEYS = 100_000
 
 _local_root: str | None = None
 
@@ -46,9 +41,3 @@ def discard(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     folder.getFileSystem(conf).delete(folder, True)
-
-
-def broadcast_if_small(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """Hint a broadcast of a narrow key table after counting that it is small."""
-    small = keys.limit(limit + 1).count() <= limit
-    return F.broadcast(keys) if small else keys

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from chatsieve.operators.evaluate import (
+    compare,
     last_per_name,
     prompt_messages,
     report,
@@ -12,6 +13,7 @@ from chatsieve.operators.evaluate import (
     with_response_features,
     with_response_score,
 )
+from chatsieve.operators.skew import hot_keys
 from chatsieve.plans.compare import compare_models
 from chatsieve.sources.evaluation import (
     PROMPT_SCHEMA,
@@ -133,6 +135,20 @@ def test_comparison(spark, tmp_path):
     assert stored.count() == 3 and sorted(stored.columns) == sorted(RESULT_FIELDS)
 
 
+def test_a_hot_name_gives_the_same_results(spark, monkeypatch):
+    names = [("hot" if i % 3 else f"n{i}") for i in range(60)]
+    table = prompts(spark, *[(i, n, f"q{i}", None, ["w1"], None) for i, n in enumerate(names)])
+    base = responses(spark, *[(i, n, f"w{i} and more") for i, n in enumerate(names)])
+    tuned = responses(spark, *[(i, n, f"w{i % 7} " * i) for i, n in enumerate(names)])
+    plain = sorted(map(tuple, compare(table, base, tuned).collect()))
+    assert len(plain) == 60
+    monkeypatch.setattr("chatsieve.operators.skew.MIN_HOT_ROWS", 10)
+    assert hot_keys(tuned, "name") == ["hot"]
+    split = compare(table, base, tuned)
+    assert "Union" in split._jdf.queryExecution().toString()
+    assert sorted(map(tuple, split.collect())) == plain
+
+
 def test_preview_is_cut_and_empty_summary(spark):
     table = prompts(spark, (0, "a", "u", None, None, None))
     answer = responses(spark, (0, "a", "é" * 700))

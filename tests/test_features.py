@@ -52,13 +52,14 @@ def test_long_conversations_give_the_same_measures(spark, long_turns):
     assert by_id(conversation_features(turns, long_turns)) == expected
 
 
-def test_long_route_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("chatsieve.storage.MAX_BROADCAST_KEYS", 0)
-    monkeypatch.setattr(
-        "chatsieve.operators.features.broadcast_if_small", lambda keys: keys
-    )
+@pytest.mark.parametrize("min_hot_rows", [3, 10**6])
+def test_long_route_without_broadcast(spark, monkeypatch, min_hot_rows):
+    monkeypatch.setattr("chatsieve.operators.features.MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr("chatsieve.operators.skew.MIN_HOT_ROWS", min_hot_rows)
     turns = chat_input(spark, SF_SMALL)
-    assert by_id(conversation_features(turns, 2)) == by_id(conversation_features(turns))
+    expected = by_id(conversation_features(turns))
+    for long_turns in (2, 5):
+        assert by_id(conversation_features(turns, long_turns)) == expected
 
 
 def test_one_conversation_with_a_third_of_all_turns(spark):

@@ -277,7 +277,7 @@ ORACLE: dict[str, str] = {
     ),
     # No conversation of the tables reaches a second part.
     "jsonl_quality": sql(
-        "SELECT conv_id, 0 AS part, quality, bucket FROM scored", *_SCORED
+        "SELECT conv_id, 0::BIGINT AS part, quality, bucket FROM scored", *_SCORED
     ),
     "chat_validate": sql(
         """

@@ -75,7 +75,7 @@ def conversation_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(inputs.chat_input(spark, sf_dir)).selectExpr(
         "conv_id",
         "part",
-        "size(messages) AS n_messages",
+        "CAST(size(messages) AS BIGINT) AS n_messages",
         "array_join(transform(messages, m -> m.role), ',') AS roles",
     )
 
@@ -95,7 +95,7 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr(
         "conv_id",
         "part",
-        "size(messages) AS n_messages",
+        "CAST(size(messages) AS BIGINT) AS n_messages",
         "aggregate(messages, 0L, (n, m) -> n + coalesce(length(m.content), 0)) AS chars",
     )
 
@@ -272,7 +272,7 @@ def prompt_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return evaluate.with_prompt_defaults(prompts).selectExpr(
         "pos", "name", "system", "max_tokens",
-        "size(expected_keywords) AS n_keywords", "error",
+        "CAST(size(expected_keywords) AS BIGINT) AS n_keywords", "error",
     )
 
 

@@ -25,6 +25,16 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int | None = None) -> list:
     return [row[0] for row in hot.select(key).dropna().collect()]
 
 
+def largest_keys(sizes: DataFrame, key: str, size: str) -> list:
+    """Hot keys where the rows per key are known already: at most MAX_HOT_KEYS.
+
+    A key that is not among them holds at most one in MAX_HOT_KEYS of all rows,
+    or at most MIN_HOT_ROWS rows.
+    """
+    large = sizes.where(F.col(size) > MIN_HOT_ROWS).orderBy(F.col(size).desc())
+    return [row[0] for row in large.select(key).limit(MAX_HOT_KEYS).collect()]
+
+
 def join_unique(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row per key.
 

@@ -21,6 +21,7 @@ from chatsieve.operators.features import (
     sample_features,
 )
 from chatsieve.operators.render import CHATML, render_chat
+from chatsieve.operators.skew import join_unique, largest_keys
 from chatsieve.operators.split import split_exact
 from chatsieve.operators.validate import with_sample_faults
 from chatsieve.sources.jsonl import (
@@ -155,11 +156,10 @@ def prepare_turns(
     )
     decisions = decide(curated, "conv_id", eval_ratio, seed)
     if out is not None:
-        # One conversation may hold much of the table: the adaptive skew join
-        # splits its turns over several tasks.
-        turns.join(decisions.select("conv_id", "split"), "conv_id").write.mode(
-            "overwrite"
-        ).partitionBy("split").parquet(out)
+        # One conversation may hold much of the table; its turns stay in place.
+        hot = largest_keys(kept(curated), "conv_id", "n_messages")
+        rows = join_unique(turns, decisions.select("conv_id", "split"), "conv_id", hot)
+        rows.write.mode("overwrite").partitionBy("split").parquet(out)
     return _prepared(curated, decisions, [path])
 
 

@@ -10,7 +10,7 @@ from chatsieve.operators.render import CHATML
 from chatsieve.plans.prepare import prepare_jsonl, prepare_turns, training_text
 from chatsieve.sources.jsonl import read_jsonl, to_lines
 from chatsieve.sources.turns import assemble
-from tests.conftest import SF_SMALL, sample
+from tests.conftest import SF_SMALL, sample, turn_rows
 
 
 def raws(spark, path):
@@ -75,6 +75,53 @@ def test_both_routes_decide_alike(spark, tmp_path):
     assert written.count() == turns.join(flat.decisions, "conv_id").count()
 
 
+def test_hot_conversation_and_hot_copies(spark, tmp_path, monkeypatch):
+    """A third of all turns in one conversation, a third of the rest in copies."""
+    hot = [("user" if i % 2 == 0 else "assistant", f"turn {i} of the long talk") for i in range(600)]
+    copy = [("user", "What is it?"), ("assistant", "It is the same answer again.")]
+    own = {
+        i: [("user", f"Question {i}?"), ("assistant", f"Answer number {i} it is.")]
+        for i in range(100, 500)
+    }
+    copies = {i: copy for i in range(1000, 1200)}
+    turns = turn_rows(spark, {1: hot, **own, **copies})
+    plain = prepare_turns(turns, str(tmp_path / "plain"))
+    monkeypatch.setattr("chatsieve.operators.skew.MIN_HOT_ROWS", 100)
+    done = prepare_turns(turns, str(tmp_path / "hot"))
+    assert tuple(done.counters.first()) == (601, 0, 199, 0, 402)
+    assert sorted(map(tuple, done.decisions.collect())) == sorted(
+        map(tuple, plain.decisions.collect())
+    )
+    tables = [spark.read.parquet(str(tmp_path / n)) for n in ("plain", "hot")]
+    columns = ["conv_id", "turn", "role", "content", "split"]
+    rows = [sorted(map(tuple, t.select(*columns).collect())) for t in tables]
+    assert rows[0] == rows[1] and len(rows[0]) == 600 + 800 + 2
+    assert {r[0] for r in rows[0]} == {1, *own, 1000}
+
+
+def test_result_does_not_depend_on_file_splits(spark, write_lines, tmp_path):
+    lines = [
+        json.dumps({"n": i, **sample(user=f"Question number {i % 40}?")}) for i in range(200)
+    ]
+    path = write_lines(lines)
+    outcomes = []
+    for size in ("128MB", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "1500" else "4MB")
+        try:
+            out = str(tmp_path / f"out{size}")
+            done = prepare_jsonl(spark, path, out)
+            outcomes.append(
+                [raws(spark, f"{out}/split={s}") for s in ("train", "eval")]
+                + done.counters.collect()
+            )
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert outcomes[0] == outcomes[1]
+    assert sorted(outcomes[0][0] + outcomes[0][1]) == sorted(lines[:40])
+
+
 def test_training_text(spark, write_lines):
     path = write_lines([sample(user="Hi\nthere", said="It's {fine} \\ ok", system="S")])
     assert training_text(spark, path).first().text == (

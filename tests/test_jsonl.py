@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -23,6 +24,9 @@ PROBES = [
     ('{"text":"x"}', ["missing_messages"]),
     ('{"messages":"no"}', ["messages_not_list"]),
     ('{"messages":null}', ["messages_not_list"]),
+    ('{"messages":{"a":1}}', ["messages_not_list"]),
+    ('{"messages":5}', ["messages_not_list"]),
+    ('{"messages":true}', ["messages_not_list"]),
     ('{"messages":[]}', ["too_few_messages", "no_user", "no_assistant"]),
     (
         '{"messages":[1,{"role":"user"},{"role":null,"content":"x"},'
@@ -75,18 +79,44 @@ def test_strict_parse_and_faults(spark, write_lines):
     assert [r.valid for r in rows] == [p[1] == [] for p in PROBES]
 
 
-def test_parse_agrees_with_python(spark, write_lines):
-    lines = [p[0].strip() for p in PROBES]
+def parses(line: str) -> bool:
+    try:
+        json.loads(line)
+    except ValueError:
+        return False
+    return True
+
+
+MORE_LINES = [
+    '"raw\ttab"', '"\\u00e9 \\n"', '"\\x"', '"\\u12"', "-0", "1.", ".5", "+1", "1e5", "1E+2",
+    "-", "- 1", "[1,]", "[,1]", "[]", "{}", '{"a"}', '{"a":}', "tru", "true", "True", "nul",
+    "[1,\u00a02]", "[1 2]", "[1, 2 ]", '{"a" : 1 }', "{a:1}", '{"a":1;}', "[1]]", "{}{}",
+    '"a" "b"', "1 2", "'a'", '"a', "#c", "/* c */ 1", "1 // c", "[[[[1]]]]", '"\\ud83d\\ude00"',
+    "12345678901234567890123456789012345678901234567890", "1e400", '{"a":{"a":1},"b":[{}]}',
+]
 
-    def parses(line):
-        try:
-            json.loads(line)
-        except ValueError:
-            return False
-        return True
 
+def test_parse_agrees_with_python(spark, write_lines):
+    lines = [p[0].strip() for p in PROBES] + MORE_LINES
+    got = read_jsonl(spark, write_lines(lines)).orderBy("ord").collect()
+    assert [(r.raw, r.parsed) for r in got] == [(x, parses(x)) for x in lines]
+
+
+def test_parse_agrees_with_python_on_damaged_lines(spark, write_lines):
+    rng = random.Random(11)
+    whole = [p[0].strip() for p in PROBES[:15]] + [json.dumps(sample(system="é😀"))]
+    pieces = ["]", "}", "[", "{", '"', ",", ":", "1", " ", "\\", "null", ',"k":1', '"]', "a"]
+    lines = []
+    for _ in range(4000):
+        line = rng.choice(whole)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(line) + 1)
+            line = line[:at] + rng.choice([*pieces, ""]) + line[at + rng.randint(0, 2) :]
+        if line.strip():
+            lines.append(line.strip())
     got = read_jsonl(spark, write_lines(lines)).orderBy("ord").collect()
-    assert [r.parsed for r in got] == [parses(line) for line in lines]
+    assert [(r.raw, r.parsed) for r in got] == [(x, parses(x)) for x in lines]
+    assert 100 < sum(r.parsed for r in got) < len(lines) - 100
 
 
 def test_last_duplicate_key_wins(spark, write_lines):

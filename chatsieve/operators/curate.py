@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.functions import scoring
-from chatsieve.operators.features import FEATURES, with_means
+from chatsieve.operators.features import FEATURES, MEANS
 from chatsieve.operators.validate import aggregates
 
 # The defaults of the curation thresholds.
@@ -38,19 +38,23 @@ def dedup_first(features: DataFrame, id_col: str, order_col: str) -> DataFrame:
     )
 
 
+# Each of these may use the ones before it: they are lateral aliases of a select.
+_PARTS = [*MEANS, *[f"{sql} AS {name}" for name, sql in scoring.quality_parts().items()]]
+_SCORE = [
+    *_PARTS,
+    f"{scoring.quality()} AS quality",
+    f"{scoring.quality_bucket('quality')} AS bucket",
+]
+
+
 def with_parts(features: DataFrame) -> DataFrame:
     """Add the score parts ``s1``..``s5`` (and their inputs)."""
-    parts = [f"{sql} AS {name}" for name, sql in scoring.quality_parts().items()]
-    return with_means(features).selectExpr("*", *parts)
+    return features.selectExpr("*", *_PARTS)
 
 
 def with_quality(features: DataFrame) -> DataFrame:
-    """Add ``quality`` and ``bucket``."""
-    return (
-        with_parts(features)
-        .selectExpr("*", f"{scoring.quality()} AS quality")
-        .selectExpr("*", f"{scoring.quality_bucket('quality')} AS bucket")
-    )
+    """Add ``quality`` and ``bucket`` (and the parts)."""
+    return features.selectExpr("*", *_SCORE)
 
 
 def with_drop_reason(

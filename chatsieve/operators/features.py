@@ -151,11 +151,13 @@ def conversation_features(
     One exchange in the usual case. Conversations of ``long_turns`` turns or
     more, if the table has any, take a second way that never gathers them.
     """
-    long_ids = turns.where(f"turn >= {long_turns}").select("conv_id").distinct()
+    long_ids = turns.where(f"turn >= {long_turns}").select("conv_id")
     if long_ids.isEmpty():
         features = _short_features(turns)
     else:
-        short, long = split_by_keys(turns, long_ids, "conv_id", MAX_BROADCAST_IDS)
+        short, long = split_by_keys(
+            turns, long_ids.distinct(), "conv_id", MAX_BROADCAST_IDS
+        )
         features = _short_features(short).unionByName(_long_features(long))
     plain = [c for c in FEATURES if c not in ("key", "valid")]
     return features.selectExpr(

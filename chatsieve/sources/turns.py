@@ -17,9 +17,12 @@ PART_TURNS = 1000
 
 
 def read_turns(spark: SparkSession, path: str, content: str = "text") -> DataFrame:
-    """Read a parquet turn table into the canonical columns."""
-    return spark.read.parquet(path).selectExpr(
-        "conv_id", "turn", "role", f"{content} AS content"
+    """Read a parquet turn table, of fixed schema, into the canonical columns."""
+    schema = f"conv_id BIGINT, turn BIGINT, role STRING, {content} STRING"
+    return (
+        spark.read.schema(schema)
+        .parquet(path)
+        .withColumnRenamed(content, "content")
     )
 
 

@@ -88,7 +88,7 @@ class Words:
         if not size:
             return h, doc
         out = np.zeros(size, _U)
-        for i in range(n):
+        for i in range(min(n, size)):
             part = mix(h[i:] + _U(i + 1)) * _U(2 * i + 3)
             same = doc[i:] == doc[: size - i]
             out[: size - i] += np.where(same, part, _U(0))

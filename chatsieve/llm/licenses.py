@@ -133,7 +133,7 @@ def scan_batches(
             lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
             base: list[set[str]] = [set() for _ in range(n)]
             for phrase, label in templates.base:
-                at = np.flatnonzero(h[: len(h) - len(phrase) + 1] == phrase[0])
+                at = np.flatnonzero(h[: max(0, len(h) - len(phrase) + 1)] == phrase[0])
                 for i, p in enumerate(phrase):
                     at = at[(h[at + i] == p) & (doc[at + i] == doc[at])]
                 place = at - words.first[doc[at]]

@@ -13,8 +13,9 @@ So a line goes exactly if it lies in a run of consecutive lines of at least
 ``min_words`` words (parts between blanks) that also stands at an earlier place. The content of every
 removed line stays at the first place it has.
 
-Edge cases. NULL texts stay NULL, empty ones empty; blank lines are neither
-counted nor removed, unless no other line remains: then the text is empty.
+Edge cases. NULL texts stay NULL, empty ones empty; blank lines are not
+counted; those inside a removed run go with it, and if none but blank lines would
+remain the text is empty.
 Repeated rows (same id, same text) count as one document. A document whose own
 lines repeat keeps the first run. Other columns are kept as they are.
 """

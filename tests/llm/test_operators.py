@@ -1,0 +1,250 @@
+"""Operators against plain Python versions and held-out labels."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from chatsieve.llm import (
+    decontaminate, langid, licenses, line_dedup, mixing, near_dup, pages, pii,
+    quality_mil, quality_rules,
+)
+from chatsieve.llm.tables import table
+from tests.conftest import SF_CHECK, SF_SMALL
+from tests.llm import brute
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF_CHECK, "documents")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def test_contamination(spark, docs, texts):
+    items = [tuple(r) for r in table(spark, SF_CHECK, "benchmark").collect()]
+    items += [(900, "And that. The"), (901, " ".join((texts[7] or "").split()[3:9]))]
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    some = docs.where("doc_id < 150")
+    out = {r.doc_id: r for r in decontaminate.contamination(some, bench).collect()}
+    for i, r in out.items():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute.contamination(texts[i], items)
+    assert sum(r.n_hit > 0 for r in out.values()) > 1
+
+
+def test_line_dedup_against_all_runs(spark):
+    rng = random.Random(5)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(9)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 14)))) for i in range(60)] + [(60, None)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 6)
+    assert {r.doc_id: r.text for r in out.collect()} == brute.line_dedup(rows, 6)
+
+
+def test_licenses(docs, texts):
+    for r in licenses.scan(docs).collect():
+        base = brute.licenses(texts[r.doc_id], licenses.BASE)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base
+        found = [(s, k) for s, k in brute.best_containment(texts[r.doc_id], licenses.TEMPLATES)
+                 if s >= licenses.THRESHOLD]
+        want = {k for _, k in found} | set(filter(None, base[-1].split(",")))
+        assert r.labels == ",".join(sorted(want))
+        assert r.score == max([s for s, _ in found] + [float(base[1] > 0)])
+
+
+def test_rule_counts_and_verdicts(spark, docs, texts):
+    out = quality_rules.judge(docs, table(spark, SF_CHECK, "labels")).collect()
+    quality = {r.doc_id: r.quality for r in table(spark, SF_CHECK, "labels").collect()}
+    good = bad = lost = missed = 0
+    for r in out:
+        assert tuple(r[c] for c in quality_rules.COUNTS) == brute.rules(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        if not r.base_failed and r.doc_id in quality:
+            good, bad = good + (quality[r.doc_id] == 1), bad + (quality[r.doc_id] == 0)
+            lost += quality[r.doc_id] == 1 and not r.kept
+            missed += quality[r.doc_id] == 0 and r.kept
+    assert lost <= 0.02 * good and missed <= 0.1 * bad
+
+
+def test_rule_counts_of_odd_texts(spark):
+    odd = ["", None, " a b c a b c a b", "x\x00y é\x0bz q", "a\n\na\n \na", "# <b> $|%&*"]
+    rows = list(enumerate(odd))
+    out = quality_rules.judge(
+        spark.createDataFrame(rows, "doc_id BIGINT, text STRING"),
+        spark.createDataFrame([], "doc_id BIGINT, quality INT"),
+    )
+    for r in out.collect():
+        assert tuple(r[c] for c in quality_rules.COUNTS) == brute.rules(odd[r.doc_id])
+
+
+def test_languages_of_held_out_rows(docs):
+    out = {r.doc_id: r for r in langid.identify(docs).collect()}
+    held = [r for r in docs.collect() if out[r.doc_id].held_out and r.lang]
+    right = sum(out[r.doc_id].lang_pred == r.lang for r in held)
+    assert right >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 for r in out.values())
+
+
+def test_language_model_sums_to_one(spark):
+    rows = [(0, "abra cadabra abra ca", "xx"), (2, "baba dada baba", "yy")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id INT, text STRING, lang STRING"))
+    import numpy as np
+
+    chars = np.unique(model.keys[1])
+    for context in ("abr", "bab", "zzz"):
+        head = np.uint64(0)
+        for c in context:
+            head = (head << np.uint64(16)) | np.uint64(ord(c))
+        p = np.exp(model.logs((head << np.uint64(16)) | chars)).sum(0)
+        # What is left is the share of one unseen character.
+        assert (p < 1.000001).all() and (p > 0.8).all()
+
+
+def test_quality_of_held_out_rows(spark, docs):
+    out = {r.doc_id: r for r in quality_mil.classify(docs, table(spark, SF_CHECK, "labels")).collect()}
+    quality = {r.doc_id: r.quality for r in table(spark, SF_CHECK, "labels").collect()}
+    held = [r for r in out.values() if r.held_out and r.doc_id in quality]
+    assert sum(r.predicted == quality[r.doc_id] for r in held) >= 0.95 * len(held)
+    assert all(r.predicted == (r.score >= 0.5) for r in out.values())
+
+
+def test_attention_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, doc, y = rng.normal(size=(9, quality_mil.INPUTS)), np.repeat([0, 1, 2], [2, 3, 4]), np.array([0.0, 1, 1])
+    model = quality_mil.Attention(x, doc, y, 1)
+    grad = model.gradient(x, doc, y)
+
+    def loss():
+        s = model.forward(x, doc, 3)[-1]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    for k, v in model.p.items():
+        v.flat[0] += 1e-6
+        up = loss()
+        v.flat[0] -= 2e-6
+        down = loss()
+        v.flat[0] += 1e-6
+        assert abs((up - down) / 2e-6 - grad[k].flat[0]) < 1e-5
+
+
+def test_near_duplicates(docs, texts):
+    out = {r.doc_id: r for r in near_dup.classes(docs).collect()}
+    sets = {i: brute.shingles(t) for i, t in texts.items()}
+    by = {}
+    for i, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(i)
+    pairs = {(a, b) for m in by.values() if len(m) < 200 for a in m for b in m if a < b}
+    near = lost = 0
+    for a, b in pairs:
+        same = sum((sets[a] & sets[b]).values())
+        if same / (sum(sets[a].values()) + sum(sets[b].values()) - same) >= 0.85:
+            near += 1
+            lost += out[a].class_id != out[b].class_id
+    assert near > 50 and lost == 0
+    for r in out.values():
+        assert r.class_id <= r.doc_id and out[r.class_id].class_id == r.class_id
+
+
+def test_keep_one_of_each_class(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, base.replace(f"w{i * 7} ", f"v{i} ")) for i in range(1, 25)]
+    rows += [(90, " ".join(f"z{i}" for i in range(40))), (91, None), (92, ""), (93, "one two"), (94, "ONE, two")]
+    out = near_dup.keep_one(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sorted(r.doc_id for r in out) == [1, 90, 91, 92, 93]
+
+
+def test_surrogates(spark):
+    text = ("Mrs. Anna Smith wrote to anna.smith@mail.org from 10.20.30.40, card 4111-1111-1111-1111,"
+            " tel. +1 (974) 555-3436. Herr Müller, Госпожа Иванова. key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B")
+    rows = [(1, text), (2, "Ask MRS"), (3, "Anna.Smith@Mail.org or 4111 1111 1111 1111 or Mrs. Anna Smith"), (4, None)]
+    out = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    kinds = [e.kind for e in out[1].entities]
+    assert kinds == ["name", "email", "ip", "card", "phone", "name", "name", "secret"]
+    made = [e.surrogate for e in out[1].entities]
+    for old, new in zip(["Anna", "anna.smith@mail.org", "10.20.30.40", "4111-1111", "555-3436", "Müller", "Иванова"], made):
+        assert old not in out[1].text and new in out[1].text
+    assert re.fullmatch(r"Mrs\. [A-Z][a-z]+na [A-Z][a-z]+", made[0])
+    assert re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", made[3]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", made[4])
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+на", made[6]) and re.fullmatch(r"[0-9A-F]{40}", made[7])
+    again = [e.surrogate for e in out[3].entities]
+    # One entity, one surrogate, whatever the case and the separators.
+    assert again[0].lower() == made[1].lower() and again[1].replace(" ", "-") == made[3] and again[2] == made[0]
+    assert out[2].text == "Ask MRS" and out[4].text is None
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    # A surrogate of 256 values for 60 entities.
+    rows = [(i, f"{a}{b}@x.org") for i, (a, b) in enumerate((a, b) for a in "abcdef" for b in "ghijkmnopq")]
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda *a: f"concat(substr({real(*a)}, 1, 2), '@x.org')")
+    out = pii.replace(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    made = {r.entities[0].surrogate for r in out}
+    assert len(made) == len(rows) and not made & {r[1] for r in rows}
+
+
+def test_main_text():
+    page = """<html><head><title>T</title></head><body><nav><a href=/>Home</a><p>menu</nav>
+      <div class="cookie-notice"><p>We use cookies on this site, please agree to all of them now.</p></div>
+      <div id=wrap><article><h1>A &amp; B</h1><p>First   <b>para</b>graph.<p>Second, with a<br>break.
+      <aside>Read more of this and that and other long things</aside>
+      <ul><li>one</li><li>two</li></ul><form><p>Name</form></article>
+      <section id="comments"><p>I like this article so much that I write a lot about it here.</p></section></div>
+      <script>if (a < b) { document.write("<p>no</p>") }</script>
+      <footer><p>&copy; 2020</footer></body></html>"""
+    assert pages.main_text(page) == "A & B\n\nFirst paragraph.\n\nSecond, with a break.\n\none\n\ntwo"
+
+
+def test_main_text_without_article():
+    lines = "".join(f"<p>{'text of the story ' * 8}{i}</p>" for i in range(3))
+    page = f"<body><div><ul><li><a>x</a></ul></div><hr><div>{lines}</div></body>"
+    assert pages.main_text(page).split("\n\n")[-1].endswith("2")
+
+
+def test_mixing_meets_targets(spark, docs):
+    weights = {f"src{i}": float(i % 3) for i in range(20)}
+    out = mixing.mix(docs, weights, total=3e7, shuffle=False)
+    got = {r.source: r.n for r in out.selectExpr("source", "size(split(text, ' ')) AS n")
+           .groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    for s, w in weights.items():
+        goal = 3e7 * w / sum(weights.values())
+        assert (s not in got) if not w else abs(got[s] - goal) < 0.15 * goal
+    orders = [r.mix_order for r in mixing.mix(docs, weights).collect()]
+    assert orders == sorted(orders)
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as p
+
+    docs = table(spark, SF_SMALL, "documents")
+    kept = {r.doc_id for r in quality_rules.judge(docs, table(spark, SF_SMALL, "labels")).where("kept").collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept)
+    after = brute.line_dedup(rows, line_dedup.MIN_WORDS)
+    rows = [(i, t) for i, t in after.items() if t.strip()]
+    sets, group = {i: brute.shingles(t) for i, t in rows}, {}
+    for i, _ in rows:
+        group[i] = i
+        for j in [g for g in group if g < i]:
+            same = sum((sets[i] & sets[j]).values())
+            if same >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - same) > 0:
+                group[i] = group[j]
+                break
+    items = [tuple(r) for r in table(spark, SF_SMALL, "benchmark").collect()]
+    want = set()
+    for i, t in rows:
+        n, hit, _, _ = brute.contamination(t, items)
+        if group[i] == i and not (hit and 20 * hit >= n):
+            want.add((i, t))
+    given = docs
+    for _, stage in p.STAGES[:-1]:
+        given = stage(spark, given, SF_SMALL)
+        assert given.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in given.collect()} == want
+    mixed = p.run(spark, SF_SMALL).collect()
+    assert {(r.doc_id, r.text) for r in mixed} <= want and len(mixed) > 0.5 * len(want)

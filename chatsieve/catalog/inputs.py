@@ -57,11 +57,10 @@ def chat_lines(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
     if cut:
         lines = lines.selectExpr(
             "conv_id",
-            "part",
             "IF(conv_id % 17 = 5, substring(raw, 1, length(raw) - 5), raw) AS raw",
         )
     path = scratch_path(spark, "jsonl")
-    lines.sort("conv_id", "part").select("raw").write.text(path)
+    lines.sort("conv_id").select("raw").write.text(path)
     return path
 
 

@@ -6,7 +6,6 @@ merged sets, ``row_number`` instead of radix selection, one message per row.
 
 from __future__ import annotations
 
-from chatsieve.sources.turns import PART_TURNS
 
 # The 29 code points of Python's whitespace, as an RE2 class.
 WHITESPACE = (
@@ -221,13 +220,13 @@ _DEDUP = (*_SCORED, DEDUP)
 _SPLIT = (*_DEDUP, SPLIT)
 _COMPARED = (EVALUATION, COMPARED)
 
-# One line per 1000 turns of a conversation, as the lines are written.
-_LINES = f"""
-lines AS (SELECT *, turn // {PART_TURNS} AS part, turn % {PART_TURNS} AS pos FROM chat)
+# One line per conversation.
+_LINES = """
+lines AS (SELECT *, turn AS pos FROM chat)
 """
 _LINE_FAULTS = """
 line_faults AS (
-  SELECT conv_id, part,
+  SELECT conv_id,
     concat_ws(',',
       CASE WHEN count(*) < 2 THEN 'too_few_messages' END,
       string_agg(concat_ws(',',
@@ -239,45 +238,44 @@ line_faults AS (
       CASE WHEN count(*) FILTER (role = 'user') = 0 THEN 'no_user' END,
       CASE WHEN count(*) FILTER (role = 'assistant') = 0 THEN 'no_assistant' END
     ) AS errors
-  FROM lines GROUP BY conv_id, part)
+  FROM lines GROUP BY conv_id)
 """
 
 ORACLE: dict[str, str] = {
     "conversation_assemble": sql(
-        "SELECT conv_id, part, count(*) AS n_messages, "
+        "SELECT conv_id, count(*) AS n_messages, "
         "string_agg(role, ',' ORDER BY turn) AS roles "
-        "FROM lines GROUP BY conv_id, part",
+        "FROM lines GROUP BY conv_id",
         *_CHAT, _LINES,
     ),
     "conversation_explode": sql(
         "SELECT conv_id, turn, role, content FROM chat", *_CHAT
     ),
     "jsonl_scan": sql(
-        "SELECT conv_id, part, count(*) AS n_messages, "
+        "SELECT conv_id, count(*) AS n_messages, "
         "coalesce(sum(length(content)), 0)::BIGINT AS chars "
-        "FROM lines GROUP BY conv_id, part",
+        "FROM lines GROUP BY conv_id",
         *_CHAT, _LINES,
     ),
     "jsonl_quarantine": sql(
-        "SELECT DISTINCT conv_id, part FROM lines WHERE conv_id % 17 = 5 "
-        "ORDER BY conv_id, part LIMIT 5",
+        "SELECT DISTINCT conv_id FROM lines WHERE conv_id % 17 = 5 "
+        "ORDER BY conv_id LIMIT 5",
         *_CHAT, _LINES,
     ),
     "jsonl_counts": sql(
         "SELECT count(*) AS n_lines, "
         "count(*) FILTER (conv_id % 17 <> 5) AS n_parsed, "
         "count(*) FILTER (conv_id % 17 = 5) AS n_malformed "
-        "FROM (SELECT DISTINCT conv_id, part FROM lines)",
+        "FROM (SELECT DISTINCT conv_id FROM lines)",
         *_CHAT, _LINES,
     ),
     "jsonl_roundtrip": sql("SELECT conv_id, turn, role, content FROM chat", *_CHAT),
     "jsonl_validate": sql(
-        "SELECT conv_id, part, errors FROM line_faults",
+        "SELECT conv_id, errors FROM line_faults",
         *_CHAT, _LINES, _LINE_FAULTS,
     ),
-    # No conversation of the tables reaches a second part.
     "jsonl_quality": sql(
-        "SELECT conv_id, 0::BIGINT AS part, quality, bucket FROM scored", *_SCORED
+        "SELECT conv_id, quality, bucket FROM scored", *_SCORED
     ),
     "chat_validate": sql(
         """
@@ -349,10 +347,10 @@ means AS (
         "AS split FROM kept",
         *_DEDUP,
     ),
-    "chat_render": f"""
-SELECT conv_id, turn // {PART_TURNS} AS part, string_agg('<|im_start|>' || role
+    "chat_render": """
+SELECT conv_id, string_agg('<|im_start|>' || role
   || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
-FROM conversations GROUP BY conv_id, turn // {PART_TURNS}""",
+FROM conversations GROUP BY conv_id""",
     "prepare_dataset": sql(
         "SELECT conv_id, quality, bucket, split FROM parted", *_SPLIT
     ),

@@ -52,10 +52,7 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Ids of a line as ``to_lines`` writes them, also where its end is cut.
-LINE_ID = [
-    """CAST(regexp_extract(raw, '"id":([0-9]+)', 1) AS BIGINT) AS conv_id""",
-    """CAST(regexp_extract(raw, '"part":([0-9]+)', 1) AS BIGINT) AS part""",
-]
+LINE_ID = ["""CAST(regexp_extract(raw, '"id":([0-9]+)', 1) AS BIGINT) AS conv_id"""]
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +71,6 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(inputs.chat_input(spark, sf_dir)).selectExpr(
         "conv_id",
-        "part",
         "CAST(size(messages) AS BIGINT) AS n_messages",
         "array_join(transform(messages, m -> m.role), ',') AS roles",
     )
@@ -90,11 +86,9 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_jsonl(spark, inputs.chat_lines(spark, sf_dir))
     return lines.selectExpr(
         "try_variant_get(sample, '$.id', 'bigint') AS conv_id",
-        "try_variant_get(sample, '$.part', 'bigint') AS part",
         f"{typed_messages()} AS messages",
     ).selectExpr(
         "conv_id",
-        "part",
         "CAST(size(messages) AS BIGINT) AS n_messages",
         "aggregate(messages, 0L, (n, m) -> n + coalesce(length(m.content), 0)) AS chars",
     )
@@ -249,9 +243,7 @@ def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = inputs.conversations(spark, sf_dir)
-    return assemble(turns).selectExpr(
-        "conv_id", "part", f"{render_chat('messages')} AS text"
-    )
+    return assemble(turns).selectExpr("conv_id", f"{render_chat('messages')} AS text")
 
 
 @registered

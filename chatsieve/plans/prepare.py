@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,11 @@ from chatsieve.sources.jsonl import (
     line_counts,
     malformed,
     read_jsonl,
+    replace_splits,
     typed_messages,
     write_jsonl,
 )
-from chatsieve.storage import discard, scratch_path, written
+from chatsieve.storage import discard, qualified, scratch_path, written
 
 
 @dataclass
@@ -94,6 +96,24 @@ def measured_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+SPLITS = ("train", "eval")
+
+
+def refuse_overlap(spark: SparkSession, source: DataFrame, out: str) -> None:
+    """Raise if an input file lies in a folder that the result replaces."""
+    folders = [f"{qualified(spark, out).rstrip('/')}/split={s}/" for s in SPLITS]
+    for file in source.inputFiles():
+        if any(folder in unquote(file) for folder in folders):
+            raise ValueError(f"the input {file} lies in a folder that is written")
+
+
+def drop_absent_splits(spark: SparkSession, decisions: DataFrame, out: str) -> None:
+    """Remove what an earlier run left of a split that has no rows now."""
+    for s in SPLITS:
+        if decisions.where(f"split = '{s}'").isEmpty():
+            discard(spark, f"{out.rstrip('/')}/split={s}")
+
+
 def prepare_jsonl(
     spark: SparkSession,
     path: str,
@@ -109,6 +129,7 @@ def prepare_jsonl(
     split read its narrow columns only; the text is read again, and moved once,
     when the kept lines are written.
     """
+    refuse_overlap(spark, spark.read.text(path), out)
     lines_path = scratch_path(spark, "lines")
     curated_path = scratch_path(spark, "curated")
     work = written(
@@ -120,6 +141,7 @@ def prepare_jsonl(
     )
     samples = work.where("parsed").drop("raw")
     if samples.isEmpty():
+        discard(spark, lines_path)
         raise ValueError(f"no valid samples found in {path}")
     curated = written(
         curate(samples, "line_id", "ord", min_quality, min_assistant_length),
@@ -134,6 +156,7 @@ def prepare_jsonl(
         decisions.select("line_id", "split"), "line_id"
     )
     write_jsonl(rows, out, partition_by="split")
+    drop_absent_splits(spark, decisions, out)
     result = _prepared(curated, decisions, [lines_path, curated_path])
     result.line_counts = line_counts(work)
     result.first_errors = malformed(work).orderBy("ord").limit(5)
@@ -159,7 +182,9 @@ def prepare_turns(
         # One conversation may hold much of the table; its turns stay in place.
         hot = largest_keys(kept(curated), "conv_id", "n_messages")
         rows = join_unique(turns, decisions.select("conv_id", "split"), "conv_id", hot)
-        rows.write.mode("overwrite").partitionBy("split").parquet(out)
+        refuse_overlap(turns.sparkSession, turns, out)
+        replace_splits(rows.write).parquet(out)
+        drop_absent_splits(turns.sparkSession, decisions, out)
     return _prepared(curated, decisions, [path])
 
 

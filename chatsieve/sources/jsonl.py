@@ -7,11 +7,19 @@ schema, because inference coerces the very type faults that validation reports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from chatsieve.functions.text import let, strip_ws
 
 
+# The parser's own limits on strings (20 million characters) and numbers would take
+# long values for damage; what remains is the size limit of VARIANT.
+PARSER = (
+    "map('maxStringLen', '2000000000', 'maxNumLen', '2000000000',"
+    " 'maxNestingDepth', '1000', 'allowSingleQuotes', 'false', 'mode', 'PERMISSIVE')"
+)
+
+
 def strict_json(line: str) -> str:
     """VARIANT of a line that is exactly one JSON value, else NULL.
 
@@ -20,7 +28,7 @@ def strict_json(line: str) -> str:
     line's own SHA-256, which no line can contain: that element comes out in
     second place only if one whole value, and nothing else, stands before it.
     """
-    listed = f"try_parse_json(concat('[', {line}, ',\"', seal_, '\"]'))"
+    listed = f"from_json(concat('[', {line}, ',\"', seal_, '\"]'), 'variant', {PARSER})"
     value = (
         "CASE WHEN try_variant_get(listed_, '$[1]', 'string') = seal_ "
         "THEN try_variant_get(listed_, '$[0]', 'variant') END"
@@ -73,12 +81,11 @@ def typed_messages(sample: str = "sample") -> str:
     )
 
 
-def to_lines(parts: DataFrame) -> DataFrame:
-    """Nested rows to JSON lines ``{"id", "part", "messages"}`` in ``raw``."""
-    return parts.selectExpr(
+def to_lines(samples: DataFrame) -> DataFrame:
+    """Nested rows to JSON lines ``{"id", "messages"}`` in ``raw``."""
+    return samples.selectExpr(
         "conv_id",
-        "part",
-        "to_json(struct(conv_id AS id, part, messages),"
+        "to_json(struct(conv_id AS id, messages),"
         " map('ignoreNullFields', 'false')) AS raw",
     )
 
@@ -88,10 +95,21 @@ def write_jsonl(
 ) -> None:
     """Write the ``raw`` column as text files, replacing what is at ``path``.
 
-    With ``partition_by`` one job writes one subfolder per value of that column.
+    With ``partition_by`` one job writes one subfolder per value of that column
+    and replaces these subfolders only.
     """
     columns = ["raw"] + ([partition_by] if partition_by else [])
-    writer = lines.select(*columns).write.mode("overwrite")
+    writer = lines.select(*columns).write
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.text(path)
+        replace_splits(writer, partition_by).text(path)
+    else:
+        writer.mode("overwrite").text(path)
+
+
+def replace_splits(writer: DataFrameWriter, column: str = "split") -> DataFrameWriter:
+    """A writer that replaces the subfolders it has rows for, and nothing else."""
+    return (
+        writer.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(column)
+    )

@@ -11,10 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Messages of one nested row. A longer conversation becomes several rows with
-# running ``part`` numbers, so no row and no group grows without bound.
-PART_TURNS = 1000
-
 
 def read_turns(spark: SparkSession, path: str, content: str = "text") -> DataFrame:
     """Read a parquet turn table, of fixed schema, into the canonical columns."""
@@ -26,28 +22,32 @@ def read_turns(spark: SparkSession, path: str, content: str = "text") -> DataFra
     )
 
 
-def assemble(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Turn rows to ``conv_id, part, messages`` with messages in turn order."""
+def assemble(turns: DataFrame) -> DataFrame:
+    """Turn rows to ``conv_id, messages`` with all messages in turn order.
+
+    One conversation is one sample and so one row, however long. Scoring of turn
+    tables never needs this form; where a conversation passes the size Spark
+    allows for one row, the job fails and says so.
+    """
     collected = F.expr("sort_array(collect_list(struct(turn, role, content)))")
     return (
-        turns.groupBy("conv_id", F.expr(f"turn div {part_turns} AS part"))
+        turns.groupBy("conv_id")
         .agg(collected.alias("messages"))
         .selectExpr(
             "conv_id",
-            "part",
             "transform(messages, m -> struct(m.role AS role, m.content AS content))"
             " AS messages",
         )
     )
 
 
-def explode_messages(parts: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def explode_messages(samples: DataFrame) -> DataFrame:
     """Nested rows back to turn rows."""
-    return parts.selectExpr(
-        "conv_id", "part", "posexplode(messages) AS (pos, m)"
+    return samples.selectExpr(
+        "conv_id", "posexplode(messages) AS (pos, m)"
     ).selectExpr(
         "conv_id",
-        f"part * {part_turns}L + pos AS turn",
+        "CAST(pos AS BIGINT) AS turn",
         "m.role AS role",
         "m.content AS content",
     )

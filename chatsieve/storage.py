@@ -36,6 +36,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as Spark names input files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return folder.getFileSystem(conf).makeQualified(folder).toUri().getPath()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table through the file system that holds it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

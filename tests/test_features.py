@@ -99,13 +99,13 @@ def test_turn_faults_and_valid(spark):
     assert [r.conv_id for r in valid_conversations(turns).collect()] == [1]
 
 
-def test_parts_hold_every_turn(spark):
+def test_a_conversation_is_one_sample(spark):
     turns = chat_input(spark, SF_SMALL)
-    parts = assemble(turns, part_turns=2)
-    assert parts.where("size(messages) > 2").isEmpty()
-    assert parts.where("part > 0").count() > 0
-    back = explode_messages(parts, part_turns=2)
+    back = explode_messages(assemble(turns))
     assert back.exceptAll(turns).isEmpty() and turns.exceptAll(back).isEmpty()
+    said = [("user" if i % 2 == 0 else "assistant", f"turn number {i}") for i in range(1503)]
+    rows = assemble(turn_rows(spark, {1: said})).collect()
+    assert len(rows) == 1 and [m.content for m in rows[0].messages] == [c for _, c in said]
 
 
 def test_role_totals(spark):

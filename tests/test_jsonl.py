@@ -172,3 +172,12 @@ def test_round_trip_keeps_lines_as_they_are(spark, write_lines, tmp_path):
     for _ in range(2):  # the second write replaces the first
         write_jsonl(read_jsonl(spark, write_lines(lines)), out)
     assert sorted(r.raw for r in read_jsonl(spark, out).collect()) == sorted(lines)
+
+
+def test_long_strings_are_not_malformed(spark, write_lines):
+    long = "x" * 21_000_000
+    path = write_lines([sample(user=long), "{broken"])
+    rows = read_jsonl(spark, path).selectExpr(
+        "parsed", "length(try_variant_get(sample, '$.messages[0].content', 'string')) AS n"
+    )
+    assert sorted((r.parsed, r.n) for r in rows.collect()) == [(False, None), (True, 21_000_000)]

@@ -162,3 +162,27 @@ def test_row_local_steps_run_on_a_stream(spark, write_lines, tmp_path):
         query.stop()
     assert sorted(r.valid for r in rows) == [False, True, True]
     assert all(r.quality > 0 for r in rows if r.valid)
+
+
+def test_output_replaces_its_own_folders_only(spark, write_lines, tmp_path):
+    samples = [sample(user=f"Question number {i}?") for i in range(10)]
+    path = write_lines(samples)
+    out = tmp_path
+    (out / "notes.txt").write_text("mine")
+    prepare_jsonl(spark, path, str(out), eval_ratio=0.2)
+    prepare_jsonl(spark, path, str(out), eval_ratio=0.2)
+    assert (out / "notes.txt").read_text() == "mine" and os.path.exists(path)
+    assert len(raws(spark, f"{out}/split=train")) == 8
+    with pytest.raises(ValueError, match="is written"):
+        prepare_jsonl(spark, f"{out}/split=train", str(out))
+    assert len(raws(spark, f"{out}/split=train")) == 8
+
+
+def test_a_long_conversation_is_one_sample_on_both_routes(spark, tmp_path):
+    said = [("user" if i % 2 == 0 else "assistant", f"turn number {i} of many") for i in range(1003)]
+    turns = turn_rows(spark, {1: said, 2: said[:2]})
+    source = str(tmp_path / "lines")
+    to_lines(assemble(turns)).select("raw").write.text(source)
+    nested = prepare_jsonl(spark, source, str(tmp_path / "out"), min_quality=0.0, min_assistant_length=0)
+    flat = prepare_turns(turns, min_quality=0.0, min_assistant_length=0)
+    assert tuple(nested.counters.first()) == tuple(flat.counters.first()) == (2, 0, 0, 0, 2)

@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatsieve.llm.tables import keep, keyed, same_key
+from chatsieve.llm.tables import keep, keyed, size_checked
 
 MIN_WORDS = 40
+# Documents with cuts, and cut lines in all, that are broadcast; more are joined by shuffle.
+MAX_BROADCAST, MAX_BROADCAST_LINES = 300_000, 4_000_000
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -123,6 +125,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         "cut-lines",
     )
+    if (cut.agg(F.expr("sum(size(_cut))")).first()[0] or 0) <= MAX_BROADCAST_LINES:
+        cut = size_checked(cut, MAX_BROADCAST)
     text = F.col("text").cast("string")
     kept = (
         "transform(array_except(sequence(0, size(_lines) - 1), _cut), i -> get(_lines, i))"

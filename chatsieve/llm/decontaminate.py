@@ -190,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept."""
     bad = contamination(docs, benchmark).where("contaminated").select("doc_id", "th").distinct()
-    bad = keep(bad, "contaminated")
+    bad = size_checked(keep(bad, "contaminated"), MAX_BROADCAST)
     key = F.xxhash64(docs["text"].cast("string"), F.lit(7))
     return docs.join(
         bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (key == bad["th"]), "left_anti"

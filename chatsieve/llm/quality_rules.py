@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.llm.arrays import SPACE_TABLE, Words, chunks, mix
-from chatsieve.llm.tables import keep, keyed
+from chatsieve.llm.tables import keep, keyed, size_checked
 
 TREES, SAMPLE = 64, 256
 BINS = 1000
 SEED = 42
 MIN_WORDS = 50
+# Rejected documents whose keys are broadcast; with more they are joined by shuffle.
+MAX_BROADCAST = 300_000
 
 KEY = ("doc_id", "th")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -218,6 +220,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bad = keep(
         judge(docs, labels).where("NOT kept").select("doc_id", "th").distinct(), "rejected"
     )
+    bad = size_checked(bad, MAX_BROADCAST)
     key = F.xxhash64(docs["text"].cast("string"), F.lit(7))
     return docs.join(
         bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (key == bad["th"]), "left_anti"

@@ -7,7 +7,6 @@ fixed variation of it that has both. It covers every row of the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatsieve.functions.text import words
 from chatsieve.sources.jsonl import to_lines
@@ -24,27 +23,25 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn rows with cut texts, a bad role, a missing text, and copies."""
-    turns = conversations(spark, sf_dir)
-    last = (
-        turns.where("conv_id % 11 = 4")
-        .groupBy("conv_id")
-        .agg(F.expr("max(turn) AS turn"), F.expr("true AS is_last"))
-    )
+    """All turn rows as they are and, added row by row: copies (shift of 1 and 2
+    million), short texts (3), a bad role (4) and a missing text (5)."""
     return (
-        turns.join(last, ["conv_id", "turn"], "left")
+        conversations(spark, sf_dir)
         .selectExpr(
-            "conv_id",
+            "*",
+            """explode(array_compact(array(0,
+              IF(conv_id % 5 = 0, 1000000, NULL), IF(conv_id % 10 = 0, 2000000, NULL),
+              IF(conv_id % 7 = 3, 3000000, NULL), IF(conv_id % 11 = 4, 4000000, NULL),
+              IF(conv_id % 13 = 6, 5000000, NULL)))) AS shift""",
+        )
+        .selectExpr(
+            "conv_id + shift AS conv_id",
             "turn",
-            "IF(is_last, 'bot', role) AS role",
-            """CASE WHEN conv_id % 13 = 6 AND turn = 0 THEN NULL
-              WHEN conv_id % 7 = 3 THEN substring(content, 1, 3)
+            "IF(shift = 4000000 AND turn = 1, 'bot', role) AS role",
+            """CASE WHEN shift = 5000000 AND turn = 0 THEN NULL
+              WHEN shift = 3000000 THEN substring(content, 1, 3)
               ELSE content END AS content""",
-            """explode(CASE WHEN conv_id % 10 = 0 THEN array(0, 1000000, 2000000)
-              WHEN conv_id % 5 = 0 THEN array(0, 1000000)
-              ELSE array(0) END) AS shift""",
         )
-        .selectExpr("conv_id + shift AS conv_id", "turn", "role", "content")
     )
 
 
@@ -65,25 +62,27 @@ def chat_lines(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
 
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt, base and tuned response of each conversation that opens with a
-    user turn and an assistant turn; names repeat."""
+    """Prompt, base and tuned response of each user turn that an assistant turn
+    follows; names repeat."""
     turns = conversations(spark, sf_dir)
-    asked = turns.where("turn = 0 AND role = 'user'").selectExpr(
-        "conv_id", "content AS question"
+    asked = turns.where("role = 'user'").selectExpr(
+        "conv_id", "turn + 1 AS turn", "content AS question"
     )
-    answered = turns.where("turn = 1 AND role = 'assistant'").selectExpr(
-        "conv_id", "content AS answer"
+    answered = turns.where("role = 'assistant'").selectExpr(
+        "conv_id", "turn", "content AS answer"
     )
     first_words = f"transform(slice({words('answer')}, 1, 3), w -> upper(w))"
-    return asked.join(answered, "conv_id").selectExpr(
-        "conv_id AS pos",
-        "concat('p', conv_id % 40) AS name",
+    return asked.join(answered, ["conv_id", "turn"]).selectExpr(
+        "conv_id * 1000000 + turn AS pos",
+        "concat('p', (conv_id + turn) % 40) AS name",
         "question AS user",
         "IF(conv_id % 3 = 0, 'Be brief.', NULL) AS system",
         f"IF(conv_id % 4 <> 0, concat({first_words}, array('zzzz')), NULL)"
         " AS expected_keywords",
         "IF(conv_id % 5 = 0, 64, NULL) AS max_tokens",
-        "substring(answer, 1, CAST(conv_id % 600 AS INT)) AS base",
+        """CASE (conv_id + turn) % 5 WHEN 0 THEN concat(answer, ' ', question)
+          WHEN 1 THEN replace(answer, ' ', ' a ') WHEN 2 THEN ' '
+          ELSE answer END AS base""",
         "answer AS tuned",
     )
 

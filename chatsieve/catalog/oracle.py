@@ -14,19 +14,18 @@ WHITESPACE = (
 )
 
 CHAT_INPUT = """
-shifts AS (SELECT * FROM (VALUES (0), (1000000), (2000000)) AS t(shift)),
-varied AS (
-  SELECT conv_id, turn,
-    CASE WHEN conv_id % 11 = 4 AND turn = max(turn) OVER (PARTITION BY conv_id)
-      THEN 'bot' ELSE role END AS role,
-    CASE WHEN conv_id % 13 = 6 AND turn = 0 THEN NULL
-      WHEN conv_id % 7 = 3 THEN substr(text, 1, 3) ELSE text END AS content
-  FROM conversations),
 chat AS (
-  SELECT conv_id + shift AS conv_id, turn, role, content
-  FROM varied JOIN shifts
-    ON shift = 0 OR (shift = 1000000 AND conv_id % 5 = 0)
-      OR (shift = 2000000 AND conv_id % 10 = 0))
+  SELECT conv_id, turn, role, text AS content FROM conversations
+  UNION ALL SELECT conv_id + 1000000, turn, role, text
+  FROM conversations WHERE conv_id % 5 = 0
+  UNION ALL SELECT conv_id + 2000000, turn, role, text
+  FROM conversations WHERE conv_id % 10 = 0
+  UNION ALL SELECT conv_id + 3000000, turn, role, substr(text, 1, 3)
+  FROM conversations WHERE conv_id % 7 = 3
+  UNION ALL SELECT conv_id + 4000000, turn, CASE WHEN turn = 1 THEN 'bot' ELSE role END, text
+  FROM conversations WHERE conv_id % 11 = 4
+  UNION ALL SELECT conv_id + 5000000, turn, role, CASE WHEN turn <> 0 THEN text END
+  FROM conversations WHERE conv_id % 13 = 6)
 """
 
 COUNTS = """
@@ -155,15 +154,19 @@ parted AS (
 # DuckDB keeps a sharp s in upper(); its capital form is two letters.
 EVALUATION = f"""
 rows_ AS (
-  SELECT q.conv_id AS pos, 'p' || (q.conv_id % 40) AS name, q.text AS user_,
+  SELECT a.conv_id * 1000000 + a.turn AS pos, 'p' || ((a.conv_id + a.turn) % 40) AS name,
+    q.text AS user_,
     CASE WHEN q.conv_id % 3 = 0 THEN 'Be brief.' END AS system_,
     CASE WHEN q.conv_id % 4 <> 0 THEN list_concat(
       list_transform({words_sql("a.text")}[1:3], lambda w: upper(replace(w, 'ß', 'ss'))), ['zzzz'])
       END AS keywords,
     CASE WHEN q.conv_id % 5 = 0 THEN 64 END AS max_tokens,
-    substr(a.text, 1, (q.conv_id % 600)::INT) AS base, a.text AS tuned
-  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id
-  WHERE q.turn = 0 AND q.role = 'user' AND a.turn = 1 AND a.role = 'assistant')
+    CASE (a.conv_id + a.turn) % 5 WHEN 0 THEN a.text || ' ' || q.text
+      WHEN 1 THEN replace(a.text, ' ', ' a ') WHEN 2 THEN ' ' ELSE a.text END AS base,
+    a.text AS tuned
+  FROM conversations q JOIN conversations a
+    ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+  WHERE q.role = 'user' AND a.role = 'assistant')
 """
 
 
@@ -351,6 +354,13 @@ means AS (
 SELECT conv_id, string_agg('<|im_start|>' || role
   || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""",
+    "prepare_jsonl_dataset": sql("SELECT conv_id, split FROM parted", *_SPLIT),
+    "training_text": sql(
+        "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || content "
+        "|| '<|im_end|>' || chr(10), '' ORDER BY turn) AS text "
+        "FROM chat JOIN parted USING (conv_id) WHERE split = 'train' GROUP BY conv_id",
+        *_SPLIT,
+    ),
     "prepare_dataset": sql(
         "SELECT conv_id, quality, bucket, split FROM parted", *_SPLIT
     ),
@@ -383,6 +393,11 @@ SELECT pos, name, CASE WHEN system_ <> '' THEN 1 ELSE 0 END, 'user', user_ FROM
         "SELECT name, response, pos FROM last_base", *_COMPARED
     ),
     "compare_responses": sql("SELECT * EXCLUDE (milli) FROM compared", *_COMPARED),
+    "compare_pipeline": sql(
+        "SELECT prompt_name, user_input, base_response, tuned_response, base_score, "
+        "tuned_score, improvement FROM compared",
+        *_COMPARED,
+    ),
     "comparison_report": sql(
         """
 SELECT pos, prompt_name, CASE WHEN milli > 0 THEN 'up' WHEN milli < 0 THEN 'down'

@@ -19,7 +19,10 @@ from chatsieve.operators.features import (
 )
 from chatsieve.operators.render import render_chat
 from chatsieve.operators.validate import turn_faults, valid_conversations
-from chatsieve.plans.prepare import prepare_turns, measured_lines
+from chatsieve.plans import prepare
+from chatsieve.plans.compare import compare_models
+from chatsieve.plans.prepare import measured_lines, prepare_jsonl, prepare_turns
+from chatsieve.sources.evaluation import read_prompts, read_responses, read_results
 from chatsieve.sources.jsonl import (
     line_counts,
     malformed,
@@ -254,6 +257,32 @@ def prepare_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).decisions
 
 
+def jsonl_splits(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the train and eval lines made of all chat lines."""
+    out = scratch_path(spark, "dataset")
+    prepare_jsonl(
+        spark, inputs.chat_lines(spark, sf_dir), out,
+        min_quality=MIN_QUALITY, eval_ratio=EVAL_RATIO, seed=SEED,
+    ).discard()
+    return out
+
+
+@registered
+def prepare_jsonl_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jsonl_splits(spark, sf_dir)
+    train, held = (
+        read_jsonl(spark, f"{out}/split={s}").selectExpr(*LINE_ID, f"'{s}' AS split")
+        for s in ("train", "eval")
+    )
+    return train.unionAll(held)
+
+
+@registered
+def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{jsonl_splits(spark, sf_dir)}/split=train"
+    return prepare.training_text(spark, path).selectExpr(*LINE_ID, "text")
+
+
 # --- evaluation -------------------------------------------------------------
 
 
@@ -303,6 +332,27 @@ def compare_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluated(spark, sf_dir)
 
 
+@registered
+def compare_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.evaluation_rows(spark, sf_dir)
+    tables = {
+        "prompts": inputs.prompts(rows),
+        "base": inputs.responses(rows, "base"),
+        "tuned": inputs.responses(rows, "tuned"),
+    }
+    paths = {name: scratch_path(spark, name) for name in tables}
+    for name, frame in tables.items():
+        frame.write.json(paths[name])
+    out = scratch_path(spark, "results")
+    compare_models(
+        read_prompts(spark, paths["prompts"]),
+        read_responses(spark, paths["base"]),
+        read_responses(spark, paths["tuned"]),
+        out,
+    )
+    return read_results(spark, out)
+
+
 @registered
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report(evaluated(spark, sf_dir))

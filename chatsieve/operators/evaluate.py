@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from chatsieve.functions import scoring
@@ -13,10 +15,13 @@ from chatsieve.operators.validate import aggregates
 DEFAULT_SYSTEM = ""
 DEFAULT_MAX_TOKENS = 256
 PREVIEW_CHARS = 500
+# Prompts that meet in one copy of the base response they share.
+ROWS_PER_COPY = 1_000_000
 
 
 def with_prompt_defaults(prompts: DataFrame) -> DataFrame:
     """Fill absent optional fields; ``error`` names a missing required one."""
+    damaged = "damaged" if "damaged" in prompts.columns else "false"
     return prompts.selectExpr(
         "pos",
         "name",
@@ -25,7 +30,7 @@ def with_prompt_defaults(prompts: DataFrame) -> DataFrame:
         "coalesce(expected_keywords, CAST(array() AS ARRAY<STRING>))"
         " AS expected_keywords",
         f"coalesce(max_tokens, {DEFAULT_MAX_TOKENS}) AS max_tokens",
-        "CASE WHEN name IS NULL THEN 'missing_name' "
+        f"CASE WHEN name IS NULL THEN 'missing_name' WHEN {damaged} THEN 'malformed' "
         "WHEN user IS NULL THEN 'missing_user' END AS error",
     )
 
@@ -91,33 +96,93 @@ def with_response_score(rows: DataFrame, response: str = "response") -> DataFram
 
 
 def last_per_name(base: DataFrame) -> DataFrame:
-    """One base response per prompt name: the last by position.
+    """One base response per prompt name: the last by position, which is unique.
 
-    The aggregate combines map-side, so a name with any share of the rows
-    reaches the reducer as one row per map task.
+    The aggregate is narrow and combines map-side, so a name with any share of
+    the rows reaches the reducer as one row per map task. Texts move once.
     """
-    return base.groupBy("name").agg(
-        *aggregates({"response": "max_by(response, pos)", "pos": "max(pos)"})
+    last = base.groupBy("name").agg(*aggregates({"pos": "max(pos)"}))
+    return base.join(last, ["name", "pos"]).select("name", "response", "pos")
+
+
+def completeness(prompts: DataFrame, base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """One row of counts, all 0 if each prompt has its two responses:
+    ``repeated`` positions (of any table), prompts ``without_tuned`` or
+    ``without_base`` response, ``damaged`` response rows.
+
+    Names and positions only; every step combines map-side.
+    """
+    sides = {"p": prompts, "t": tuned, "b": base}
+    rows = reduce(
+        DataFrame.unionAll,
+        [
+            rows.selectExpr(
+                "pos", "name", *(f"CAST('{s}' = '{side}' AS INT) AS {s}" for s in sides),
+                f"CAST('{side}' <> 'p' AND {'damaged' if 'damaged' in rows.columns else 'name IS NULL'}"
+                " AS INT) AS bad",
+            )
+            for side, rows in sides.items()
+        ],
+    )
+    # Of a prompt and its tuned response the hashes of equal names cancel out.
+    by_pos = rows.groupBy("pos").agg(
+        *aggregates({
+            "p": "sum(p)", "t": "sum(t)", "b": "sum(b)", "bad": "sum(bad)",
+            "names": "coalesce(bit_xor(xxhash64(name)) FILTER (WHERE b = 0), 0L)",
+        })
+    ).selectExpr(
+        "coalesce(sum(CAST(p > 1 OR t > 1 OR b > 1 AS BIGINT)), 0L) AS repeated",
+        "coalesce(sum(IF(t = 0 OR (p = 1 AND t = 1 AND names <> 0), p, 0L)), 0L) AS without_tuned",
+        "coalesce(sum(bad), 0L) AS damaged",
+        "0L AS without_base",
     )
+    by_name = rows.groupBy("name").agg(*aggregates({"p": "sum(p)", "b": "sum(b)"})).selectExpr(
+        "0L AS repeated", "0L AS without_tuned", "0L AS damaged",
+        "coalesce(sum(IF(b = 0, p, 0L)), 0L) AS without_base",
+    )
+    both = by_pos.unionAll(by_name)
+    return both.selectExpr(*(f"sum({c}) AS {c}" for c in both.columns))
 
 
 def compare(prompts: DataFrame, base: DataFrame, tuned: DataFrame) -> DataFrame:
     """Pair, score and compare the responses of two models to each prompt.
 
     Each tuned row keeps its own prompt (same position); all prompts of one name
-    share that name's last base response.
+    share that name's last base response. Positions are unique in each table, and
+    only prompts with both responses have a result (see ``completeness``).
+
+    Which base response a prompt gets is found on names and positions alone. A
+    response that more than ``ROWS_PER_COPY`` prompts share is copied, so that no
+    task holds all of them, and measured before it is.
     """
-    # A base response is measured once, however many prompts share its name.
-    last = with_text_features(
-        last_per_name(base).selectExpr("name", "response AS base_response"),
-        "base_response",
-        "base_",
+    ids = prompts.select("pos", "name")
+    last = (
+        base.groupBy("name").agg(*aggregates({"base_pos": "max(pos)"}))
+        .join(ids.groupBy("name").agg(*aggregates({"n": "count(*)"})), "name")
+        .selectExpr("name", "base_pos", f"1 + n DIV {ROWS_PER_COPY} AS copies")
+    )
+    choice = join_unique(ids, last, "name", hot_keys(ids, "name")).selectExpr(
+        "pos", "name", "base_pos", "pmod(xxhash64(pos), copies) AS copy"
+    )
+    texts = (
+        with_text_features(
+            base.selectExpr("pos AS base_pos", "name", "response AS base_response"),
+            "base_response",
+            "base_",
+        )
+        .drop("base_lower")
+        .join(last, ["name", "base_pos"])
+        .selectExpr("* EXCEPT (name, copies)", "explode(sequence(0L, copies - 1)) AS copy")
     )
     answers = tuned.selectExpr("pos", "name", "response AS tuned_response")
-    paired = prompts.select("pos", "name", "user", "expected_keywords").join(
-        answers, ["pos", "name"]
+    paired = (
+        prompts.select("pos", "name", "user", "expected_keywords")
+        .join(answers, ["pos", "name"])
+        .join(choice, ["pos", "name"])
+    )
+    joined = paired.join(texts, ["base_pos", "copy"]).selectExpr(
+        "*", "lower(base_response) AS base_lower"
     )
-    joined = join_unique(paired, last, "name", hot_keys(tuned, "name"))
     scored = with_score(with_coverage(joined, prefix="base_"), "base_")
     scored = with_text_features(scored, "tuned_response", "tuned_")
     scored = with_score(with_coverage(scored, prefix="tuned_"), "tuned_")

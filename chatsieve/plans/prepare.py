@@ -191,6 +191,6 @@ def prepare_turns(
 def training_text(
     spark: SparkSession, path: str, template: str = CHATML
 ) -> DataFrame:
-    """Re-read curated JSON Lines and render each sample: ``ord, text``."""
+    """Re-read curated JSON Lines and render each sample: ``ord, raw, text``."""
     text = render_chat(typed_messages(), template)
-    return read_jsonl(spark, path).selectExpr("ord", f"{text} AS text")
+    return read_jsonl(spark, path).selectExpr("ord", "raw", f"{text} AS text")

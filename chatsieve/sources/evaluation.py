@@ -11,14 +11,34 @@ PROMPT_SCHEMA = (
 RESPONSE_SCHEMA = "pos BIGINT, name STRING, response STRING"
 
 
+# Rows without a position are paired by name; equal names then share a position.
+POSITION = "coalesce(pos, xxhash64(name)) AS pos"
+
+
+def _read(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(f"{schema}, _corrupt_record STRING").format(fmt).load(path)
+    others = [c for c in rows.columns if c not in ("pos", "_corrupt_record")]
+    # The reader finds faults only in fields that it has to read, so all are used.
+    used = f"length(concat_ws('', pos, {', '.join(others)})) < 0"
+    return rows.selectExpr(
+        POSITION, *others,
+        f"_corrupt_record IS NOT NULL OR name IS NULL OR {used} AS damaged",
+    )
+
+
 def read_prompts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Prompts in a fixed schema; absent fields become NULL."""
-    return spark.read.schema(PROMPT_SCHEMA).format(fmt).load(path)
+    """Prompts in a fixed schema; absent fields become NULL.
+
+    ``damaged`` marks rows without a name, and lines that are no JSON or have a
+    list or number field of another type; a text field takes any value as JSON text.
+    """
+    return _read(spark, path, fmt, PROMPT_SCHEMA)
 
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Model responses in a fixed schema, one row per prompt position."""
-    return spark.read.schema(RESPONSE_SCHEMA).format(fmt).load(path)
+    """Model responses in a fixed schema, one row per prompt position; ``damaged``
+    as for prompts."""
+    return _read(spark, path, fmt, RESPONSE_SCHEMA)
 
 
 # The fields of a written result.
@@ -28,6 +48,16 @@ RESULT_FIELDS = [
 ]
 
 
+RESULT_SCHEMA = (
+    "prompt_name STRING, user_input STRING, base_response STRING, "
+    "tuned_response STRING, base_score DOUBLE, tuned_score DOUBLE, improvement DOUBLE"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT_SCHEMA).json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Write comparison results as JSON Lines, replacing what is at ``path``."""
     results.select(*RESULT_FIELDS).write.mode("overwrite").json(path)

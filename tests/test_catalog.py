@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as driver
 from chatsieve import storage
+from chatsieve.catalog.inputs import conversations
 from chatsieve.catalog.queries import QUERIES
 from tests.conftest import SF_CHECK, SF_SMALL
 
@@ -49,7 +50,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     rows = driver.entry(spark).collect()
-    assert len(rows) == 12 and sum(r.drop_reason is None for r in rows) == 9
+    assert len(rows) == 19 and sum(r.drop_reason is None for r in rows) == 16
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -60,11 +61,11 @@ def test_plan_has_no_product_and_no_python(spark, name):
 
 
 def test_scans_read_only_what_is_needed(spark):
-    plan = driver.queries()["chat_valid"](spark, SF_CHECK)._jdf.queryExecution()
+    plan = conversations(spark, SF_CHECK).select("role")._jdf.queryExecution()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan.toString())
-    assert any("text" not in s for s in schemas)
+    assert schemas == ["role:string"]
     plan = driver.queries()["prompt_messages"](spark, SF_CHECK)._jdf.queryExecution()
-    assert "EqualTo(turn,0), EqualTo(role,user)" in plan.toString()
+    assert "EqualTo(role,user)" in plan.toString()
 
 
 def test_scratch_folder_comes_from_the_session(spark):

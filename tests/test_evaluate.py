@@ -20,6 +20,7 @@ from chatsieve.sources.evaluation import (
     RESPONSE_SCHEMA,
     RESULT_FIELDS,
     read_prompts,
+    read_responses,
 )
 
 
@@ -155,11 +156,66 @@ def test_preview_is_cut_and_empty_summary(spark):
     results, _ = compare_models(table, answer, answer)
     row = report(results).first()
     assert row.base_preview == row.tuned_preview == "é" * 500
-    none = responses(spark, (5, "zz", "x"))
-    results, totals = compare_models(table, none, none)
+    results, totals = compare_models(table.limit(0), answer.limit(0), answer.limit(0))
     assert results.isEmpty() and totals.first().mean_improvement == 0.0
 
 
+def test_unmatched_and_repeated_rows_stop_the_comparison(spark):
+    table = prompts(
+        spark, (0, "a", "u", None, None, None), (1, "b", "v", None, None, None)
+    )
+    both = responses(spark, (0, "a", "x"), (1, "b", "y"))
+    one = responses(spark, (0, "a", "x"))
+    other = responses(spark, (0, "a", "x"), (1, "c", "y"))
+    nameless = responses(spark, (0, "a", "x"), (1, "b", "y"), (2, None, "z"))
+    for base, tuned, counts in (
+        (both, one, "'without_tuned': 1"),
+        (one, both, "'without_base': 1"),
+        (both, other, "'without_tuned': 1"),
+        (both, both.union(one), "'repeated': 1"),
+        (both.union(one), both, "'repeated': 1"),
+        (nameless, both, "'damaged': 1"),
+    ):
+        with pytest.raises(ValueError, match=counts):
+            compare_models(table, base, tuned)
+    # A base response that belongs to no prompt does no harm.
+    assert compare_models(table, both.union(responses(spark, (7, "zz", "q"))), both)[0].count() == 2
+
+
+def test_files_without_positions_are_paired_by_name(spark, tmp_path):
+    def lines(name, *items):
+        path = tmp_path / name
+        path.write_text("\n".join(i if isinstance(i, str) else json.dumps(i) for i in items))
+        return str(path)
+
+    table = read_prompts(spark, lines("p", {"name": "a", "user": "u"}, {"name": "b", "user": "v"}))
+    base = read_responses(
+        spark, lines("b", {"name": "b", "response": "y"}, {"name": "a", "response": "x"})
+    )
+    results, _ = compare_models(table, base, base)
+    assert sorted((r.prompt_name, r.base_response) for r in results.collect()) == [
+        ("a", "x"), ("b", "y"),
+    ]
+    cut = read_responses(
+        spark,
+        lines("c", {"name": "b", "response": "y"}, {"name": "a", "response": "x"}, '{"name": "b'),
+    )
+    with pytest.raises(ValueError, match="'damaged': 1"):
+        compare_models(table, base, cut)
+    odd = read_prompts(spark, lines("o", {"name": "a", "user": "u", "max_tokens": "x"}))
+    with pytest.raises(ValueError, match="malformed"):
+        compare_models(odd, base, base)
+
+
+def test_copies_of_a_shared_base_response(spark, monkeypatch):
+    table = prompts(spark, *[(i, "a", f"q{i}", None, ["w1"], None) for i in range(40)])
+    tuned = responses(spark, *[(i, "a", f"w{i % 7} " * i) for i in range(40)])
+    plain = sorted(map(tuple, compare(table, tuned, tuned).collect()))
+    assert len(plain) == 40
+    monkeypatch.setattr("chatsieve.operators.evaluate.ROWS_PER_COPY", 10)
+    assert sorted(map(tuple, compare(table, tuned, tuned).collect())) == plain
+
+
 def test_incomplete_prompt_stops_the_comparison(spark):
     table = prompts(spark, (3, "a", None, None, None, None))
     some = responses(spark, (3, "a", "x"))

@@ -160,6 +160,25 @@ def test_keep_one_of_each_class(spark):
     assert sorted(r.doc_id for r in out) == [1, 90, 91, 92, 93]
 
 
+def test_original_draws_spread_out_variants_together(spark):
+    # 400 variants are like their original (number 200), and hardly one like another.
+    base = [f"w{i}" for i in range(400)]
+    rows = [(200, " ".join(base))]
+    for i in range(400):
+        text = [f"v{i}x{j}" if j % 400 == (i * 13) % 400 or j == (i * 29 + 7) % 400 else w for j, w in enumerate(base)]
+        rows.append((1000 + i if i % 2 else i - 1000, " ".join(text)))
+    out = near_dup.classes(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {r.class_id for r in out} == {-1000} and len(out) == len(rows)
+
+
+def test_keep_one_of_repeated_rows(spark):
+    one, two = (" ".join(f"w{i}" for i in range(k, k + 90)) for k in (0, 1))
+    rows = [(5, one), (5, one), (5, two), (6, one), (7, "other"), (7, "words"), (8, None), (8, None), (9, "other x"), (9, "other x")]
+    out = near_dup.keep_one(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert len([r for r in out if r.doc_id == 5]) == 1
+    assert sorted(r.doc_id for r in out) == [5, 7, 7, 8, 8, 9]
+
+
 def test_surrogates(spark):
     text = ("Mrs. Anna Smith wrote to anna.smith@mail.org from 10.20.30.40, card 4111-1111-1111-1111,"
             " tel. +1 (974) 555-3436. Herr Müller, Госпожа Иванова. key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B")

@@ -171,6 +171,29 @@ def test_original_draws_spread_out_variants_together(spark):
     assert {r.class_id for r in out} == {-1000} and len(out) == len(rows)
 
 
+def test_all_pairs_of_a_bucket_meet(spark, monkeypatch):
+    # Forty texts share a passage, two by two they are near copies. The first rounds see none of them.
+    monkeypatch.setattr(near_dup, "candidate_pairs", lambda buckets, number: buckets.selectExpr("node AS a", "node AS b").limit(0))
+    passage = [f"w{i}" for i in range(300)]
+    rows = [(2 * i + j, " ".join(passage + [f"t{i}x{k}" for k in range(60)] + ["end"] * j))
+            for i in range(20) for j in range(2)]
+    out = near_dup.classes(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {(r.doc_id, r.class_id) for r in out} == {(i, i - i % 2) for i, _ in rows}
+
+
+def test_leaders_finish_each_bucket(spark):
+    rows = [(0, 1, bytes([i]), bytes([i % 30])) for i in range(90)] + [(1, 1, b"a", b"z"), (1, 1, b"b", b"z")]
+    buckets = spark.createDataFrame(rows, "band INT, key LONG, node BINARY, label BINARY")
+    met, led, rounds = set(), None, 0
+    while led is None or not leaders.isEmpty():
+        leaders = near_dup.bucket_leaders(buckets, None, led, 1 if led is None else near_dup.SLOTS).localCheckpoint()
+        led = leaders if led is None else led.union(leaders)
+        met |= {(bytes(r.a), bytes(r.b)) for r in near_dup.leader_pairs(buckets, leaders).collect()}
+        rounds += 1
+    assert met == {(bytes([j]), bytes([i])) for i in range(90) for j in range(i) if (i - j) % 30}
+    assert rounds < 15
+
+
 def test_keep_one_of_repeated_rows(spark):
     one, two = (" ".join(f"w{i}" for i in range(k, k + 90)) for k in (0, 1))
     rows = [(5, one), (5, one), (5, two), (6, one), (7, "other"), (7, "words"), (8, None), (8, None), (9, "other x"), (9, "other x")]

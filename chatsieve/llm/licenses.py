@@ -1,6 +1,8 @@
 """License scan by an exact set-similarity join of text blocks and templates.
 
-A block is a line of a document; blocks and templates are sets of words. A
+A block is a line of a document, or a window of words anywhere in its text, over line ends,
+since notices are wrapped; a window has as many words as the template divided by
+``THRESHOLD``, so that marks of comment lines may stand between. Blocks and templates are sets of words. A
 block matches a template if it holds at least ``THRESHOLD`` of the template's
 distinct words. Words of templates are ordered by how often all documents use
 them, rarest first. Three filters leave few blocks and lose none: a match holds
@@ -92,7 +94,7 @@ class Templates:
         by_hash = np.argsort(h)
         self.known = h[by_hash]
         self.known_rank = np.array([self.rank[words[i]] for i in by_hash])
-        self.sets = []
+        self.sets, self.widths = [], []
         self.first = np.zeros(len(h), bool)  # by rank: in some template's prefix
         for label, text in TEMPLATES:
             ranks = sorted({self.rank[w] for w in text.split()})
@@ -100,6 +102,7 @@ class Templates:
             prefix = ranks[: len(ranks) - need + 1]
             self.first[prefix] = True
             self.sets.append((label, ranks, need, set(prefix)))
+            self.widths.append(ceil(len(text.split()) / threshold - 1e-9))
         self.least = min(need for _, _, need, _ in self.sets)
         self.base = [(_hashes(p.split()), label) for p, label in BASE.items()]
 
@@ -120,6 +123,33 @@ class Templates:
                 found.append((label, common / len(ranks)))
         return found
 
+    def windows(
+        self, place: np.ndarray, rank: np.ndarray, doc: np.ndarray
+    ) -> Iterator[tuple[int, str, float]]:
+        """Text number, label and containment of the windows that match; ``place, rank, doc``
+        of all template words, in order."""
+        for (label, ranks, need, prefix), width in zip(self.sets, self.widths):
+            mine, rare = np.zeros((2, len(self.first)), bool)
+            mine[ranks], rare[list(prefix)] = True, True
+            own = mine[rank]
+            r, d = rank[own], doc[own]
+            at = place[own] + d * width  # no window spans two texts
+            begin = np.searchsorted(at, at - width, "right")
+            rares = np.concatenate(([0], np.cumsum(rare[r])))
+            last = np.flatnonzero(
+                (np.arange(len(at)) - begin + 1 >= need) & (rares[1:] > rares[begin]))
+            order = np.argsort(r, kind="stable")
+            same = r[order[1:]] == r[order[:-1]]
+            before = np.full(len(r), -1)  # where the same word stands before
+            before[order[1:][same]] = order[:-1][same]
+            for i in range(0, len(last), 10_000):
+                end = last[i : i + 10_000]
+                word = end[:, None] - np.arange(width)
+                start = begin[end][:, None]
+                common = ((word >= start) & (before[word] < start)).sum(1)
+                for k in np.flatnonzero(common >= need):
+                    yield int(d[end[k]]), label, common[k] / len(ranks)
+
 
 def scan_batches(
     templates: Templates, batches: Iterator[pa.RecordBatch]
@@ -161,6 +191,9 @@ def scan_batches(
                 for label, share in templates.matches(block[:, 1].tolist()):
                     own[d].add(label)
                     score[d] = max(score[d], share)
+            for d, label, share in templates.windows(place, rank, doc[place]):
+                own[d].add(label)
+                score[d] = max(score[d], share)
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
                 [

@@ -56,6 +56,19 @@ def test_licenses(docs, texts):
         assert r.score == max([s for s, _ in found] + [float(base[1] > 0)])
 
 
+def test_wrapped_license_headers(spark):
+    mit = """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal"""
+    bsd = """# Redistribution and use in source and binary forms, with or
+# without modification, are permitted provided that the following
+# conditions are met:"""
+    parts = bsd.split("\n")
+    rows = [(1, mit), (2, bsd), (3, parts[0]), (4, "\n".join(parts[1:])), (5, parts[0] + " word" * 30 + "\n" + parts[1])]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in out} == {
+        1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
 def test_rule_counts_and_verdicts(spark, docs, texts):
     out = quality_rules.judge(docs, table(spark, SF_CHECK, "labels")).collect()
     quality = {r.doc_id: r.quality for r in table(spark, SF_CHECK, "labels").collect()}

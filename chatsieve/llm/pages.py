@@ -6,10 +6,11 @@ menus, headers, footers, forms, elements whose class, id or role names an
 advert, a notice, comments and the like) leaves nothing. The start and the end of a
 page part (article, main, ...) put ``WINDOW`` empty lines into the sequence, of other
 boxes one. Text lengths are summed over windows of that many lines; a stretch
-begins where the sum surges from zero and ends where it dives back to it. The
-stretch with the most text outside links is the main text; stretches of an
-article or main element go before others, and all stretches of the same element count
-together. All of its lines are kept.
+begins where the sum surges from zero and ends where it dives back to it. Main text are
+all stretches that have ``BLOCK`` characters outside links in some window, and at least as many
+outside links as in them; if none has, the one with most. Stretches of an article or main
+element go before others, and all stretches of the same outermost such element count
+together. All of their lines are kept.
 
 Edge cases. NULL and empty html, and pages without text, give ''. Unclosed
 elements end where an enclosing one ends, cut-off tags are dropped. Of equal
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
+# Characters outside links in a window from which on it is a block of text.
+BLOCK = 86
 
 # HTML element and attribute names.
 _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title")
@@ -89,8 +92,8 @@ def furniture(name: str, attrs: str) -> bool:
 
 
 def text_lines(page: str) -> list[tuple[str, int, int]]:
-    """Lines of a page: text, characters outside links, number of the enclosing
-    article or main element (0: none). Empty lines mark borders."""
+    """Lines of a page: text, characters outside links, number of the outermost
+    enclosing article or main element (0: none). Empty lines mark borders."""
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     plain = 0
@@ -160,7 +163,7 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
         stack.append((name, gone, part))
         dropped += gone
         links += name == "a"
-        if name in ("article", "main") and not dropped:
+        if name in ("article", "main") and not dropped and not part:
             count += 1
             part = count
     if not dropped and done < len(page):
@@ -189,17 +192,23 @@ def main_text(page: str | None) -> str:
     if begin is not None:
         stretches.append((begin, len(lines)))
     weight: dict[tuple[int, int], int] = {}
+    dense: dict[tuple[int, int], bool] = {}
     members: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for n, (a, b) in enumerate(stretches):
         part = max((p for t, _, p in lines[a:b] if t), default=0)
         key = (1, part) if part else (0, n)
-        weight[key] = weight.get(key, 0) + sum(w for _, w, _ in lines[a:b])
+        plain = [w for _, w, _ in lines[a:b]]
+        weight[key] = weight.get(key, 0) + sum(plain)
+        dense[key] = dense.get(key, False) or (
+            max(sum(plain[i : i + WINDOW]) for i in range(len(plain))) >= BLOCK
+            and 2 * sum(plain) >= sum(sizes[a:b])
+        )
         members.setdefault(key, []).append((a, b))
     if not weight:
         return ""
     named = [k for k in weight if k[0]] or list(weight)
-    best = max(named, key=lambda k: weight[k])
-    return "\n\n".join(t for a, b in members[best] for t, _, _ in lines[a:b] if t)
+    best = [k for k in named if dense[k]] or [max(named, key=lambda k: weight[k])]
+    return "\n\n".join(t for k in best for a, b in members[k] for t, _, _ in lines[a:b] if t)
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,6 +262,17 @@ def test_main_text_without_article():
     assert pages.main_text(page).split("\n\n")[-1].endswith("2")
 
 
+def test_main_text_of_rows_and_nested_parts():
+    rows = [f"{'words of paragraph ' * 8}{i}" for i in range(4)]
+    boxes = "".join(f"<div class=row><div class=col><p>{r}</p></div></div>" for r in rows)
+    links = "<div><div><ul>" + f"<li><a href=/>{'link to elsewhere ' * 9}</a>" * 9 + "</ul></div></div>"
+    assert pages.main_text(f"<body>{links}{boxes}{links}</body>") == "\n\n".join(rows)
+    nested = f"<main><p>{rows[0]}<article><p>{rows[1]}<article><p>{rows[2]}</article></article><p>{rows[3]}</main>"
+    assert pages.main_text(f"<body>{links}{nested}</body>") == "\n\n".join(rows)
+    apart = f"<article><p>{rows[0]}</article><article><p>{rows[1]}</article><article><a>{rows[2]}</a></article>"
+    assert pages.main_text(apart) == "\n\n".join(rows[:2])
+
+
 def test_mixing_meets_targets(spark, docs):
     weights = {f"src{i}": float(i % 3) for i in range(20)}
     out = mixing.mix(docs, weights, total=3e7, shuffle=False)

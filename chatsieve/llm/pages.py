@@ -3,7 +3,9 @@
 Markup is stripped to lines: every block-level tag ends a line, white space in a
 line becomes one space. Page furniture that says what it is (scripts, styles,
 menus, headers, footers, forms, elements whose class, id or role names an
-advert, a notice, comments and the like) leaves nothing. The start and the end of a
+advert, a notice, comments and the like) leaves nothing; but a block with such a class or id
+that holds an article, main or h1 element, or over half of the page's text outside links, is
+a wrapper and stays. The start and the end of a
 page part (article, main, ...) put ``WINDOW`` empty lines into the sequence, of other
 boxes one. Text lengths are summed over windows of that many lines; a stretch
 begins where the sum surges from zero and ends where it dives back to it. Main text are
@@ -70,25 +72,30 @@ _CUT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def furniture(name: str, attrs: str) -> bool:
-    """Whether an element says that it is not part of the article."""
+SAYS, MAY = 2, 1
+
+
+def furniture(name: str, attrs: str) -> int:
+    """Whether an element says that it is not part of the article: ``SAYS``, or ``MAY`` if
+    only a word of its class or id does, or 0."""
     if name in _GONE:
-        return True
+        return SAYS
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return 0
+    may = 0
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role":
             if value.strip().lower() in _ROLES:
-                return True
+                return SAYS
         elif key == "hidden":
-            return True
+            return SAYS
         elif key == "aria-hidden":
             if value.strip().lower() == "true":
-                return True
+                return SAYS
         elif not _WORDS.isdisjoint(_CUT.split(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            may = MAY
+    return may
 
 
 def text_lines(page: str) -> list[tuple[str, int, int]]:
@@ -97,28 +104,37 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     plain = 0
-    stack: list[tuple[str, bool, int]] = []  # name, starts a dropped element, part
-    dropped = links = count = part = 0
+    stack: list[tuple[str, bool, int, int]] = []  # name, starts a dropped element, part, box
+    dropped = links = count = part = box = 0
+    # Blocks that a class or id calls furniture, 0 for the page: enclosing one, whether it holds
+    # an article, main or h1, characters outside links; and the innermost one of each line.
+    outer, holds, size = [0], [True], [0]
+    boxes: list[int] = []
 
     def flush(empty: int = 0) -> None:
         nonlocal plain
         text = " ".join(codec.unescape("".join(parts)).split()) if parts else ""
         if text:
             lines.append((text, plain, part))
+            size[box] += plain
         parts.clear()
         plain = 0
         lines.extend([("", 0, part)] * empty)
+        boxes.extend([box] * (len(lines) - len(boxes)))
 
     def gap(name: str) -> int:
         return WINDOW if name in _PART else 1 if name in _BOX else 0
 
     def leave(at: int) -> None:
         """Close all elements from ``stack[at]`` on."""
-        nonlocal dropped, links, part
+        nonlocal dropped, links, part, box
         while len(stack) > at:
-            name, gone, before = stack.pop()
+            name, gone, before, around = stack.pop()
             if gone:
                 dropped -= 1
+            if box != around:
+                flush()
+                box = around
             if not dropped and (name in _LINE or gap(name)):
                 flush(gap(name))
             links -= name == "a"
@@ -157,12 +173,25 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
                     break
                 if gap(stack[at][0]) or stack[at][0] in _GONE:
                     break
-        gone = furniture(name, m["attrs"])
+        says = furniture(name, m["attrs"])
+        gone = says == SAYS or says == MAY and not block
+        around = box
         if not dropped and block:
+            if says == MAY:
+                flush()
+                box = len(outer)
+                outer.append(around)
+                holds.append(False)
+                size.append(0)
             flush(0 if gone else gap(name))
-        stack.append((name, gone, part))
+        stack.append((name, gone, part, around))
         dropped += gone
         links += name == "a"
+        if name in ("article", "main", "h1") and not dropped:
+            holding = box
+            while not holds[holding]:
+                holds[holding] = True
+                holding = outer[holding]
         if name in ("article", "main") and not dropped and not part:
             count += 1
             part = count
@@ -171,7 +200,14 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
         plain += 0 if links else len(page) - done
     leave(0)
     flush()
-    return lines
+    if len(outer) == 1:
+        return lines
+    for i in range(len(outer) - 1, 0, -1):
+        size[outer[i]] += size[i]
+    stays = [True]
+    for i in range(1, len(outer)):
+        stays.append(stays[outer[i]] and (holds[i] or size[i] >= BLOCK and 2 * size[i] > size[0]))
+    return [line for line, i in zip(lines, boxes) if stays[i]]
 
 
 def main_text(page: str | None) -> str:

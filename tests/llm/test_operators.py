@@ -273,6 +273,17 @@ def test_main_text_of_rows_and_nested_parts():
     assert pages.main_text(apart) == "\n\n".join(rows[:2])
 
 
+def test_main_text_in_wrappers_that_name_furniture():
+    story = f"<p>{'words of the story ' * 8}</p>"
+    text = ("words of the story " * 8).strip()
+    advert = f"<div class=ad><p>{'buy this now ' * 12}</p></div>"
+    for wrapper in ('class="content with-sidebar"', 'id="page" class="no-sidebar"', "class=layout-side-left"):
+        assert pages.main_text(f"<body><div {wrapper}>{advert}<article>{story}</article></div>") == text
+        assert pages.main_text(f"<body><div {wrapper}>{story * 2}{advert}</div>") == f"{text}\n\n{text}"
+    titled = f'<article><div class="post-header"><h1>Title</h1></div>{advert}{story}</article>'
+    assert pages.main_text(titled) == f"Title\n\n{text}"
+
+
 def test_mixing_meets_targets(spark, docs):
     weights = {f"src{i}": float(i % 3) for i in range(20)}
     out = mixing.mix(docs, weights, total=3e7, shuffle=False)

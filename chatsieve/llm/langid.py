@@ -12,8 +12,12 @@ The language with the lowest cross-entropy per character wins. ``rejected`` tell
 texts whose cross-entropy is above that of all but ``REJECT`` of the learning
 rows of the language (calibrated on all of them); their score is halved.
 
-Bounds: the model keeps the ``MAX_GRAMS`` most frequent grams of the highest order
-(all, unless there are more), fewer with many languages, so that it fits a task.
+All grams are kept. With more than ``MAX_GRAMS``, fewer with many languages, the model does
+not fit a task and is made in blocks, by the two characters in the middle of a gram: a
+block has all grams and contexts of orders 3 and 4 that its grams lead to, and those of orders 1
+and 2 (at most the alphabet squared) whole. Every block scores the grams of every text that are its own, and the
+sums of a text are added. Discounts and lower counts then come from aggregates over
+all grams, so blocks give the same probabilities as one model.
 
 Edge cases. NULL texts and texts without a letter give ``und`` and score 0, as
 does any text if there is no learning row with a letter. Ties go to the
@@ -24,7 +28,7 @@ ids count as the text ''. Repeated rows count each. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatsieve.llm.tables import keep
+from chatsieve.llm.tables import keep, same_key
 
 ORDER = 4
 MAX_GRAMS = 2_000_000
@@ -131,12 +135,26 @@ def _lookup(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
+def discount(one: int, two: int) -> float:
+    return one / (one + 2 * two) if one and two else 0.5
+
+
+def middle(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of each gram."""
+    return (keys >> _U(16) & _U(0xFFFFFFFF)) % _U(blocks)
+
+
 class Model:
     """``keys[n]``, ``prob[n]`` (grams x languages, logs), ``ctx[n]``, ``back[n]``
     (contexts of order n and the log weights of the lower order)."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
+    def __init__(
+        self, counts: pd.DataFrame, langs: list[str] | None = None,
+        low: dict[int, pd.DataFrame] | None = None, discounts: dict[tuple[str, int], float] | None = None,
+    ):
+        """``counts``: ``lang, gram, n`` of the highest order. A block has only some of them; it
+        needs all languages, the counts of orders 1 and 2 and the discounts of the whole."""
+        self.langs = sorted(counts["lang"].unique()) if langs is None else langs
         per = []
         for lang in self.langs:
             own = counts[counts["lang"] == lang]
@@ -144,7 +162,11 @@ class Model:
             order = np.argsort(keys)
             levels = {ORDER: (keys[order], own["n"].to_numpy()[order])}
             for n in range(ORDER - 1, 0, -1):  # continuation counts
-                levels[n] = np.unique(levels[n + 1][0] & _MASK[n], return_counts=True)
+                if low and n in low:
+                    part = low[n][low[n]["lang"] == lang].sort_values("gram")
+                    levels[n] = part["gram"].to_numpy().view(_U), part["n"].to_numpy()
+                else:
+                    levels[n] = np.unique(levels[n + 1][0] & _MASK[n], return_counts=True)
             per.append(levels)
         self.keys, self.prob, self.ctx, self.back = {}, {}, {}, {}
         size = len(self.langs)
@@ -159,8 +181,10 @@ class Model:
                 of = own >> _U(16)
                 heads, at = np.unique(of, return_inverse=True)
                 total, kinds = np.bincount(at, c), np.bincount(at)
-                one, two = (c == 1).sum(), (c == 2).sum()
-                d = one / (one + 2 * two) if one and two else 0.5
+                if discounts is None:
+                    d = discount((c == 1).sum(), (c == 2).sum())
+                else:
+                    d = discounts[self.langs[i], n]
                 back[_lookup(ctx, heads), i] = np.log(d * kinds / total)
                 seen = np.zeros(len(keys))
                 seen[_lookup(keys, own)] = np.maximum(c - d, 0) / total[at]
@@ -177,6 +201,8 @@ class Model:
     def logs(self, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
         """Log probability of each gram in each language."""
         at = _lookup(self.keys[n], keys)
+        if not len(self.keys[n]):  # a block without grams of this order
+            return self.logs(keys & _MASK[n - 1], n - 1)
         out = self.prob[n][at]
         miss = np.flatnonzero(at < 0)
         if len(miss):
@@ -187,6 +213,35 @@ class Model:
         return out
 
 
+def log_sums(model: Model, texts: list[str | None], letter: np.ndarray, block: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each text, and sums (texts x languages) of the logs of its grams that are in
+    ``block``."""
+    n = len(texts)
+    key, doc = grams(*codes(texts, letter))
+    length = np.bincount(doc, minlength=n)
+    if blocks > 1:
+        own = middle(key, blocks) == _U(block)
+        key, doc = key[own], doc[own]
+    logs = model.logs(key)
+    return length, np.stack([np.bincount(doc, logs[:, i], n) for i in range(len(model.langs))], 1)
+
+
+def verdict(langs: list[str], length: np.ndarray, sums: np.ndarray) -> list[pa.Array]:
+    """Best language, its entropy and score for each text."""
+    mean = sums / np.maximum(length, 1)[:, None]
+    top = mean.argmax(1)
+    high = mean[np.arange(len(mean)), top]
+    sharp = np.minimum(SHARPNESS, np.maximum(length, 1))[:, None]
+    score = 1 / np.exp((mean - high[:, None]) * sharp).sum(1)
+    none = length == 0
+    best = np.where(none, "und", np.array(langs, object)[top])
+    return [pa.array(best.tolist(), pa.string()), pa.array(-high, mask=none),
+            pa.array(np.where(none, 0.0, score))]
+
+
+VERDICT = ("lang_pred", "entropy", "score")
+
+
 def predict(
     model: Model | None, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
@@ -195,53 +250,111 @@ def predict(
         texts = batch.column("text").to_pylist()
         for lo, hi in text_chunks(texts):
             n = hi - lo
-            chars, begin = codes(texts[lo:hi], letter)
-            some = np.bincount(np.searchsorted(begin, np.flatnonzero(chars != 32), "right") - 1,
-                               minlength=n) > 0
-            best = np.full(n, None, object)
-            entropy, score = np.full(n, np.nan), np.zeros(n)
-            if model is not None and some.any():
-                key, doc = grams(chars, begin)
-                length = np.bincount(doc, minlength=n)
-                logs = model.logs(key)
-                mean = np.stack(
-                    [np.bincount(doc, logs[:, i], n) / np.maximum(length, 1)
-                     for i in range(len(model.langs))], 1
-                )
-                top = mean.argmax(1)
-                high = mean[np.arange(n), top]
-                sharp = np.minimum(SHARPNESS, np.maximum(length, 1))[:, None]
-                score = 1 / np.exp((mean - high[:, None]) * sharp).sum(1)
-                best = np.array(model.langs, object)[top]
-                entropy = -high
-            none = ~some | (best == None)  # noqa: E711
-            best[none] = "und"
+            if model is None:
+                made = verdict(["und"], np.zeros(n), np.zeros((n, 1)))
+            else:
+                made = verdict(model.langs, *log_sums(model, texts[lo:hi], letter, 0, 1))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(lo, n), batch.column("lang").slice(lo, n),
-                    batch.column("held_out").slice(lo, n), pa.array(best.tolist(), pa.string()),
-                    pa.array(entropy, mask=none), pa.array(np.where(none, 0.0, score)),
-                ],
-                ["doc_id", "lang", "held_out", "lang_pred", "entropy", "score"],
+                [batch.column(c).slice(lo, n) for c in ("doc_id", "lang", "held_out")] + made,
+                ["doc_id", "lang", "held_out", *VERDICT],
             )
 
 
-def learn(rows: DataFrame) -> Model | None:
-    """Model from rows with ``text`` and non-NULL ``lang``."""
-    counts = keep(
+def block_sums(
+    model: Model, block: int, blocks: int, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """Of each text what one block gives: ``chars``, and ``s0, s1 ...`` by language."""
+    letter = letters()
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for lo, hi in text_chunks(texts):
+            length, sums = log_sums(model, texts[lo:hi], letter, block, blocks)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "th")]
+                + [pa.array(length, pa.int64())] + [pa.array(x, pa.float64()) for x in sums.T],
+                ["doc_id", "th", "chars", *(f"s{i}" for i in range(len(model.langs)))],
+            )
+
+
+def block_verdicts(langs: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sums = np.stack([batch.column(f"s{i}").to_numpy() for i in range(len(langs))], 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("lang"), batch.column("held_out"),
+                 *verdict(langs, batch.column("chars").to_numpy(), sums)],
+                ["doc_id", "lang", "held_out", *VERDICT],
+            )
+
+
+def gram_table(rows: DataFrame) -> DataFrame:
+    """``lang, gram, n`` of the highest order, from rows with ``text`` and non-NULL ``lang``."""
+    return keep(
         rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
         .mapInArrow(gram_counts, "lang STRING, gram LONG, n LONG")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "gram-counts",
     )
-    langs = counts.select("lang").distinct().count()
-    if not langs:
-        return None
-    bound = min(MAX_GRAMS, MAX_CELLS // langs)
-    least = 1
-    while counts.where(f"n >= {least}").count() > bound:
-        least *= 2
-    return Model(counts.where(f"n >= {least}").toPandas())
+
+
+def blocks_needed(counts: DataFrame, langs: int) -> int:
+    """1, or so many blocks that about half of what fits a task falls to each."""
+    n, bound = counts.count(), min(MAX_GRAMS, MAX_CELLS // max(langs, 1))
+    return 1 if n <= bound else 2 * -(-n // bound) + 1
+
+
+def block_models(counts: DataFrame, langs: list[str], blocks: int) -> Iterator[Model]:
+    """Models of all blocks, one after another."""
+    levels = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts
+        levels[n] = keep(
+            levels[n + 1].groupBy("lang", F.expr(f"gram & {int(_MASK[n])}L").alias("gram"))
+            .agg(F.count("*").alias("n")),
+            f"gram-counts-{n}",
+        )
+    discounts = {
+        (r["lang"], n): discount(r["one"], r["two"])
+        for n, level in levels.items()
+        for r in level.groupBy("lang").agg(
+            F.expr("count_if(n = 1)").alias("one"), F.expr("count_if(n = 2)").alias("two")).collect()
+    }
+    low = {n: levels[n].toPandas() for n in (1, 2)}
+    for block in range(blocks):
+        own = counts.where(f"(shiftrightunsigned(gram, 16) & 4294967295L) % {blocks} = {block}")
+        yield Model(own.toPandas(), langs, low, discounts)
+
+
+def learn(rows: DataFrame) -> Model | None:
+    """One model of all grams, from rows with ``text`` and non-NULL ``lang``."""
+    counts = gram_table(rows).toPandas()
+    return Model(counts) if len(counts) else None
+
+
+def scored(rows: DataFrame, kind: str) -> DataFrame:
+    """``doc_id, lang, held_out, lang_pred, entropy, score`` of all rows."""
+    out = f"doc_id {kind}, lang STRING, held_out BOOLEAN, lang_pred STRING, entropy DOUBLE, score DOUBLE"
+    counts = gram_table(rows.where("NOT held_out"))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    blocks = blocks_needed(counts, len(langs))
+    if blocks == 1:
+        model = Model(counts.toPandas()) if langs else None
+        return keep(rows.mapInArrow(partial(predict, model), out), "languages")
+    rows = rows.withColumn("th", F.xxhash64("text", F.lit(7)))
+    sums = [f"s{i}" for i in range(len(langs))]
+    fields = f"doc_id {kind}, th LONG, chars LONG, " + ", ".join(f"{s} DOUBLE" for s in sums)
+    parts = [
+        keep(rows.select("doc_id", "th", "text").mapInArrow(partial(block_sums, model, i, blocks), fields), "block-sums")
+        for i, model in enumerate(block_models(counts, langs, blocks))
+    ]
+    # Rows with one key have one text: the mean over rows times the blocks is the sum over blocks.
+    added = reduce(DataFrame.union, parts).groupBy("doc_id", "th").agg(
+        F.first("chars").alias("chars"), *(F.expr(f"avg({s}) * {blocks}").alias(s) for s in sums))
+    keys = rows.select("doc_id", "th", "lang", "held_out")
+    return keep(
+        keys.join(added, same_key(keys, added)).select(keys["doc_id"], "lang", "held_out", "chars", *sums)
+        .mapInArrow(partial(block_verdicts, langs), out),
+        "languages",
+    )
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -252,16 +365,7 @@ def identify(docs: DataFrame) -> DataFrame:
         F.col("lang").cast("string").alias("lang"),
         F.expr("crc32(coalesce(CAST(doc_id AS STRING), '')) % 3 = 1").alias("held_out"),
     )
-    model = learn(rows.where("NOT held_out"))
-    kind = dict(docs.dtypes)["doc_id"]
-    out = keep(
-        rows.mapInArrow(
-            partial(predict, model),
-            f"doc_id {kind}, lang STRING, held_out BOOLEAN, lang_pred STRING,"
-            " entropy DOUBLE, score DOUBLE",
-        ),
-        "languages",
-    )
+    out = scored(rows, dict(docs.dtypes)["doc_id"])
     limits = (
         out.where("NOT held_out AND lang = lang_pred AND entropy IS NOT NULL")
         .groupBy("lang_pred", F.expr(f"CAST(floor(entropy / {BIN}) AS INT)").alias("bin"))

@@ -102,6 +102,17 @@ def test_languages_of_held_out_rows(docs):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_language_model_in_blocks_loses_no_gram(spark, docs, monkeypatch):
+    rows = docs.where("doc_id < 250").select("doc_id", "text", "lang")
+    rows = rows.union(rows.where("doc_id < 9")).union(spark.createDataFrame([(None, "a b"), (None, None), (9, "12")], "a LONG, b STRING").selectExpr("*", "'en'"))
+    one = sorted((str(r.doc_id), r.lang_pred, r.rejected, r.entropy or 0, r.score) for r in langid.identify(rows).collect())
+    monkeypatch.setattr(langid, "MAX_GRAMS", 20_000)
+    many = sorted((str(r.doc_id), r.lang_pred, r.rejected, r.entropy or 0, r.score) for r in langid.identify(rows).collect())
+    assert [r[:3] for r in one] == [r[:3] for r in many]
+    assert max(abs(a[3] - b[3]) for a, b in zip(one, many)) < 1e-5
+    assert max(abs(a[4] - b[4]) for a, b in zip(one, many)) < 1e-4
+
+
 def test_language_model_sums_to_one(spark):
     rows = [(0, "abra cadabra abra ca", "xx"), (2, "baba dada baba", "yy")]
     model = langid.learn(spark.createDataFrame(rows, "doc_id INT, text STRING, lang STRING"))

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import glob
 import json
+import os
 
+import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
@@ -23,6 +26,24 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def duck():
+    """DuckDB connections with the tables of a folder as views."""
+    opened = []
+
+    def connect(sf_dir):
+        connection = duckdb.connect()
+        opened.append(connection)
+        for path in glob.glob(f"{sf_dir}/*.parquet"):
+            name = os.path.basename(path).removesuffix(".parquet")
+            connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+        return connection
+
+    yield connect
+    for connection in opened:
+        connection.close()
+
+
 @pytest.fixture
 def write_lines(tmp_path):
     """Write samples (or ready-made lines) as one JSON Lines file."""

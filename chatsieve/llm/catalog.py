@@ -15,6 +15,7 @@ from chatsieve.llm import (
     pii,
     quality_mil,
     quality_rules,
+    search,
 )
 from chatsieve.llm.oracle import ORACLE
 from chatsieve.llm.tables import table
@@ -69,11 +70,17 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return search.search(docs, items)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_licenses, op3_surrogates, op4_main_text, op5_line_dedup,
         op6_quality_rules, op7_mixing, op8_language, op9_quality, op10_near_dup,
+        op13_search,
     )
 }
 

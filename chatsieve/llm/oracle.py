@@ -124,6 +124,38 @@ FROM (SELECT d.*, n_copies, unnest(range(1, n_copies + 1)) AS copy
 """
 
 
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+OP13 = f"""
+WITH docs AS (
+  SELECT * FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs
+), queries AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), held AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM docs)
+  SEMI JOIN queries USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1)))
+    AS BIGINT) AS w
+  FROM held, total GROUP BY term
+), sizes AS (
+  SELECT doc_id, 100 - 50 + ((50 * len(terms) * n_docs) // n_terms) AS m FROM docs, total
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM queries JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id)
+  GROUP BY ALL
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
 # Fixed values, as in the queries: target weights by source; others have weight 1.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5, "src3": 0.25}
 
@@ -131,4 +163,5 @@ ORACLE = {
     "op1_decontaminate": OP1,
     "op5_line_dedup": line_dedup("documents", 40),
     "op7_mixing": mixing("documents", "doc_id, source", WEIGHTS, 42),
+    "op13_search": OP13,
 }

@@ -129,6 +129,112 @@ _TERMS = (
     r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 )
 
+OP11 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')
+    || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+# CRC-32 of an ASCII text, bit by bit: a step takes in a byte, eight more (-1) shift it out.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+  string_split(place, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END))"""
+
+_NONE = "{'c': CAST(1000000 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}"
+
+
+def _edited(state: str, cost: str, edit: str, turn: str | None = None) -> str:
+    """A state's best path and one more edit."""
+    kept = f"list_append({state}.r, {turn})" if turn else f"{state}.r"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {kept}}}"
+
+
+def _kept(state: str, initial: str) -> str:
+    path = _edited(state, "late", "K", "role || ':' || text")
+    return f"CASE WHEN initial = '{initial}' THEN {path} ELSE {_NONE} END"
+
+
+def _given(state: str, role: str) -> str:
+    path = _edited(state, "2 + late", "R", f"'{role}:' || text")
+    return f"CASE WHEN initial <> '-' THEN {path} ELSE {_NONE} END"
+
+
+_FROM = {"b": [], "s": ["b"], "u": ["b", "s", "a"], "a": ["u"]}
+
+
+def _through(state: str) -> str:
+    """The best path into a state by an edit of the row itself."""
+    role = {"u": "user", "a": "assistant"}.get(state)
+    paths = [_edited(state, "3", "D"), *[_kept(o, state) for o in _FROM[state]]]
+    paths += [_given(o, role) for o in _FROM[state]] if role else []
+    return f"list_min([{', '.join(paths)}]) AS {state}"
+
+
+_INTO_USER = ", ".join(_edited(o, "2", "I", "'user:'") for o in "bsa")
+
+OP12 = f"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+  FROM conversations
+), kinds AS (SELECT *, {_CRC} % 20 AS kind FROM source
+), damaged AS (
+  SELECT conv_id, turn, IF(kind = 4, 'user', role) AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(IF(kind = 3, 2, 1))) AS again
+  FROM kinds WHERE kind <> 0
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn
+  FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM places
+), marked AS (
+  SELECT *, IF(fault = 'truncated', 1, 0) AS late, left(role, 1) AS first,
+    CASE WHEN fault IN ('blank', 'duplicate') THEN '-' ELSE left(role, 1) END AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS before
+  FROM faults
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || first NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0 AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}} AS b,
+    {_NONE} AS s, {{'c': CAST(2 AS BIGINT), 'a': 'I', 'r': ['user:']}} AS u,
+    {{'c': CAST(4 AS BIGINT), 'a': 'II', 'r': ['user:', 'assistant:']}} AS a
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, b, s, u, list_min([a, {_edited('u', '2', 'I', "'assistant:'")}]) AS a
+  FROM (
+    SELECT conv_id, i, b, s, list_min([u, {_INTO_USER}]) AS u, a
+    FROM (
+      SELECT w.conv_id, w.i + 1 AS i, {', '.join(map(_through, 'bsua'))}
+      FROM walk w JOIN marked m ON m.conv_id = w.conv_id AND m.rn = w.i + 1))
+), ended AS (
+  SELECT conv_id, least(b, a) AS path FROM walk JOIN counted USING (conv_id) WHERE i = n
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(path.c, 0) AS cost, coalesce(path.a, '') AS audit,
+  sha256(coalesce(array_to_string(path.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counted USING (conv_id)
+  LEFT JOIN ended USING (conv_id)
+"""
+
 OP13 = f"""
 WITH docs AS (
   SELECT * FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0
@@ -163,5 +269,7 @@ ORACLE = {
     "op1_decontaminate": OP1,
     "op5_line_dedup": line_dedup("documents", 40),
     "op7_mixing": mixing("documents", "doc_id, source", WEIGHTS, 42),
+    "op11_chat_format": OP11,
+    "op12_repair": OP12,
     "op13_search": OP13,
 }

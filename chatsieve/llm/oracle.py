@@ -199,7 +199,7 @@ WITH RECURSIVE source AS (
 ), faults AS (
   SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' END AS fault
   FROM places
 ), marked AS (
   SELECT *, IF(fault = 'truncated', 1, 0) AS late, left(role, 1) AS first,

@@ -45,6 +45,29 @@ def chat_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turn_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat_input`` and more conversations whose turns are numbered otherwise: from 1 (shift of 10
+    million), with a repeat (20), a gap (30), a missing number (40), and rows without an id."""
+    return (
+        chat_input(spark, sf_dir)
+        .selectExpr(
+            "*",
+            """explode(array_compact(array(0,
+              IF(conv_id % 17 = 1, 10000000, NULL), IF(conv_id % 19 = 2, 20000000, NULL),
+              IF(conv_id % 23 = 3, 30000000, NULL), IF(conv_id % 29 = 4, 40000000, NULL),
+              IF(conv_id % 31 = 5, -1, NULL)))) AS renumbered""",
+        )
+        .selectExpr(
+            "IF(renumbered = -1, NULL, conv_id + renumbered) AS conv_id",
+            """CASE renumbered WHEN 10000000 THEN turn + 1 WHEN 20000000 THEN IF(turn = 1, 0, turn)
+              WHEN 30000000 THEN IF(turn > 0, turn + 1, turn)
+              WHEN 40000000 THEN IF(turn = 0, NULL, turn) ELSE turn END AS turn""",
+            "role",
+            "content",
+        )
+    )
+
+
 def chat_lines(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
     """Write ``chat_input`` as JSON Lines in conversation order; returns the path.
 

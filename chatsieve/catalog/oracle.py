@@ -28,6 +28,19 @@ chat AS (
   FROM conversations WHERE conv_id % 13 = 6)
 """
 
+TURN_INPUT = CHAT_INPUT.replace("chat AS", "plain AS") + """,
+chat AS (
+  SELECT * FROM plain
+  UNION ALL SELECT conv_id + 10000000, turn + 1, role, content FROM plain WHERE conv_id % 17 = 1
+  UNION ALL SELECT conv_id + 20000000, CASE WHEN turn = 1 THEN 0 ELSE turn END, role, content
+  FROM plain WHERE conv_id % 19 = 2
+  UNION ALL SELECT conv_id + 30000000, CASE WHEN turn > 0 THEN turn + 1 ELSE turn END, role, content
+  FROM plain WHERE conv_id % 23 = 3
+  UNION ALL SELECT conv_id + 40000000, CASE WHEN turn <> 0 THEN turn END, role, content
+  FROM plain WHERE conv_id % 29 = 4
+  UNION ALL SELECT NULL, turn, role, content FROM plain WHERE conv_id % 31 = 5)
+"""
+
 COUNTS = """
 counts AS (
   SELECT conv_id, count(*) AS n_messages,
@@ -35,11 +48,14 @@ counts AS (
     count(*) FILTER (role = 'assistant') AS n_assistant,
     count(*) FILTER (role = 'system') AS n_system,
     count(*) FILTER (role NOT IN ('system', 'user', 'assistant')
-      OR content IS NULL) AS n_bad
+      OR content IS NULL) AS n_bad,
+    count(*) - count(turn) AS n_unplaced, count(DISTINCT turn) AS n_turns,
+    max(turn) - min(turn) + 1 AS span
   FROM chat GROUP BY conv_id),
 valid AS (
   SELECT * FROM counts
-  WHERE n_messages >= 2 AND n_bad = 0 AND n_user > 0 AND n_assistant > 0)
+  WHERE n_messages >= 2 AND n_bad = 0 AND n_user > 0 AND n_assistant > 0
+    AND conv_id IS NOT NULL AND n_turns = n_messages AND span = n_messages)
 """
 
 
@@ -118,14 +134,18 @@ scored AS (
 # samples are copies is decided on the messages themselves.
 DEDUP = f"""
 digests AS (
-  SELECT conv_id, turn, sha256(turn || ':' || length(role) || ':' || role || content) AS d
-  FROM chat),
+  SELECT conv_id, turn, sha256(length(role) || ':' || role || content) AS d FROM chat),
+lanes AS (
+  SELECT conv_id, count(*) AS n, {", ".join(
+        f"list(('0x' || substr(d, {1 + 7 * i}, 7))::BIGINT ORDER BY turn DESC) AS l{i}"
+        for i in range(8)
+    )}
+  FROM digests JOIN valid USING (conv_id) GROUP BY conv_id),
 keys AS (
-  SELECT conv_id, sha256(concat_ws('|', count(*),
-    {", ".join(
-        f"bit_xor(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT)" for i in range(4)
+  SELECT conv_id, sha256(concat_ws('|', n, {", ".join(
+        f"list_reduce(l{i}, lambda x, y: (x * 48271 + y) % 2147483647)" for i in range(8)
     )})) AS key
-  FROM digests GROUP BY conv_id),
+  FROM lanes),
 contents AS (
   SELECT conv_id, list({{'r': role, 'c': content}} ORDER BY turn) AS messages
   FROM chat GROUP BY conv_id),
@@ -217,10 +237,13 @@ def sql(select: str, *ctes: str) -> str:
 
 
 _CHAT = (CHAT_INPUT,)
-_VALID = (CHAT_INPUT, COUNTS)
+_TURNS = (TURN_INPUT,)
+_VALID = (TURN_INPUT, COUNTS)
 _SCORED = (*_VALID, FEATURES, SCORED)
 _DEDUP = (*_SCORED, DEDUP)
 _SPLIT = (*_DEDUP, SPLIT)
+_LINE_SCORED = (CHAT_INPUT, COUNTS, FEATURES, SCORED)
+_LINE_SPLIT = (*_LINE_SCORED, DEDUP, SPLIT)
 _COMPARED = (EVALUATION, COMPARED)
 
 # One line per conversation.
@@ -278,23 +301,29 @@ ORACLE: dict[str, str] = {
         *_CHAT, _LINES, _LINE_FAULTS,
     ),
     "jsonl_quality": sql(
-        "SELECT conv_id, quality, bucket FROM scored", *_SCORED
+        "SELECT conv_id, quality, bucket FROM scored", *_LINE_SCORED
     ),
     "chat_validate": sql(
         """
-SELECT conv_id, 'invalid_role@' || turn AS error FROM chat
+SELECT conv_id, 'invalid_role' || coalesce('@' || turn, '') AS error FROM chat
 WHERE role NOT IN ('system', 'user', 'assistant')
-UNION ALL SELECT conv_id, 'content_not_string@' || turn FROM chat WHERE content IS NULL
-UNION ALL SELECT conv_id, 'too_few_messages' FROM counts WHERE n_messages < 2
-UNION ALL SELECT conv_id, 'no_user' FROM counts WHERE n_user = 0
-UNION ALL SELECT conv_id, 'no_assistant' FROM counts WHERE n_assistant = 0""",
+UNION ALL SELECT conv_id, 'content_not_string' || coalesce('@' || turn, '') FROM chat
+WHERE content IS NULL
+UNION ALL SELECT NULL, 'missing_id' FROM counts WHERE conv_id IS NULL
+UNION ALL SELECT conv_id, unnest(list_filter([
+  CASE WHEN n_messages < 2 THEN 'too_few_messages' END, CASE WHEN n_user = 0 THEN 'no_user' END,
+  CASE WHEN n_assistant = 0 THEN 'no_assistant' END, CASE WHEN n_unplaced > 0 THEN 'missing_turn' END,
+  CASE WHEN span > n_turns THEN 'turn_gap' END], lambda e: e IS NOT NULL))
+FROM counts WHERE conv_id IS NOT NULL
+UNION ALL SELECT conv_id, 'repeated_turn@' || turn FROM chat
+WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn HAVING count(*) > 1""",
         *_VALID,
     ),
     "chat_valid": sql("SELECT conv_id FROM valid", *_VALID),
     "role_messages": sql(
         "SELECT conv_id, role, count(*) AS n, sum(length(content))::BIGINT AS chars "
         "FROM chat GROUP BY conv_id, role",
-        *_CHAT,
+        *_TURNS,
     ),
     "score_features": sql(
         "SELECT conv_id, has_system, turns, n_messages, mean_user, mean_assistant, "
@@ -354,12 +383,12 @@ means AS (
 SELECT conv_id, string_agg('<|im_start|>' || role
   || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""",
-    "prepare_jsonl_dataset": sql("SELECT conv_id, split FROM parted", *_SPLIT),
+    "prepare_jsonl_dataset": sql("SELECT conv_id, split FROM parted", *_LINE_SPLIT),
     "training_text": sql(
         "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || content "
         "|| '<|im_end|>' || chr(10), '' ORDER BY turn) AS text "
         "FROM chat JOIN parted USING (conv_id) WHERE split = 'train' GROUP BY conv_id",
-        *_SPLIT,
+        *_LINE_SPLIT,
     ),
     "prepare_dataset": sql(
         "SELECT conv_id, quality, bucket, split FROM parted", *_SPLIT

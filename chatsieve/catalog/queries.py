@@ -46,11 +46,11 @@ def registered(query: Query) -> Query:
 
 
 def valid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_features(inputs.chat_input(spark, sf_dir)).where("valid")
+    return conversation_features(inputs.turn_input(spark, sf_dir)).where("valid")
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = conversation_features(inputs.chat_input(spark, sf_dir))
+    features = conversation_features(inputs.turn_input(spark, sf_dir))
     return curate(features, "conv_id", "conv_id", min_quality=MIN_QUALITY)
 
 
@@ -145,17 +145,17 @@ def jsonl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def chat_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_faults(inputs.chat_input(spark, sf_dir))
+    return turn_faults(inputs.turn_input(spark, sf_dir))
 
 
 @registered
 def chat_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid_conversations(inputs.chat_input(spark, sf_dir))
+    return valid_conversations(inputs.turn_input(spark, sf_dir))
 
 
 @registered
 def role_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return role_totals(inputs.chat_input(spark, sf_dir))
+    return role_totals(inputs.turn_input(spark, sf_dir))
 
 
 @registered
@@ -251,7 +251,7 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def prepare_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = inputs.chat_input(spark, sf_dir)
+    turns = inputs.turn_input(spark, sf_dir)
     return prepare_turns(
         turns, min_quality=MIN_QUALITY, eval_ratio=EVAL_RATIO, seed=SEED
     ).decisions

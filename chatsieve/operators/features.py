@@ -11,7 +11,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from chatsieve.functions.keys import LANES, content_key, lane, message_digest
+from chatsieve.functions.keys import (
+    G,
+    LANES,
+    P,
+    content_key,
+    lane,
+    message_digest,
+    moved,
+    power,
+    to_start,
+)
 from chatsieve.functions.text import ratio, words
 from chatsieve.operators.skew import split_by_keys
 from chatsieve.operators.validate import CONVERSATION_COUNTS, IS_VALID, aggregates
@@ -46,9 +56,10 @@ def sample_features(samples: DataFrame) -> DataFrame:
     Rows whose ``messages`` is NULL (invalid samples) get ``valid = false`` and
     NULL measures.
     """
-    digest = message_digest("i", "m.role", "m.content")
+    digest = message_digest("m.role", "m.content")
+    # Horner's rule, from the last message to the first.
     lanes = [
-        f"aggregate(_digests, 0L, (acc, d) -> acc ^ {lane('d', i)})"
+        f"aggregate(reverse(_digests), 0L, (acc, d) -> (acc * {G}L + {lane('d', i)}) % {P}L)"
         for i in range(LANES)
     ]
     key = content_key("n_messages", lanes)
@@ -57,7 +68,7 @@ def sample_features(samples: DataFrame) -> DataFrame:
             "*",
             f"{contents_of('messages', 'user')} AS _user",
             f"{contents_of('messages', 'assistant')} AS _said",
-            f"transform(messages, (m, i) -> {digest}) AS _digests",
+            f"transform(messages, m -> {digest}) AS _digests",
         )
         .selectExpr("*", f"{words("array_join(_said, ' ')")} AS _words")
         .selectExpr(
@@ -79,14 +90,13 @@ def sample_features(samples: DataFrame) -> DataFrame:
 
 
 def _keyed(turns: DataFrame) -> DataFrame:
-    """Add the digest lanes of each turn."""
-    digest = message_digest("turn", "role", "content")
+    """Add the lanes of each turn, weighted by its place."""
+    digest = message_digest("role", "content")
+    lanes = [f"{lane('_digest', i)} * _power % {P}L" for i in range(LANES)]
     return (
-        turns.selectExpr("*", f"{digest} AS _digest")
-        .selectExpr(
-            "*", *[f"{lane('_digest', i)} AS {name}" for i, name in enumerate(_LANES)]
-        )
-        .drop("_digest", "turn")
+        turns.selectExpr("*", f"{digest} AS _digest", f"{power('turn')} AS _power")
+        .selectExpr("*", *[f"{sql} AS {name}" for sql, name in zip(lanes, _LANES)])
+        .drop("_digest")
     )
 
 
@@ -97,9 +107,10 @@ _SUMS = {
     "assistant_chars": (
         "coalesce(sum(length(content)) FILTER (WHERE role = 'assistant'), 0L)"
     ),
-    **{name: f"bit_xor({name})" for name in _LANES},
+    **{name: f"sum({name})" for name in _LANES},
 }
-_SAID = "collect_list(content) FILTER (WHERE role = 'assistant')"
+# Rows without a conversation are no sample and may be any number.
+_SAID = "collect_list(content) FILTER (WHERE role = 'assistant' AND conv_id IS NOT NULL)"
 
 
 def _short_features(turns: DataFrame) -> DataFrame:
@@ -160,10 +171,10 @@ def conversation_features(
         )
         features = _short_features(short).unionByName(_long_features(long))
     plain = [c for c in FEATURES if c not in ("key", "valid")]
-    return features.selectExpr(
+    return features.selectExpr("*", f"{to_start('low')} AS _start").selectExpr(
         "conv_id",
         *plain,
-        f"{content_key('n_messages', _LANES)} AS key",
+        f"{content_key('n_messages', [moved(l, '_start') for l in _LANES])} AS key",
         f"{IS_VALID} AS valid",
     )
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chatsieve.functions.keys import split_key
 
+# Hex digits of a rank: those of two SHA-256.
+RANK_DIGITS = 128
 # The exact split looks at this many hex digits at a time: at most 16^3 counts
 # come to the driver in each round.
 DIGITS = 3
@@ -25,7 +27,8 @@ def _cut(ranks: DataFrame, eval_ratio: float, max_tail: int) -> str | None:
     Each round counts rows per next few digits below the known prefix (one
     aggregate with a bounded result) and descends into the group that holds
     the k-th row. With 16^3 groups a round, 10^11 rows need two rounds; no
-    row is sorted or moved but those of the last small group.
+    row is sorted or moved but those of the last small group. Rows that share a whole
+    rank go to the same side.
     """
     prefix, k = "", None
     while True:
@@ -42,6 +45,8 @@ def _cut(ranks: DataFrame, eval_ratio: float, max_tail: int) -> str | None:
                 break
             k -= group.n
         prefix = group.head
+        if len(prefix) == RANK_DIGITS:
+            return prefix
         if group.n <= max_tail:
             tail = ranks.where(F.col("rank").startswith(prefix))
             return tail.orderBy("rank").limit(k).agg(F.max("rank")).first()[0]
@@ -58,7 +63,8 @@ def split_exact(
     """Add ``split``: exactly ``train_size`` rows are ``train``.
 
     Rows rank by a seeded hash of their content and, among equal contents, by a
-    seeded hash of ``id_col``, which must be unique. The result does not depend
+    seeded hash of ``id_col``, which should be unique: rows with the same content and id share
+    a side, so that the train part may be larger. NULL counts as an empty value. The result does not depend
     on partitioning. ``samples`` is read several times: hand in a written table,
     not a long lineage. A ratio outside (0, 1) puts every row into train.
     """

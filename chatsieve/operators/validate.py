@@ -2,6 +2,9 @@
 
 ``not_object``, ``missing_messages`` and ``messages_not_list`` end the check;
 the others are reported side by side, those of message i with ``@i``.
+
+The turns of a conversation in a turn table must have a conversation id and be numbered in a
+row, from any number on: ``missing_id`` and ``missing_turn`` (NULL), ``repeated_turn@i``, ``turn_gap``.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatsieve.functions.keys import is_series, power
 from chatsieve.functions.text import let, quoted
 
 # The roles a message may have, and the least number of messages.
@@ -89,12 +93,24 @@ CONVERSATION_COUNTS = {
     "n_messages": "count(*)",
     "n_user": "count_if(role = 'user')",
     "n_assistant": "count_if(role = 'assistant')",
-    "n_bad": f"count_if({BAD_ROLE} OR {BAD_CONTENT})",
+    "n_bad": f"count_if({BAD_ROLE} OR {BAD_CONTENT} OR turn IS NULL)",
+    "low": "min(turn)",
+    "high": "max(turn)",
+    "turn_sum": "try_sum(turn)",
+    "turn_print": f"sum({power('turn')})",
 }
 
+# Turns in a row: as many as the span from least to greatest holds, with the sum and the
+# fingerprint of such a row. One gap and one repeat always change the sum; more of both
+# escape the fingerprint with a chance of 5e-10. Numbers whose sum is no BIGINT count as a gap.
+_IN_A_ROW = f"""coalesce(try_subtract(high, low) = n_messages - 1
+  AND turn_sum = try_add(try_multiply(low, n_messages), n_messages * (n_messages - 1) div 2)
+  AND {is_series('turn_print', 'low', 'n_messages')}, false)"""
+
 # Condition on these counts.
 IS_VALID = (
     f"n_messages >= {MIN_MESSAGES} AND n_bad = 0 AND n_user > 0 AND n_assistant > 0"
+    f" AND conv_id IS NOT NULL AND {_IN_A_ROW}"
 )
 
 
@@ -106,29 +122,58 @@ def aggregates(named: dict[str, str]) -> list:
 def turn_faults(turns: DataFrame) -> DataFrame:
     """All faults of a turn table as ``conv_id, error`` rows.
 
-    Faults of messages are found row by row; only the counts of a conversation
-    are aggregated, so nothing is gathered per conversation.
+    Faults of messages are found row by row. Turn numbers are counted by
+    (conversation, turn), which spreads a conversation of any length; only the
+    counts of a conversation are aggregated.
     """
     per_message = turns.selectExpr(
         "conv_id",
         f"""explode(array_compact(array(
-          CASE WHEN {BAD_ROLE} THEN concat('invalid_role@', turn) END,
-          CASE WHEN {BAD_CONTENT} THEN concat('content_not_string@', turn) END
+          CASE WHEN {BAD_ROLE} THEN concat('invalid_role', coalesce(concat('@', turn), '')) END,
+          CASE WHEN {BAD_CONTENT} THEN concat('content_not_string', coalesce(concat('@', turn), ''))
+            END
         ))) AS error""",
     )
+    per_turn = turns.groupBy("conv_id", "turn").agg(
+        *aggregates(
+            {
+                "n": "count(*)",
+                "n_user": "count_if(role = 'user')",
+                "n_assistant": "count_if(role = 'assistant')",
+            }
+        )
+    )
+    repeated = per_turn.where("n > 1 AND turn IS NOT NULL AND conv_id IS NOT NULL").selectExpr(
+        "conv_id", "concat('repeated_turn@', turn) AS error"
+    )
     per_conversation = (
-        turns.groupBy("conv_id")
-        .agg(*aggregates(CONVERSATION_COUNTS))
+        per_turn.groupBy("conv_id")
+        .agg(
+            *aggregates(
+                {
+                    "n_messages": "sum(n)",
+                    "n_user": "sum(n_user)",
+                    "n_assistant": "sum(n_assistant)",
+                    "n_turns": "count(turn)",
+                    "n_unplaced": "sum(IF(turn IS NULL, n, 0L))",
+                    "low": "min(turn)",
+                    "high": "max(turn)",
+                }
+            )
+        )
         .selectExpr(
             "conv_id",
-            f"""explode(array_compact(array(
+            f"""explode(IF(conv_id IS NULL, array('missing_id'), array_compact(array(
               CASE WHEN n_messages < {MIN_MESSAGES} THEN 'too_few_messages' END,
               CASE WHEN n_user = 0 THEN 'no_user' END,
-              CASE WHEN n_assistant = 0 THEN 'no_assistant' END
-            ))) AS error""",
+              CASE WHEN n_assistant = 0 THEN 'no_assistant' END,
+              CASE WHEN n_unplaced > 0 THEN 'missing_turn' END,
+              CASE WHEN n_turns > 0 AND coalesce(try_subtract(high, low) >= n_turns, true)
+                THEN 'turn_gap' END
+            )))) AS error""",
         )
     )
-    return per_message.unionAll(per_conversation)
+    return per_message.unionAll(repeated).unionAll(per_conversation)
 
 
 def valid_conversations(turns: DataFrame) -> DataFrame:

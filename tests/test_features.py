@@ -113,3 +113,67 @@ def test_role_totals(spark):
     assert sorted((r.role, r.n, r.chars) for r in rows) == [
         ("assistant", 2, 11), ("user", 2, 3),
     ]
+
+
+def numbered(spark, rows):
+    kinds = "conv_id BIGINT, turn BIGINT, role STRING, content STRING"
+    return spark.createDataFrame(rows, kinds)
+
+
+SAID = [("user", "What is it?"), ("assistant", "It is the answer."), ("user", "Why?")]
+
+
+def test_turn_numbers_may_start_anywhere(spark):
+    starts = {1: 0, 2: 1, 3: -7, 4: 2**40, 5: 2**60}
+    rows = [(c, start + i, *m) for c, start in starts.items() for i, m in enumerate(SAID)]
+    rows += [(6, i, *m) for i, m in enumerate(reversed(SAID))]
+    found = by_id(conversation_features(numbered(spark, rows)))
+    nested = by_id(sample_features(sample_rows(spark, {1: SAID, 6: SAID[::-1]})))
+    assert all(r["valid"] for r in found.values())
+    assert {found[c]["key"] for c in starts} == {nested[1]["key"]}
+    assert found[6]["key"] == nested[6]["key"] != nested[1]["key"]
+
+
+@pytest.mark.parametrize(
+    ("turns", "errors"),
+    [
+        ([0, 1, 2], []),
+        ([0, 0, 1], ["repeated_turn@0"]),
+        ([0, 1, 3], ["turn_gap"]),
+        ([0, 0, 2], ["repeated_turn@0", "turn_gap"]),
+        ([None, 0, 1], ["missing_turn"]),
+        ([None, None, None], ["missing_turn"]),
+        ([-(2**63), 0, 2**63 - 1], ["turn_gap"]),
+    ],
+)
+def test_turn_numbers(spark, turns, errors):
+    rows = numbered(spark, [(1, t, *m) for t, m in zip(turns, SAID)])
+    assert sorted(r.error for r in turn_faults(rows).collect()) == errors
+    assert valid_conversations(rows).count() == (not errors)
+    assert [r.valid for r in conversation_features(rows).collect()] == [not errors]
+
+
+def test_rows_without_a_conversation(spark):
+    rows = numbered(spark, [(None, i, "user", None) for i in range(600)] + [(1, i, *m) for i, m in enumerate(SAID)])
+    errors = [r.error for r in turn_faults(rows).where("conv_id IS NULL").collect()]
+    assert errors.count("missing_id") == 1 and len(errors) == 601
+    for long_turns in (256, 2):
+        found = by_id(conversation_features(rows, long_turns))
+        assert found[None]["valid"] is False and found[1]["valid"] is True
+
+
+def test_many_gaps_and_repeats_are_seen(spark):
+    """Random rows of turns with the right number, span and sum."""
+    rng = random.Random(4)
+    rows, whole = [], set()
+    for c in range(400):
+        turns = list(range(20))
+        for _ in range(rng.randint(0, 3)):
+            # Two inner turns move by one towards or away from each other: the sum stays.
+            i, j = rng.sample(range(1, 19), 2)
+            turns[i], turns[j] = min(turns[i] + 1, 19), max(turns[j] - 1, 0)
+        if sorted(turns) == list(range(20)):
+            whole.add(c)
+        rows += [(c, t, *SAID[k % 2]) for k, t in enumerate(turns)]
+    assert {r.conv_id for r in valid_conversations(numbered(spark, rows)).collect()} == whole
+    assert 0 < len(whole) < 400

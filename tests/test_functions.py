@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from chatsieve.functions.keys import LANES, content_key, lane, message_digest
+from chatsieve.functions.keys import G, LANES, P, content_key, lane, message_digest, power
 from chatsieve.functions.text import WHITESPACE, py_round, strip_ws, words
 
 
@@ -78,9 +78,9 @@ def test_key_sees_order_roles_and_borders(spark):
     def key(messages):
         rows = [(i, r, c) for i, (r, c) in enumerate(messages)]
         frame = spark.createDataFrame(rows, "i INT, r STRING, c STRING")
-        lanes = [f"bit_xor({lane('d', j)})" for j in range(LANES)]
+        lanes = [f"sum({lane('d', j)} * {power('i')} % {P}L)" for j in range(LANES)]
         return (
-            frame.selectExpr(f"{message_digest('i', 'r', 'c')} AS d")
+            frame.selectExpr("i", f"{message_digest('r', 'c')} AS d")
             .selectExpr(content_key("count(*)", lanes))
             .first()[0]
         )
@@ -97,3 +97,9 @@ def test_key_sees_order_roles_and_borders(spark):
     keys = [key(v) for v in variants]
     assert len(set(keys)) == len(variants)
     assert key(variants[0]) == keys[0]
+
+
+def test_powers(spark):
+    values = [0, 1, 15, 16, 2**31 - 2, 2**31, 2**62, -1, -(2**63), 2**63 - 1, 123456789]
+    got = evaluate(spark, values, "BIGINT", power("x"))
+    assert [g[0] for g in got] == [pow(G, v % (P - 1), P) for v in values]

@@ -72,3 +72,12 @@ def test_hash_split_is_stable_as_data_grows(spark):
 
 def test_empty_input(spark):
     assert split_exact(frame(spark, 1).where("id > 5"), "id").count() == 0
+
+
+def test_rows_that_share_a_whole_rank(spark):
+    """As many rows with one content and one id as do not fit the tail: one side gets them all."""
+    rows = spark.createDataFrame([(1, "same")] * 50 + [(None, None)] * 50, "id BIGINT, key STRING")
+    got = split_exact(rows, "id", eval_ratio=0.3, max_tail=10)
+    counts = {(r.id, r.split): r["count"] for r in got.groupBy("id", "split").count().collect()}
+    assert sorted(counts.values()) in ([50, 50], [100]) and sum(counts.values()) == 100
+    assert sum(n for (_, split), n in counts.items() if split == "train") >= 70

@@ -71,14 +71,15 @@ def turn_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_lines(spark: SparkSession, sf_dir: str, cut: bool = False) -> str:
     """Write ``chat_input`` as JSON Lines in conversation order; returns the path.
 
-    With ``cut``, lines of ``conv_id % 17 = 5`` lose their last five characters.
+    With ``cut``, lines of ``conv_id % 17 = 5`` lose their last five characters, and a blank line
+    stands before those of ``conv_id % 19 = 6``.
     """
     lines = to_lines(assemble(chat_input(spark, sf_dir)))
     if cut:
         lines = lines.selectExpr(
             "conv_id",
             "IF(conv_id % 17 = 5, substring(raw, 1, length(raw) - 5), raw) AS raw",
-        )
+        ).selectExpr("conv_id", "IF(conv_id % 19 = 6, concat('\\n', raw), raw) AS raw")
     path = scratch_path(spark, "jsonl")
     lines.sort("conv_id").select("raw").write.text(path)
     return path

@@ -284,9 +284,13 @@ ORACLE: dict[str, str] = {
         *_CHAT, _LINES,
     ),
     "jsonl_quarantine": sql(
-        "SELECT DISTINCT conv_id FROM lines WHERE conv_id % 17 = 5 "
-        "ORDER BY conv_id LIMIT 5",
+        "SELECT conv_id, line_no, 'unclosed' AS reason FROM numbered "
+        "WHERE conv_id % 17 = 5 ORDER BY conv_id LIMIT 5",
         *_CHAT, _LINES,
+        """
+numbered AS (
+  SELECT conv_id, CAST(count(*) OVER w + sum((conv_id % 19 = 6)::INT) OVER w AS BIGINT) AS line_no
+  FROM (SELECT DISTINCT conv_id FROM lines) WINDOW w AS (ORDER BY conv_id))""",
     ),
     "jsonl_counts": sql(
         "SELECT count(*) AS n_lines, "
@@ -384,6 +388,11 @@ SELECT conv_id, string_agg('<|im_start|>' || role
   || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""",
     "prepare_jsonl_dataset": sql("SELECT conv_id, split FROM parted", *_LINE_SPLIT),
+    "training_order": sql(
+        "SELECT conv_id, split, row_number() OVER (PARTITION BY split ORDER BY place) AS place "
+        "FROM parted",
+        *_LINE_SPLIT,
+    ),
     "training_text": sql(
         "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || content "
         "|| '<|im_end|>' || chr(10), '' ORDER BY turn) AS text "

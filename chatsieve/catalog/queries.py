@@ -17,6 +17,7 @@ from chatsieve.operators.features import (
     role_totals,
     with_means,
 )
+from chatsieve.operators.order import number_lines
 from chatsieve.operators.render import render_chat
 from chatsieve.operators.validate import turn_faults, valid_conversations
 from chatsieve.plans import prepare
@@ -26,7 +27,9 @@ from chatsieve.sources.evaluation import read_prompts, read_responses, read_resu
 from chatsieve.sources.jsonl import (
     line_counts,
     malformed,
+    parse_lines,
     read_jsonl,
+    scan_lines,
     typed_messages,
     write_jsonl,
 )
@@ -99,8 +102,10 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def jsonl_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_jsonl(spark, inputs.chat_lines(spark, sf_dir, cut=True))
-    return malformed(lines).orderBy("ord").limit(5).selectExpr(*LINE_ID)
+    lines = parse_lines(scan_lines(spark, inputs.chat_lines(spark, sf_dir, cut=True)))
+    work = written(lines.drop("sample"), scratch_path(spark, "lines"))
+    first = malformed(number_lines(work)[0]).orderBy("ord").limit(5)
+    return first.selectExpr(*LINE_ID, "ord AS line_no", "reason")
 
 
 @registered
@@ -277,6 +282,20 @@ def prepare_jsonl_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.unionAll(held)
 
 
+@registered
+def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jsonl_splits(spark, sf_dir)
+    parts = []
+    for s in ("train", "eval"):
+        lines = written(
+            scan_lines(spark, f"{out}/split={s}"), scratch_path(spark, "lines")
+        )
+        parts.append(
+            number_lines(lines)[0].selectExpr(*LINE_ID, f"'{s}' AS split", "ord AS place")
+        )
+    return parts[0].unionAll(parts[1])
+
+
 @registered
 def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{jsonl_splits(spark, sf_dir)}/split=train"

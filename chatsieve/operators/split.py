@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,48 @@ def _cut(ranks: DataFrame, eval_ratio: float, max_tail: int) -> str | None:
             return tail.orderBy("rank").limit(k).agg(F.max("rank")).first()[0]
 
 
+@dataclass(frozen=True)
+class Cut:
+    """A seeded order and where it is cut into train and eval.
+
+    Rows rank by a seeded hash of their content and, among equal contents, by a
+    seeded hash of their id; so a row's rank and side follow from its own columns.
+    """
+
+    seed: int
+    # False for a ratio outside (0, 1): nothing is shuffled and all rows are train.
+    shuffles: bool
+    # The last train rank; None if there are no eval rows.
+    last: str | None = None
+
+    def rank(self, id_col: str, key_col: str = "key") -> str:
+        return f"concat({split_key(key_col, self.seed)}, {split_key(id_col, self.seed)})"
+
+    def with_split(self, rows: DataFrame, id_col: str, key_col: str = "key") -> DataFrame:
+        """Add ``split`` to rows, row by row."""
+        rank = self.rank(id_col, key_col)
+        is_train = "true" if self.last is None else f"{rank} <= '{self.last}'"
+        return rows.selectExpr("*", f"IF({is_train}, 'train', 'eval') AS split")
+
+
+def split_cut(
+    samples: DataFrame,
+    id_col: str,
+    key_col: str = "key",
+    eval_ratio: float = 0.1,
+    seed: int = 42,
+    max_tail: int = MAX_TAIL,
+) -> Cut:
+    """The cut that makes exactly ``train_size`` rows ``train``.
+
+    ``samples`` is read several times: hand in a written table, not a long lineage.
+    """
+    if not 0.0 < eval_ratio < 1.0:
+        return Cut(seed, False)
+    ranks = samples.selectExpr(f"{Cut(seed, True).rank(id_col, key_col)} AS rank")
+    return Cut(seed, True, _cut(ranks, eval_ratio, max_tail))
+
+
 def split_exact(
     samples: DataFrame,
     id_col: str,
@@ -62,18 +106,12 @@ def split_exact(
 ) -> DataFrame:
     """Add ``split``: exactly ``train_size`` rows are ``train``.
 
-    Rows rank by a seeded hash of their content and, among equal contents, by a
-    seeded hash of ``id_col``, which should be unique: rows with the same content and id share
-    a side, so that the train part may be larger. NULL counts as an empty value. The result does not depend
-    on partitioning. ``samples`` is read several times: hand in a written table,
-    not a long lineage. A ratio outside (0, 1) puts every row into train.
+    ``id_col`` should be unique: rows with the same content and id share a side, so that the train
+    part may be larger. NULL counts as an empty value. The result does not depend on
+    partitioning. A ratio outside (0, 1) puts every row into train.
     """
-    if not 0.0 < eval_ratio < 1.0:
-        return samples.selectExpr("*", "'train' AS split")
-    rank = f"concat({split_key(key_col, seed)}, {split_key(id_col, seed)})"
-    cut = _cut(samples.selectExpr(f"{rank} AS rank"), eval_ratio, max_tail)
-    is_train = "true" if cut is None else f"{rank} <= '{cut}'"
-    return samples.selectExpr("*", f"IF({is_train}, 'train', 'eval') AS split")
+    cut = split_cut(samples, id_col, key_col, eval_ratio, seed, max_tail)
+    return cut.with_split(samples, id_col, key_col)
 
 
 def split_hash(

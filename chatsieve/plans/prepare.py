@@ -21,15 +21,18 @@ from chatsieve.operators.features import (
     conversation_features,
     sample_features,
 )
+from chatsieve.operators.order import number_lines, ranked_partitions
 from chatsieve.operators.render import CHATML, render_chat
-from chatsieve.operators.skew import join_unique, largest_keys
-from chatsieve.operators.split import split_exact
+from chatsieve.operators.skew import join_unique, largest_keys, without
+from chatsieve.operators.split import split_cut, split_exact
 from chatsieve.operators.validate import with_sample_faults
 from chatsieve.sources.jsonl import (
     line_counts,
     malformed,
+    parse_lines,
     read_jsonl,
     replace_splits,
+    scan_lines,
     typed_messages,
     write_jsonl,
 )
@@ -122,47 +125,73 @@ def prepare_jsonl(
     min_assistant_length: float = MIN_ASSISTANT_LENGTH,
     eval_ratio: float = 0.1,
     seed: int = 42,
+    shuffled: bool = True,
 ) -> Prepared:
     """Curate JSON Lines at ``path`` into ``out/split=train`` and ``out/split=eval``.
 
     The lines are parsed once, into a work table. Deduplication, statistics and
-    split read its narrow columns only; the text is read again, and moved once,
-    when the kept lines are written.
+    split read its narrow columns only. The text is read again when kept lines are written: which
+    lines pass, and their split, follow from the line's own columns, and only the ids of removed
+    copies are sent to the text. With ``shuffled`` it then moves once, into files whose names
+    and lines are in the seeded order; otherwise it stays in place, in source order.
+    A ratio outside (0, 1) keeps the source order too.
     """
     refuse_overlap(spark, spark.read.text(path), out)
     lines_path = scratch_path(spark, "lines")
     curated_path = scratch_path(spark, "curated")
     work = written(
-        measured_lines(read_jsonl(spark, path))
-        .selectExpr(
-            "monotonically_increasing_id() AS line_id", "ord", "raw", "parsed", *FEATURES
+        measured_lines(parse_lines(scan_lines(spark, path))).selectExpr(
+            "path", "block", "line_id", "raw", "octet_length(raw) AS n_bytes", "parsed", *FEATURES
         ),
         lines_path,
     )
-    samples = work.where("parsed").drop("raw")
-    if samples.isEmpty():
+    if work.where("parsed").isEmpty():
         discard(spark, lines_path)
         raise ValueError(f"no valid samples found in {path}")
+    numbered, parts_path = number_lines(work)
+    paths = [lines_path, parts_path, curated_path]
+    samples = numbered.where("parsed").select("ord", "n_bytes", *FEATURES)
     curated = written(
-        curate(samples, "line_id", "ord", min_quality, min_assistant_length),
-        curated_path,
-    )
-    decisions = decide(curated, "line_id", eval_ratio, seed)
-    # Rows that fail on their own measures are left out before the text moves.
-    passing = kept(
-        with_drop_reason(with_quality(work), min_quality, min_assistant_length)
-    )
-    rows = passing.select("line_id", "raw").join(
-        decisions.select("line_id", "split"), "line_id"
+        curate(samples, "ord", "ord", min_quality, min_assistant_length), curated_path
     )
+    firsts = kept(curated)
+    if firsts.isEmpty():
+        raise ValueError("no samples passed filtering")
+    cut = split_cut(firsts, "ord", eval_ratio=eval_ratio, seed=seed)
+    decisions = cut.with_split(firsts, "ord").select("ord", "quality", "bucket", "split")
+    rows, n_bytes = _kept_lines(numbered, firsts, min_quality, min_assistant_length)
+    rows = cut.with_split(rows, "ord")
+    if shuffled and cut.shuffles:
+        rows = rows.selectExpr("*", f"{cut.rank('ord')} AS rank")
+        rows = ranked_partitions(rows, "rank", n_bytes, ["split"])
     write_jsonl(rows, out, partition_by="split")
     drop_absent_splits(spark, decisions, out)
-    result = _prepared(curated, decisions, [lines_path, curated_path])
+    result = _prepared(curated, decisions, paths)
     result.line_counts = line_counts(work)
-    result.first_errors = malformed(work).orderBy("ord").limit(5)
+    result.first_errors = (
+        malformed(numbered).select("path", "line_no", "reason", "raw", "ord").orderBy("ord").limit(5)
+    )
     return result
 
 
+def _kept_lines(
+    numbered: DataFrame, firsts: DataFrame, min_quality: float, min_assistant_length: float
+) -> tuple[DataFrame, int]:
+    """``ord, key, raw`` of the kept lines, where they are, and about their size in bytes.
+
+    A line is kept if it passes by its own measures and is not a later copy. Copies are found
+    by their ids alone: those that pass but are not the first of their content.
+    """
+    passing = kept(
+        with_drop_reason(with_quality(numbered), min_quality, min_assistant_length)
+    )
+    n_first, n_all = firsts.selectExpr("count(*)", "sum(copies)").first()
+    copies = passing.select("ord").join(firsts.select("ord"), "ord", "left_anti")
+    n_bytes = passing.agg({"n_bytes": "sum"}).first()[0]
+    rows = without(passing.select("ord", "key", "raw"), "ord", copies, n_all - n_first)
+    return rows, n_bytes
+
+
 def prepare_turns(
     turns: DataFrame,
     out: str | None = None,

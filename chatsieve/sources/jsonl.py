@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
-from chatsieve.functions.text import let, strip_ws
+from chatsieve.functions.text import let, quoted, strip_ws
 
 
 # The parser's own limits on strings (20 million characters) and numbers would take
@@ -20,6 +20,13 @@ PARSER = (
 )
 
 
+# Patterns of JSON: an escaped character, and a string without any.
+ESCAPE, STRING = r"\\.", '"[^"]*"'
+
+# Lines of this size are beyond VARIANT's limit in any case.
+MAX_VARIANT_BYTES = 128 * 2**20
+
+
 def strict_json(line: str) -> str:
     """VARIANT of a line that is exactly one JSON value, else NULL.
 
@@ -36,37 +43,69 @@ def strict_json(line: str) -> str:
     return let("seal_", f"sha2({line}, 256)", let("listed_", listed, value))
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines as ``ord, raw, sample, parsed``.
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines, blank ones too, as ``path, block, line_id, raw`` (stripped).
+
+    A task numbers the rows of its file parts in reading order, whatever the order of
+    the parts, so ``(path, block, line_id)`` sorts lines in file order (files by path).
+    """
+    return spark.read.text(path).selectExpr(
+        "_metadata.file_path AS path",
+        "_metadata.file_block_start AS block",
+        "monotonically_increasing_id() AS line_id",
+        f"{strip_ws('value')} AS raw",
+    )
+
 
-    ``sample`` is NULL and ``parsed`` false where a line is malformed.
-    ``ord`` sorts lines in file order (files by path): a task numbers the rows
-    of its splits in reading order, whatever the order of the splits.
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Add ``sample`` (VARIANT) and ``parsed`` to rows with ``raw``.
+
+    ``sample`` is NULL and ``parsed`` false where a line is malformed; both are NULL for blank lines.
     """
     # As in Python, the last of several equal keys counts.
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return (
-        spark.read.text(path)
-        .selectExpr(
-            "struct(_metadata.file_path AS path, _metadata.file_block_start AS block,"
-            " monotonically_increasing_id() AS line) AS ord",
-            f"{strip_ws('value')} AS raw",
-        )
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return lines.selectExpr("*", f"{strict_json('raw')} AS sample").selectExpr(
+        "*", "IF(raw = '', NULL, sample IS NOT NULL) AS parsed"
+    )
+
+
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines as ``ord, raw, sample, parsed``; ``ord`` sorts lines in file order."""
+    lines = (
+        scan_lines(spark, path)
+        .selectExpr("struct(path, block, line_id AS line) AS ord", "raw")
         .where("raw <> ''")
-        .selectExpr("ord", "raw", f"{strict_json('raw')} AS sample")
-        .selectExpr("*", "sample IS NOT NULL AS parsed")
     )
+    return parse_lines(lines)
+
+
+def damage(raw: str) -> str:
+    """Why a line that is not one JSON value is none, as a stable code.
+
+    ``too_large``: beyond the size limit of VARIANT; ``trailing_text``: something follows a whole
+    value; ``unclosed``: the line ends inside a string, list or object; else ``bad_value``.
+    """
+    bare = f"regexp_replace(regexp_replace({raw}, {quoted(ESCAPE)}, ''), {quoted(STRING)}, '')"
+    opened = "length(translate(bare_, ']}', '')) > length(translate(bare_, '[{', ''))"
+    unclosed = let("bare_", bare, f"contains(bare_, '\"') OR {opened}")
+    return f"""CASE WHEN octet_length({raw}) >= {MAX_VARIANT_BYTES} THEN 'too_large'
+      WHEN try_parse_json({raw}) IS NOT NULL THEN 'trailing_text'
+      WHEN {unclosed} THEN 'unclosed' ELSE 'bad_value' END"""
 
 
 def malformed(lines: DataFrame) -> DataFrame:
-    """Lines set aside because they are not one JSON value."""
-    return lines.where("NOT parsed").select("ord", "raw")
+    """Lines set aside because they are not one JSON value, with the ``reason``.
+
+    All columns but ``sample`` and ``parsed`` are kept: after ``number_lines`` also the line's number.
+    """
+    bad = lines.where("NOT parsed").selectExpr("*", f"{damage('raw')} AS reason")
+    return bad.drop("sample", "parsed")
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
-    """One row: ``n_lines``, ``n_parsed``, ``n_malformed``."""
+    """One row: ``n_lines`` (blank ones left out), ``n_parsed``, ``n_malformed``."""
     return lines.selectExpr(
-        "count(*) AS n_lines",
+        "count(parsed) AS n_lines",
         "count_if(parsed) AS n_parsed",
         "count_if(NOT parsed) AS n_malformed",
     )

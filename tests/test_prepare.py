@@ -33,7 +33,9 @@ def test_prepare_jsonl(spark, write_lines, tmp_path):
     assert (len(train), len(held)) == (16, 4)
     assert tuple(result.counters.first()) == (24, 2, 1, 1, 20)
     assert tuple(result.line_counts.first()) == (25, 24, 1)
-    assert [r.raw for r in result.first_errors.collect()] == ["{broken"]
+    assert [(r.line_no, r.reason, r.raw) for r in result.first_errors.collect()] == [
+        (23, "unclosed", "{broken")
+    ]
     assert {r.role: r.n for r in result.roles.collect()} == {
         "system": 20, "user": 20, "assistant": 20,
     }

@@ -7,6 +7,7 @@ fixed variation of it that has both. It covers every row of the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chatsieve.functions.text import words
 from chatsieve.sources.jsonl import to_lines
@@ -117,5 +118,31 @@ def prompts(rows: DataFrame) -> DataFrame:
     )
 
 
+def prompt_documents(rows: DataFrame) -> str:
+    """Write the prompts as JSON documents with a ``prompts`` list, one for each 500
+    conversations; returns the path. By position, items get faults: a list as ``user``, no ``user``,
+    numbers as keywords, text as ``max_tokens``, and a text instead of an item."""
+    item = "to_json(struct(name, user, system, expected_keywords, max_tokens))"
+    damaged = f"""CASE pos % 11
+      WHEN 1 THEN to_json(struct(name, array(user) AS user))
+      WHEN 2 THEN to_json(struct(name))
+      WHEN 3 THEN to_json(struct(name, user, array(1, 2) AS expected_keywords))
+      WHEN 4 THEN to_json(struct(name, user, 'many' AS max_tokens))
+      WHEN 5 THEN to_json(array(name)) ELSE {item} END"""
+    path = scratch_path(rows.sparkSession, "documents")
+    (
+        rows.selectExpr("pos div 500000000 AS doc", "pos", f"{damaged} AS item")
+        .groupBy("doc")
+        .agg(F.expr("array_sort(collect_list(struct(pos, item))) AS items"))
+        .selectExpr(
+            "doc",
+            "concat('{\"prompts\":[', array_join(transform(items, i -> i.item), ','), ']}') AS body",
+        )
+        .write.partitionBy("doc")
+        .text(path)
+    )
+    return path
+
+
 def responses(rows: DataFrame, model: str) -> DataFrame:
     return rows.selectExpr("pos", "name", f"{model} AS response")

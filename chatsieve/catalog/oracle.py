@@ -394,10 +394,41 @@ FROM conversations GROUP BY conv_id""",
         *_LINE_SPLIT,
     ),
     "training_text": sql(
-        "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || content "
-        "|| '<|im_end|>' || chr(10), '' ORDER BY turn) AS text "
-        "FROM chat JOIN parted USING (conv_id) WHERE split = 'train' GROUP BY conv_id",
+        """
+SELECT conv_id, 'chatml' AS template, string_agg('<|im_start|>' || role || chr(10) || content
+  || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM training GROUP BY conv_id
+UNION ALL
+SELECT conv_id, 'inst', string_agg(CASE
+    WHEN role = 'user' AND nth = 1 AND lead IS NOT NULL THEN '<s>[INST] <<SYS>>' || chr(10)
+      || lead || chr(10) || '<</SYS>>' || chr(10) || chr(10) || content || ' [/INST]'
+    WHEN role = 'user' THEN '<s>[INST] ' || content || ' [/INST]'
+    WHEN role = 'assistant' THEN ' ' || content || ' </s>' ELSE '' END, '' ORDER BY turn)
+FROM spoken GROUP BY conv_id
+UNION ALL
+SELECT conv_id, 'alpaca', string_agg(
+    CASE WHEN nth = 1 AND lead IS NOT NULL THEN lead || chr(10) || chr(10) ELSE '' END || '### '
+    || CASE role WHEN 'user' THEN 'Instruction' WHEN 'assistant' THEN 'Response' ELSE 'Note' END
+    || ':' || chr(10) || content
+    || CASE WHEN nth = n THEN '</s>' ELSE chr(10) || chr(10) END, '' ORDER BY turn)
+FROM spoken GROUP BY conv_id""",
         *_LINE_SPLIT,
+        """
+training AS (
+  SELECT conv_id, turn, role, content,
+    first_value(CASE WHEN role = 'system' THEN content END)
+      OVER (PARTITION BY conv_id ORDER BY turn) AS lead,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place
+  FROM chat JOIN parted USING (conv_id) WHERE split = 'train'),
+spoken AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM training WHERE NOT (place = 1 AND role = 'system'))""",
+    ),
+    "stream_dataset": sql(
+        "SELECT key, CASE WHEN ('0x' || substr(sha256(key || '|42'), 1, 8))::BIGINT "
+        ">= trunc(0.1::DOUBLE * 4294967296)::BIGINT THEN 'train' ELSE 'eval' END "
+        "AS split FROM kept",
+        *_LINE_SCORED, DEDUP,
     ),
     "prepare_dataset": sql(
         "SELECT conv_id, quality, bucket, split FROM parted", *_SPLIT
@@ -409,6 +440,21 @@ SELECT pos, name, coalesce(system_, '') AS system, coalesce(max_tokens, 256) AS
   CASE WHEN pos % 9 = 0 THEN 'missing_user' END AS error FROM rows_""",
         EVALUATION,
     ),
+    "prompt_items": sql(
+        """
+SELECT pos // 500000000 AS doc, row_number() OVER (PARTITION BY pos // 500000000 ORDER BY pos) - 1 AS pos,
+  CASE WHEN pos % 11 <> 5 THEN name END AS name,
+  CASE WHEN pos % 11 NOT IN (1, 2, 5) THEN user_ END AS user,
+  CASE WHEN pos % 11 NOT IN (1, 2, 3, 4, 5) THEN system_ END AS system,
+  CASE WHEN pos % 11 NOT IN (1, 2, 3, 4, 5) THEN max_tokens END AS max_tokens,
+  CASE WHEN pos % 11 = 3 THEN '?|?' WHEN pos % 11 NOT IN (1, 2, 4, 5)
+    THEN array_to_string(keywords, '|') END AS keywords,
+  CASE pos % 11 WHEN 1 THEN 'user_not_text' WHEN 2 THEN 'missing_user'
+    WHEN 3 THEN 'keyword_not_text@0,keyword_not_text@1' WHEN 4 THEN 'max_tokens_not_integer'
+    WHEN 5 THEN 'not_object' ELSE '' END AS errors
+FROM rows_""",
+        EVALUATION,
+    ),
     "prompt_messages": sql(
         """
 SELECT pos, name, 0 AS i, 'system' AS role, system_ AS content

@@ -18,12 +18,17 @@ from chatsieve.operators.features import (
     with_means,
 )
 from chatsieve.operators.order import number_lines
-from chatsieve.operators.render import render_chat
+from chatsieve.operators.render import ALPACA, CHATML, INST, render_chat
 from chatsieve.operators.validate import turn_faults, valid_conversations
 from chatsieve.plans import prepare
 from chatsieve.plans.compare import compare_models
 from chatsieve.plans.prepare import measured_lines, prepare_jsonl, prepare_turns
-from chatsieve.sources.evaluation import read_prompts, read_responses, read_results
+from chatsieve.sources.evaluation import (
+    read_prompt_document,
+    read_prompts,
+    read_responses,
+    read_results,
+)
 from chatsieve.sources.jsonl import (
     line_counts,
     malformed,
@@ -35,6 +40,7 @@ from chatsieve.sources.jsonl import (
 )
 from chatsieve.sources.turns import assemble, explode_messages
 from chatsieve.storage import scratch_path, written
+from chatsieve.streaming.prepare import prepare_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +63,10 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate(features, "conv_id", "conv_id", min_quality=MIN_QUALITY)
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.measures(curated(spark, sf_dir))
+
+
 # Ids of a line as ``to_lines`` writes them, also where its end is cut.
 LINE_ID = ["""CAST(regexp_extract(raw, '"id":([0-9]+)', 1) AS BIGINT) AS conv_id"""]
 
@@ -205,22 +215,22 @@ def drop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.counters(curated(spark, sf_dir))
+    return stats.counters(measured(spark, sf_dir))
 
 
 @registered
 def role_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.role_distribution(curated(spark, sf_dir))
+    return stats.role_distribution(measured(spark, sf_dir))
 
 
 @registered
 def quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.quality_histogram(curated(spark, sf_dir))
+    return stats.quality_histogram(measured(spark, sf_dir))
 
 
 @registered
 def dataset_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.averages(curated(spark, sf_dir))
+    return stats.averages(measured(spark, sf_dir))
 
 
 @registered
@@ -299,7 +309,29 @@ def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{jsonl_splits(spark, sf_dir)}/split=train"
-    return prepare.training_text(spark, path).selectExpr(*LINE_ID, "text")
+    texts = [
+        prepare.training_text(spark, path, template).selectExpr(
+            *LINE_ID, f"'{name}' AS template", "text"
+        )
+        for name, template in (("chatml", CHATML), ("inst", INST), ("alpaca", ALPACA))
+    ]
+    return texts[0].unionAll(texts[1]).unionAll(texts[2])
+
+
+@registered
+def stream_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, streamed file by file; which of equal contents stays is left open, so
+    contents are told by their key."""
+    out = scratch_path(spark, "streamed")
+    prepare_stream(
+        spark, inputs.chat_lines(spark, sf_dir), out, scratch_path(spark, "state"),
+        min_quality=MIN_QUALITY, eval_ratio=EVAL_RATIO, seed=SEED, files_per_batch=1000,
+    ).awaitTermination()
+    parts = [
+        measured_lines(read_jsonl(spark, f"{out}/split={s}")).selectExpr("key", f"'{s}' AS split")
+        for s in ("train", "eval")
+    ]
+    return parts[0].unionAll(parts[1])
 
 
 # --- evaluation -------------------------------------------------------------
@@ -316,6 +348,16 @@ def prompt_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def prompt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.prompts(inputs.evaluation_rows(spark, sf_dir))
+    return read_prompt_document(spark, inputs.prompt_documents(rows)).selectExpr(
+        "CAST(regexp_extract(document, 'doc=([0-9]+)', 1) AS BIGINT) AS doc", "pos", "name", "user",
+        "system", "max_tokens", "array_join(expected_keywords, '|', '?') AS keywords",
+        "array_join(errors, ',') AS errors",
+    )
+
+
 @registered
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = inputs.prompts(inputs.evaluation_rows(spark, sf_dir))

@@ -22,7 +22,8 @@ MIN_MESSAGES = 2
 _KNOWN = ", ".join(quoted(role) for role in ROLES)
 
 
-def _is_type(value: str, prefix: str) -> str:
+def is_type(value: str, prefix: str) -> str:
+    """Whether the type of a VARIANT begins with ``prefix``."""
     return f"coalesce(startswith(schema_of_variant({value}), '{prefix}'), false)"
 
 
@@ -34,7 +35,7 @@ def _field(value: str, name: str) -> str:
 def _text(value: str) -> str:
     """The text of a JSON string, NULL for any other value."""
     text = f"try_variant_get({value}, '$', 'string')"
-    return f"CASE WHEN {_is_type(value, 'STRING')} THEN {text} END"
+    return f"CASE WHEN {is_type(value, 'STRING')} THEN {text} END"
 
 
 def _message_faults() -> str:
@@ -44,11 +45,11 @@ def _message_faults() -> str:
       CASE WHEN role_ IS NULL THEN concat('missing_role@', i)
         WHEN {role_text} NOT IN ({_KNOWN}) THEN concat('invalid_role@', i) END,
       CASE WHEN content_ IS NULL THEN concat('missing_content@', i)
-        WHEN NOT {_is_type("content_", "STRING")}
+        WHEN NOT {is_type("content_", "STRING")}
         THEN concat('content_not_string@', i) END))"""
     # The type of the whole message matters only where it has neither field.
     faults = f"""CASE WHEN role_ IS NULL AND content_ IS NULL
-      AND NOT {_is_type("m", "OBJECT")}
+      AND NOT {is_type("m", "OBJECT")}
       THEN array(concat('message_not_object@', i)) ELSE {codes} END"""
     return let("role_", _field("m", "role"), let("content_", _field("m", "content"), faults))
 
@@ -77,7 +78,7 @@ def with_sample_faults(lines: DataFrame) -> DataFrame:
             f"""CASE WHEN _items IS NOT NULL THEN {in_list}
               WHEN {_field("sample", "messages")} IS NOT NULL
                 THEN array('messages_not_list')
-              WHEN {_is_type("sample", "OBJECT")} THEN array('missing_messages')
+              WHEN {is_type("sample", "OBJECT")} THEN array('missing_messages')
               WHEN sample IS NOT NULL THEN array('not_object') END AS errors""",
         )
         .drop("_items", "_roles")

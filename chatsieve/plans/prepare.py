@@ -22,7 +22,7 @@ from chatsieve.operators.features import (
     sample_features,
 )
 from chatsieve.operators.order import number_lines, ranked_partitions
-from chatsieve.operators.render import CHATML, render_chat
+from chatsieve.operators.render import CHATML, ChatTemplate, render_chat
 from chatsieve.operators.skew import join_unique, largest_keys, without
 from chatsieve.operators.split import split_cut, split_exact
 from chatsieve.operators.validate import with_sample_faults
@@ -76,13 +76,16 @@ def decide(
 
 
 def _prepared(curated: DataFrame, decisions: DataFrame, paths: list[str]) -> Prepared:
+    """All statistics from one scan of the curated table."""
+    path = scratch_path(curated.sparkSession, "measures")
+    measured = written(stats.measures(curated), path)
     return Prepared(
         decisions,
-        stats.counters(curated),
-        stats.role_distribution(curated),
-        stats.quality_histogram(curated),
-        stats.averages(curated),
-        paths,
+        stats.counters(measured),
+        stats.role_distribution(measured),
+        stats.quality_histogram(measured),
+        stats.averages(measured),
+        [*paths, path],
     )
 
 
@@ -218,7 +221,7 @@ def prepare_turns(
 
 
 def training_text(
-    spark: SparkSession, path: str, template: str = CHATML
+    spark: SparkSession, path: str, template: str | ChatTemplate = CHATML
 ) -> DataFrame:
     """Re-read curated JSON Lines and render each sample: ``ord, raw, text``."""
     text = render_chat(typed_messages(), template)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from chatsieve.functions.text import let, quoted, strip_ws
+from chatsieve.storage import replaced
 
 
 # The parser's own limits on strings (20 million characters) and numbers would take
@@ -132,7 +133,7 @@ def to_lines(samples: DataFrame) -> DataFrame:
 def write_jsonl(
     lines: DataFrame, path: str, partition_by: str | None = None
 ) -> None:
-    """Write the ``raw`` column as text files, replacing what is at ``path``.
+    """Write the ``raw`` column as text files, replacing what is at ``path`` once all is written.
 
     With ``partition_by`` one job writes one subfolder per value of that column
     and replaces these subfolders only.
@@ -142,11 +143,14 @@ def write_jsonl(
     if partition_by:
         replace_splits(writer, partition_by).text(path)
     else:
-        writer.mode("overwrite").text(path)
+        replaced(lines.sparkSession, path, writer.text)
 
 
 def replace_splits(writer: DataFrameWriter, column: str = "split") -> DataFrameWriter:
-    """A writer that replaces the subfolders it has rows for, and nothing else."""
+    """A writer that replaces the subfolders it has rows for, and nothing else.
+
+    Spark writes into a staging folder and replaces subfolders when the job has ended well.
+    """
     return (
         writer.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,37 @@ def discard(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     folder.getFileSystem(conf).delete(folder, True)
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Replace the folder at ``path`` by what ``write`` puts into a new folder beside it.
+
+    Whatever fails before the new folder is whole leaves the old one as it is. The old folder is set
+    aside, the new one takes its name, and only then is the old one deleted. A run that ends between
+    the two renames leaves both beside ``path``, as ``._old-...`` and ``._new-...``.
+    """
+    mark = uuid.uuid4().hex
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = folder.getFileSystem(conf)
+
+    def beside(kind: str):
+        name = f"._{kind}-{mark}-{folder.getName()}"
+        parent = system.makeQualified(folder).getParent()
+        return spark._jvm.org.apache.hadoop.fs.Path(parent, name)
+
+    new, old = beside("new"), beside("old")
+    try:
+        write(new.toString())
+    except BaseException:
+        system.delete(new, True)
+        raise
+    aside = system.exists(folder)
+    if aside and not system.rename(folder, old):
+        raise OSError(f"{path} could not be set aside")
+    if not system.rename(new, folder):
+        if aside:
+            system.rename(old, folder)
+        raise OSError(f"{path} could not be put in place")
+    if aside:
+        system.delete(old, True)

@@ -1,8 +1,2 @@
-"""Streams.
-
-There is no streaming operator: nothing in the feature set keeps state over
-time. The row-local steps (``strict_json``, ``with_sample_faults``,
-``sample_features``, ``with_quality``, ``render_chat``, ``split_hash``,
-``with_response_score``) hold no state and work on a streaming DataFrame as they
-are; deduplication, the exact split and the comparison are batch jobs.
-"""
+"""Curation of files as they come; the other row-local steps (``render_chat``,
+``with_response_score``) run on a streaming DataFrame as they are."""

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from chatsieve.catalog.inputs import chat_input
+from chatsieve.catalog.inputs import chat_input, turn_input
 from chatsieve.catalog.oracle import ORACLE
 from chatsieve.operators import stats
 from chatsieve.operators.curate import curate, dedup_first, kept, with_parts, with_quality
@@ -77,7 +77,7 @@ def test_copies_keep_the_first(spark):
     turns = turn_rows(spark, {7: GOOD, 3: GOOD, 5: GOOD, 9: GOOD[:1]})
     curated = curate(conversation_features(turns), "conv_id", "conv_id")
     assert [r.conv_id for r in kept(curated).collect()] == [3]
-    counters = stats.counters(curated).first()
+    counters = stats.counters(stats.measures(curated)).first()
     assert (counters.total_raw, counters.duplicates_removed) == (4, 2)
     assert (counters.invalid_removed, counters.total_filtered) == (1, 1)
 
@@ -110,10 +110,10 @@ def test_drop_reasons(spark):
 def test_nothing_kept(spark):
     turns = turn_rows(spark, {1: GOOD[:1]})
     curated = curate(conversation_features(turns), "conv_id", "conv_id")
-    assert tuple(stats.averages(curated).first()) == (0.0, 0.0, 0.0)
-    assert stats.role_distribution(curated).collect() == []
-    assert stats.quality_histogram(curated).collect() == []
-    assert tuple(stats.counters(curated).first()) == (1, 1, 0, 0, 0)
+    assert tuple(stats.averages(stats.measures(curated)).first()) == (0.0, 0.0, 0.0)
+    assert stats.role_distribution(stats.measures(curated)).collect() == []
+    assert stats.quality_histogram(stats.measures(curated)).collect() == []
+    assert tuple(stats.counters(stats.measures(curated)).first()) == (1, 1, 0, 0, 0)
 
 
 @pytest.mark.parametrize("sf_dir", [SF_SMALL, SF_CHECK, "/root/testdata/sf0.1"])
@@ -124,14 +124,14 @@ def test_counts_on_the_tables(spark, duck, sf_dir):
     def rows(name):
         return tables.execute(ORACLE[name]).fetchall()
 
-    features = conversation_features(chat_input(spark, sf_dir))
+    features = conversation_features(turn_input(spark, sf_dir))
     curated = curate(features, "conv_id", "conv_id", min_quality=0.4).cache()
-    assert list(map(tuple, stats.counters(curated).collect())) == rows("dataset_stats")
-    histogram = [tuple(r) for r in stats.quality_histogram(curated).collect()]
+    assert list(map(tuple, stats.counters(stats.measures(curated)).collect())) == rows("dataset_stats")
+    histogram = [tuple(r) for r in stats.quality_histogram(stats.measures(curated)).collect()]
     assert histogram == sorted(rows("quality_histogram")) and len(histogram) >= 3
     reasons = curated.where("valid").select("conv_id", "drop_reason").collect()
     assert sorted(map(tuple, reasons), key=repr) == sorted(rows("drop_reason"), key=repr)
-    c = stats.counters(curated).first()
+    c = stats.counters(stats.measures(curated)).first()
     assert c.low_quality_removed == sum(r.drop_reason is not None for r in reasons)
     assert c.total_filtered == sum(r.drop_reason is None for r in reasons)
     curated.unpersist()

@@ -221,3 +221,36 @@ def test_incomplete_prompt_stops_the_comparison(spark):
     some = responses(spark, (3, "a", "x"))
     with pytest.raises(ValueError, match="prompt 3: missing_user"):
         compare_models(table, some, some)
+
+
+def test_prompt_documents(spark, tmp_path):
+    import json
+
+    from chatsieve.sources.evaluation import read_prompt_document
+
+    items = [
+        {"name": "a", "user": "u", "system": "s", "expected_keywords": ["x", "y"], "max_tokens": 9, "more": 1},
+        {"name": "b", "user": ["u"], "system": 5}, {"name": None, "user": None}, {"user": "u"}, "text", 7, None, [],
+        {"name": "c", "user": "", "expected_keywords": ["x", 1, None], "max_tokens": "9"},
+        {"name": "d", "user": "u", "expected_keywords": "x", "max_tokens": 1.5},
+    ]
+    bodies = {
+        "a": json.dumps({"prompts": items}, indent=1), "b": "{", "c": "[]", "d": '{"other": []}',
+        "e": '{"prompts": {"name": "x"}}', "f": '{"prompts": []}', "g": "",
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    rows = read_prompt_document(spark, str(tmp_path)).orderBy("document", "pos").collect()
+    first = [r for r in rows if r.document.endswith("a.json")]
+    assert [r.pos for r in first] == list(range(10))
+    assert [r.errors for r in first] == [
+        [], ["user_not_text", "system_not_text"], ["name_not_text", "user_not_text"], ["missing_name"],
+        *[["not_object"]] * 4, ["max_tokens_not_integer", "keyword_not_text@1", "keyword_not_text@2"],
+        ["keywords_not_list", "max_tokens_not_integer"],
+    ]
+    assert tuple(first[0])[2:7] == ("a", "u", "s", ["x", "y"], 9)
+    assert (first[1].user, first[1].system, first[8].expected_keywords) == (None, None, ["x", None, None])
+    assert [(r.document[-6], r.pos, r.errors) for r in rows if not r.document.endswith("a.json")] == [
+        ("b", None, ["malformed"]), ("c", None, ["missing_prompts"]), ("d", None, ["missing_prompts"]),
+        ("e", None, ["prompts_not_list"]), ("g", None, ["malformed"]),
+    ]

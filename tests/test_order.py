@@ -130,7 +130,7 @@ def test_files_are_in_the_seeded_order(spark, write_lines, tmp_path, monkeypatch
     monkeypatch.setattr("chatsieve.operators.order.FILE_BYTES", 4000)
     path, out = write_lines(chats(400, 50)), str(tmp_path / "out")
     done = prepare.prepare_jsonl(spark, path, out, eval_ratio=0.3, seed=5)
-    keys = {r.ord: r.key for r in spark.read.parquet(done.work_paths[-1]).collect()}
+    keys = {r.ord: r.key for r in spark.read.parquet(next(p for p in done.work_paths if "curated" in p)).collect()}
     ranks = {
         json.loads(line)["n"]: hashlib.sha256(f"{keys[i]}|5".encode()).hexdigest()
         for i, line in enumerate(chats(400, 0), 1)

@@ -188,3 +188,69 @@ def test_a_long_conversation_is_one_sample_on_both_routes(spark, tmp_path):
     nested = prepare_jsonl(spark, source, str(tmp_path / "out"), min_quality=0.0, min_assistant_length=0)
     flat = prepare_turns(turns, min_quality=0.0, min_assistant_length=0)
     assert tuple(nested.counters.first()) == tuple(flat.counters.first()) == (2, 0, 0, 0, 2)
+
+
+def test_statistics_take_one_scan(spark, write_lines, tmp_path, monkeypatch):
+    from chatsieve.operators import stats
+
+    seen = []
+    measures = stats.measures
+    monkeypatch.setattr(stats, "measures", lambda c: (seen.append(measures(c)), seen[-1])[1])
+    done = prepare_jsonl(spark, write_lines([sample(user=f"Question {i}?") for i in range(9)]), str(tmp_path / "o"))
+    plan = seen[0]._jdf.queryExecution().toString()
+    assert plan.count("FileScan") == 1 and len(seen) == 1
+    frames = (done.counters, done.roles, done.histogram, done.averages)
+    scans = [f.inputFiles() for f in frames]
+    assert all("measures" in path for paths in scans for path in paths)
+
+
+TEMPLATES = [
+    ([("system", "S"), ("user", "a"), ("assistant", "b"), ("user", "c")],
+     "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\na [/INST] b </s><s>[INST] c [/INST]",
+     "S\n\n### Instruction:\na\n\n### Response:\nb\n\n### Instruction:\nc</s>"),
+    ([("user", "{system}"), ("system", "late"), ("assistant", "it's {role}\\n")],
+     "<s>[INST] {system} [/INST] it's {role}\\n </s>",
+     "### Instruction:\n{system}\n\n### Note:\nlate\n\n### Response:\nit's {role}\\n</s>"),
+    ([], "", ""),
+    ([("system", "only")], "", ""),
+]
+
+
+def test_templates(spark):
+    from chatsieve.operators.render import ALPACA, INST, ChatTemplate, Piece, render_chat
+    from tests.conftest import sample_rows
+
+    rows = sample_rows(spark, {i: t[0] for i, t in enumerate(TEMPLATES)} | {9: None})
+    got = rows.selectExpr("conv_id", f"{render_chat('messages', INST)} AS i", f"{render_chat('messages', ALPACA)} AS a")
+    assert {r.conv_id: (r.i, r.a) for r in got.collect()} == {
+        **{i: t[1:] for i, t in enumerate(TEMPLATES)}, 9: (None, None)
+    }
+    other = ChatTemplate((Piece("<{role}>", at="not first"), Piece("{content}")), "BOS", "EOS")
+    texts = rows.where("conv_id = 0").selectExpr(f"{render_chat('messages', other)} AS t").first().t
+    assert texts == "BOSS<user>a<assistant>b<user>cEOS"
+    with pytest.raises(ValueError):
+        render_chat("messages", ChatTemplate((Piece("{system}"),)))
+
+
+def test_a_failed_write_leaves_the_old_result(spark, write_lines, tmp_path):
+    from chatsieve.sources.evaluation import write_results
+    from chatsieve.sources.jsonl import write_jsonl
+
+    out = str(tmp_path / "out")
+    first = read_jsonl(spark, write_lines([sample()]))
+    write_jsonl(first, out)
+    failing = spark.range(100).selectExpr("IF(id = 99, raise_error('stop'), CAST(id AS STRING)) AS raw")
+    with pytest.raises(Exception, match="stop"):
+        write_jsonl(failing, out)
+    assert [r.raw for r in read_jsonl(spark, out).collect()] == [first.first().raw]
+    columns = "prompt_name STRING, user_input STRING, base_response STRING, tuned_response STRING"
+    results = spark.createDataFrame([("p", "u", "b", "t")], columns).selectExpr(
+        "*", "0.5D AS base_score", "0.7D AS tuned_score", "0.2D AS improvement"
+    )
+    table = str(tmp_path / "results")
+    for frame in (results, results.withColumn("base_score", results.base_score * 0)):
+        write_results(frame, table)
+    with pytest.raises(Exception, match="stop"):
+        write_results(results.selectExpr("* EXCEPT (base_score)", "CAST(raise_error('stop') AS DOUBLE) AS base_score"), table)
+    assert [r.base_score for r in spark.read.json(table).collect()] == [0.0]
+    assert sorted(p for p in os.listdir(tmp_path) if p.startswith("._")) == []

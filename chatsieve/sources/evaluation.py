@@ -80,7 +80,7 @@ def read_prompt_document(spark: SparkSession, path: str) -> DataFrame:
 
     ``document, pos`` tell the place, ``errors`` lists the faults of an item; a value of the wrong type
     is NULL. A document that is malformed, has no ``prompts``, or has no list there gives one row with
-    ``pos`` NULL. A document is one row until its items are taken apart, so it
+    ``pos`` NULL; a file without a byte gives none. A document is one row until its items are taken apart, so it
     may not pass the size limit of VARIANT; many documents are read side by side.
     """
     documents = spark.read.text(path, wholetext=True).selectExpr(

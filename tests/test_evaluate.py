@@ -236,7 +236,7 @@ def test_prompt_documents(spark, tmp_path):
     ]
     bodies = {
         "a": json.dumps({"prompts": items}, indent=1), "b": "{", "c": "[]", "d": '{"other": []}',
-        "e": '{"prompts": {"name": "x"}}', "f": '{"prompts": []}', "g": "",
+        "e": '{"prompts": {"name": "x"}}', "f": '{"prompts": []}', "g": " ",
     }
     for name, body in bodies.items():
         (tmp_path / f"{name}.json").write_text(body)

@@ -10,8 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+# Some 60 bytes are held for each byte of a chunk.
+CHUNK_BYTES = 256_000
+# Texts taken out of a batch at a time.
+CHUNK_TEXTS = 256
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -97,17 +101,18 @@ class Words:
         return mix(out[ok]), doc[ok]
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Encoded texts in groups of about ``CHUNK_BYTES``, with the first's number.
-    A longer text is a group alone. NULL counts as empty."""
+def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Encoded texts of a column in groups of about ``CHUNK_BYTES``, with the first's number. A
+    longer text is a group alone. NULL counts as empty. Few texts leave the column at a time."""
     group: list[bytes] = []
     size = begin = 0
-    for i, text in enumerate(texts):
-        coded = (text or "").encode("utf-8", "surrogatepass")
-        if group and size + len(coded) > CHUNK_BYTES:
-            yield begin, group
-            group, size, begin = [], 0, i
-        group.append(coded)
-        size += len(coded)
+    for at in range(0, len(column), CHUNK_TEXTS):
+        for i, text in enumerate(column.slice(at, CHUNK_TEXTS).to_pylist(), at):
+            coded = (text or "").encode("utf-8", "surrogatepass")
+            if group and size + len(coded) > CHUNK_BYTES:
+                yield begin, group
+                group, size, begin = [], 0, i
+            group.append(coded)
+            size += len(coded)
     if group:
         yield begin, group

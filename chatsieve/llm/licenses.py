@@ -77,7 +77,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = np.sort(_hashes(_WORDS))
     total = np.zeros(len(known), np.int64)
     for batch in batches:
-        for _, texts in chunks(batch.column("text").to_pylist()):
+        for _, texts in chunks(batch.column("text")):
             at = find(known, Words(texts).hash)
             total += np.bincount(at[at >= 0], minlength=len(known))
     yield pa.RecordBatch.from_pydict({"word": known.view(np.int64), "n": total})
@@ -156,7 +156,7 @@ def scan_batches(
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = 0
-        for _, texts in chunks(batch.column("text").to_pylist()):
+        for _, texts in chunks(batch.column("text")):
             words, n = Words(texts), len(texts)
             h, doc = words.hash, words.doc
             n_base = np.zeros(n, np.int64)

@@ -159,7 +159,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passage measures of labelled documents, for learning."""
     for batch in batches:
         done, marks = 0, batch.column("quality").to_pylist()
-        for begin, texts in chunks(batch.column("text").to_pylist()):
+        for begin, texts in chunks(batch.column("text")):
             x, doc = passages(texts)
             first = np.searchsorted(doc, np.arange(len(texts) + 1))
             rows = [
@@ -178,7 +178,7 @@ def scored(
     model: Attention | None, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, texts in chunks(batch.column("text").to_pylist()):
+        for begin, texts in chunks(batch.column("text")):
             n = len(texts)
             score = np.full(n, 0.5)
             if model is not None:

@@ -81,7 +81,7 @@ def repeated_lines(text: bytes) -> int:
 def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = 0
-        for _, texts in chunks(batch.column("text").to_pylist()):
+        for _, texts in chunks(batch.column("text")):
             words = Words(texts, SPACE_TABLE)
             data, n = words.data, words.count.astype(np.int64)
             chars = words.within((SPACE_TABLE[data] != 0) & (data & 0xC0 != 0x80))

@@ -195,27 +195,80 @@ def test_original_draws_spread_out_variants_together(spark):
     assert {r.class_id for r in out} == {-1000} and len(out) == len(rows)
 
 
-def test_all_pairs_of_a_bucket_meet(spark, monkeypatch):
-    # Forty texts share a passage, two by two they are near copies. The first rounds see none of them.
-    monkeypatch.setattr(near_dup, "candidate_pairs", lambda buckets, number: buckets.selectExpr("node AS a", "node AS b").limit(0))
+def variants(rng, n, words, changed):
+    """``n`` texts of ``words`` words, each with one stretch of its own of ``changed`` words."""
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        at = rng.randrange(words - changed)
+        out.append(" ".join(base[:at] + [f"v{i}x{k}" for k in range(changed)] + base[at + changed:]))
+    return out
+
+
+def strangers(n):
+    return [" ".join(f"s{i}y{k}" for k in range(120)) for i in range(n)]
+
+
+@pytest.mark.parametrize("n_hot", [200, 20, 2])
+def test_a_pair_has_one_verdict_whatever_its_group(spark, n_hot):
+    """Variants, each two alike to 0.83 at least, in a hot group and in a small one."""
+    texts = variants(random.Random(n_hot), n_hot, 200, 5) + strangers(400)
+    rows = list(enumerate(texts))
+    out = near_dup.classes(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    of = {r.doc_id: r.class_id for r in out}
+    assert {of[i] for i in range(n_hot)} == {0}
+    assert all(of[i] == i for i in range(n_hot, len(rows)))
+
+
+def test_copies_among_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts share most of what they have, two by two they are near copies: large groups part."""
+    monkeypatch.setattr(near_dup, "SMALL", 6)
     passage = [f"w{i}" for i in range(300)]
     rows = [(2 * i + j, " ".join(passage + [f"t{i}x{k}" for k in range(60)] + ["end"] * j))
-            for i in range(20) for j in range(2)]
+            for i in range(120) for j in range(2)]
     out = near_dup.classes(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
     assert {(r.doc_id, r.class_id) for r in out} == {(i, i - i % 2) for i, _ in rows}
 
 
-def test_leaders_finish_each_bucket(spark):
-    rows = [(0, 1, bytes([i]), bytes([i % 30])) for i in range(90)] + [(1, 1, b"a", b"z"), (1, 1, b"b", b"z")]
-    buckets = spark.createDataFrame(rows, "band INT, key LONG, node BINARY, label BINARY")
-    met, led, rounds = set(), None, 0
-    while led is None or not leaders.isEmpty():
-        leaders = near_dup.bucket_leaders(buckets, None, led, 1 if led is None else near_dup.SLOTS).localCheckpoint()
-        led = leaders if led is None else led.union(leaders)
-        met |= {(bytes(r.a), bytes(r.b)) for r in near_dup.leader_pairs(buckets, leaders).collect()}
-        rounds += 1
-    assert met == {(bytes([j]), bytes([i])) for i in range(90) for j in range(i) if (i - j) % 30}
-    assert rounds < 15
+def test_recall_of_planted_pairs(spark):
+    """Pairs of plain similarity 0.8 to 0.9, alone and inside a group of a third of all rows."""
+    rng = random.Random(17)
+    texts, planted = strangers(150), []
+    for p in range(120):
+        base = [f"p{p}w{i}" for i in range(150)]
+        other = list(base)
+        for at in rng.sample(range(0, 150, 15), rng.randint(1, 3)):
+            other[at] = f"p{p}n{at}"
+        planted.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    texts += variants(rng, 200, 200, 9)
+    hot = range(len(texts) - 200, len(texts))
+    sets = [brute.shingles(t) for t in texts]
+
+    def plain(a, b):
+        same = sum((sets[a] & sets[b]).values())
+        return same / (sum(sets[a].values()) + sum(sets[b].values()) - same)
+
+    planted += [(a, b) for a in hot for b in hot if a < b]
+    wanted = [p for p in planted if 0.8 <= plain(*p) <= 0.9]
+    out = near_dup.classes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    ).collect()
+    of = {r.doc_id: r.class_id for r in out}
+    found = [of[a] == of[b] for a, b in wanted]
+    print("recall", sum(found), len(found))
+    assert len(wanted) > 200 and sum(found) >= 0.95 * len(found)
+
+
+def test_comparisons_are_linear(spark, monkeypatch):
+    """No group is compared pair by pair beyond a constant for each node."""
+    counts = []
+    found = near_dup.candidates
+    monkeypatch.setattr(near_dup, "candidates", lambda *a: (counts.append(found(*a)), counts[-1])[1])
+    texts = variants(random.Random(1), 300, 200, 30) + strangers(100)
+    rows = list(enumerate(texts))
+    near_dup.classes(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sum(c.count() for c in counts) < 300 * 300 / 4
 
 
 def test_keep_one_of_repeated_rows(spark):

@@ -1,8 +1,11 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Each document gets rule statistics: the shares of symbols, repeated word windows,
-repeated lines, capitals and shouted or quoted marks, each above a limit
-up to which it is ordinary. A forest of random splits is grown on a bounded
+repeated lines, capitals and shouted or quoted marks, the mean length of words and of
+lines, and the size. The forest sees how far a statistic is from the median of the rows labelled good,
+and takes what all but ``ORDINARY`` of these rows stay within for equally ordinary; both are
+quantiles that Spark works out over all labelled rows (all rows that pass the base rules, if no
+label is good). A forest of random splits is grown on a bounded
 sample of documents drawn by hash; rare combinations are isolated after few
 splits, so a short mean path means an anomaly. The largest score that still
 passes is calibrated on all labelled rows. Documents that fail the two base
@@ -36,10 +39,13 @@ MAX_BROADCAST = 300_000
 
 KEY = ("doc_id", "th")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# Rule statistics and the limits up to which a value is ordinary: the forest
-# sees values below a limit as equal.
-LIMITS = {"f_symbol": 0.02, "f_repeat": 0.3, "f_dup": 0.4, "f_upper": 0.2, "f_mark": 0.03}
-FEATURES = tuple(LIMITS)
+FEATURES = (
+    "f_symbol", "f_repeat", "f_dup", "f_upper", "f_mark", "f_word", "f_line", "f_size",
+)
+# Share of good rows whose statistic may be further from the median than an ordinary one.
+ORDINARY = 0.001
+# Accuracy of the quantiles: ranks are off by no more than 1 in so many rows.
+ACCURACY = 100_000
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -94,11 +100,12 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features = (
                 symbols / signs, repeat / some, dup / lines,
                 upper / np.maximum(upper + lower, 1), words.within(_MARK[data]) / signs,
+                chars / some, np.log1p(chars / lines), np.log1p(n),
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).slice(done, len(texts)) for c in KEY]
                 + [pa.array(c, pa.int64()) for c in (n, chars, symbols, dup, repeat)]
-                + [pa.array(np.maximum(f, m)) for f, m in zip(features, LIMITS.values())],
+                + [pa.array(f) for f in features],
                 [*KEY, *COUNTS, *FEATURES],
             )
             done += len(texts)
@@ -154,11 +161,29 @@ class Forest:
         return 2 ** (-total / TREES / self.norm)
 
 
+def ordinary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Median of each statistic, and the distance from it that all but ``ORDINARY`` of
+    the rows stay within."""
+    def quantile(exprs: list[str], share: float) -> np.ndarray:
+        sql = [f"percentile_approx({e}, {share}, {ACCURACY})" for e in exprs]
+        return np.array([0.0 if x is None else x for x in rows.selectExpr(*sql).first()])
+
+    middle = quantile(list(FEATURES), 0.5)
+    far = [f"abs({f} - {float(m)!r}D)" for f, m in zip(FEATURES, middle)]
+    return middle, quantile(far, 1 - ORDINARY)
+
+
+def oddness(rows: np.ndarray, middle: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How far statistics are from the median; what is ordinary is equal."""
+    return np.maximum(np.abs(rows - middle), limit)
+
+
 def forest_scores(
-    forest: Forest | None, batches: Iterator[pa.RecordBatch]
+    forest: Forest | None, scale: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.stack([batch.column(f).to_numpy() for f in FEATURES], 1)
+        rows = oddness(rows, *scale)
         score = forest.score(rows) if forest and len(rows) else np.zeros(len(rows))
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in (*KEY, *COUNTS)] + [pa.array(score)],
@@ -190,22 +215,27 @@ def judge(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
         ),
         "statistics",
     )
-    # Drawn by hash from documents that pass the base rules; about 8,000 rows.
+    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max("quality").alias("quality")
+    )
     base = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words"
-    n, wanted = stats.where(f"NOT ({base})").count(), TREES * SAMPLE // 2
+    passing = stats.where(f"NOT ({base})")
+    good = keep(
+        passing.join(marks.where("quality > 0"), "doc_id").select(*FEATURES), "good-statistics"
+    )
+    scale = ordinary(passing if good.isEmpty() else good)
+    # Drawn by hash from documents that pass the base rules; about 8,000 rows.
+    n, wanted = passing.count(), TREES * SAMPLE // 2
     share = min(1.0, wanted / max(n, 1))
     draw = f"pmod(xxhash64(th, {seed}), 1000000) < {share * 1e6}"
-    sample = stats.where(f"NOT ({base})").where(draw).select(*FEATURES).toPandas().to_numpy()
-    sample = sample[np.lexsort(sample.T)] if len(sample) else sample
+    sample = passing.where(draw).select(*FEATURES).toPandas().to_numpy()
+    sample = oddness(sample[np.lexsort(sample.T)], *scale) if len(sample) else sample
     forest = Forest(sample, seed) if len(sample) > 1 else None
     scored = keep(
-        stats.mapInArrow(partial(forest_scores, forest), f"{key}, {counts}, anomaly DOUBLE")
+        stats.mapInArrow(partial(forest_scores, forest, scale), f"{key}, {counts}, anomaly DOUBLE")
         .withColumn("base_failed", F.expr(base)),
         "scored",
     )
-    marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max("quality").alias("quality")
-    )
     bins = (
         scored.where("NOT base_failed").join(marks, "doc_id")
         .groupBy("quality", F.expr(f"CAST(floor(anomaly * {BINS}) AS INT)").alias("bin"))

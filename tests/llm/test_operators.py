@@ -389,3 +389,54 @@ def test_pipeline_against_brute_force(spark):
     assert {(r.doc_id, r.text) for r in given.collect()} == want
     mixed = p.run(spark, SF_SMALL).collect()
     assert {(r.doc_id, r.text) for r in mixed} <= want and len(mixed) > 0.5 * len(want)
+
+
+def test_path_lengths_against_a_walk():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(size=(400, 3)), rng.normal(6, 1, size=(5, 3))])
+    forest = quality_rules.Forest(rows, 1)
+
+    def path(tree, row):
+        feature, cut, left, length = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] + (row[feature[at]] >= cut[at])
+        return length[at]
+
+    scores = forest.score(rows)
+    for i in (0, 17, 200, 402, 404):
+        mean = sum(path(t, rows[i]) for t in forest.trees) / len(forest.trees)
+        assert abs(scores[i] - 2 ** (-mean / forest.norm)) < 1e-12
+    assert scores[-5:].min() > scores[:400].max()
+
+
+def test_verdicts_of_held_out_labels(spark):
+    """Limits and threshold come from two thirds of the labels; the rest is judged."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = table(spark, sf_dir, "labels")
+    held = "pmod(crc32(CAST(doc_id AS STRING)), 3) = 1"
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), labels.where(f"NOT {held}"))
+    rows = out.where("NOT base_failed").join(labels.where(held), "doc_id").collect()
+    good = [r.kept for r in rows if r.quality == 1]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert good.count(False) <= 0.02 * len(good) and sum(bad) <= 0.1 * len(bad)
+    assert len(good) > 900 and len(bad) > 80
+
+
+def test_memory_of_one_batch():
+    """A batch of 25 MB is worked on in small pieces."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [("word%d and some more of it\n" % i) * 90 for i in range(10_000)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(10_000)), "th": [0] * 10_000, "text": texts}
+    )
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in quality_rules.statistics(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 60_000_000

@@ -5,14 +5,18 @@ line becomes one space. Page furniture that says what it is (scripts, styles,
 menus, headers, footers, forms, elements whose class, id or role names an
 advert, a notice, comments and the like) leaves nothing; but a block with such a class or id
 that holds an article, main or h1 element, or over half of the page's text outside links, is
-a wrapper and stays. The start and the end of a
+a wrapper and stays (one of reader comments only with a main or h1 element). Inside an article or main element, a class or id that has
+other words too (``share-price``) drops a block only if most of its text is links, inline
+elements of a line stay unless they are called adverts, and a header stays if it holds a heading. The start and the end of a
 page part (article, main, ...) put ``WINDOW`` empty lines into the sequence, of other
 boxes one. Text lengths are summed over windows of that many lines; a stretch
 begins where the sum surges from zero and ends where it dives back to it. Main text are
 all stretches that have ``BLOCK`` characters outside links in some window, and at least as many
 outside links as in them; if none has, the one with most. Stretches of an article or main
 element go before others, and all stretches of the same outermost such element count
-together. All of their lines are kept.
+together. All of their lines are kept. On pages without such an element, stretches between kept ones
+stay too unless most of their text is links; so do headings right before the first, and
+paragraphs without links right after the last that end like a sentence.
 
 Edge cases. NULL and empty html, and pages without text, give ''. Unclosed
 elements end where an enclosing one ends, cut-off tags are dropped. Of equal
@@ -38,7 +42,7 @@ _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg",
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _GONE = frozenset(
     "head nav header footer aside form button select option datalist dialog menu object canvas"
-    " audio video map label fieldset legend".split()
+    " audio video map".split()
 )
 _PART = frozenset("article main body".split())
 _BOX = frozenset("div section table ul ol dl figure details center".split())
@@ -46,12 +50,22 @@ _LINE = frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption blockquote pre address figcaption summary hr"
     " thead tbody tfoot hgroup".split()
 )
+# Elements that a wrapper holds, and of those the ones that a block of comments does not.
+_PROOFS, _MARKS = frozenset(("article", "main", "h1")), frozenset(("main", "h1"))
 _ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
-_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion"
-    " banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter"
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion".split())
+_COMMENTS = frozenset("comment comments reply replies respond response responses disqus".split())
+# Words of a class or id that say nothing about what a block holds.
+_NEUTRAL = frozenset(
+    "post posts article articles site page main top bottom left right box block list item items link links"
+    " section wrapper wrap container bar area inner outer body content text title message button buttons"
+    " icon icons user reader form inline story stories teaser".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_WORDS = _ADVERTS | _COMMENTS | frozenset(
+    "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter"
     " subscribe signup login sidebar side nav navbar navigation menu breadcrumb breadcrumbs"
-    " header footer masthead comment comments reply replies respond disqus share sharing social"
+    " header footer masthead share sharing social"
     " related recommended recommendations widget skip toolbar pagination pager copyright"
     " disclaimer".split()
 )
@@ -68,19 +82,38 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Ends of sentences.
+_STOPS = ".!?…。！？।؟"
 _CUT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-SAYS, MAY = 2, 1
+SAYS, ADVERT, COMMENT, NAMED, MAY = 5, 4, 3, 2, 1
+
+
+def called(value: str) -> int:
+    """What a class or id calls an element: ``ADVERT``, ``COMMENT`` or ``NAMED`` if one of its names
+    has no other words, ``MAY`` if it has, or 0."""
+    found = 0
+    for name in value.split():
+        words = {w for w in _CUT.split(_CAMEL.sub(" ", name).lower()) if w and not w.isdigit()}
+        if words.isdisjoint(_WORDS):
+            continue
+        if not words <= _WORDS | _NEUTRAL:
+            found = max(found, MAY)
+        elif words & _ADVERTS:
+            found = ADVERT
+        else:
+            found = max(found, COMMENT if words & _COMMENTS else NAMED)
+    return found
 
 
 def furniture(name: str, attrs: str) -> int:
-    """Whether an element says that it is not part of the article: ``SAYS``, or ``MAY`` if
-    only a word of its class or id does, or 0."""
+    """Whether an element says that it is not part of the article: ``SAYS``, or what its class or
+    id calls it (``called``), or 0."""
     if name in _GONE:
         return SAYS
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return 0
     may = 0
     for m in _ATTR.finditer(attrs):
@@ -93,33 +126,38 @@ def furniture(name: str, attrs: str) -> int:
         elif key == "aria-hidden":
             if value.strip().lower() == "true":
                 return SAYS
-        elif not _WORDS.isdisjoint(_CUT.split(_CAMEL.sub(" ", value).lower())):
-            may = MAY
+        else:
+            may = max(may, called(value))
+    if name == "article":
+        return COMMENT if may == COMMENT else 0
     return may
 
 
-def text_lines(page: str) -> list[tuple[str, int, int]]:
+def text_lines(page: str) -> list[tuple[str, int, int, str]]:
     """Lines of a page: text, characters outside links, number of the outermost
-    enclosing article or main element (0: none). Empty lines mark borders."""
-    lines: list[tuple[str, int, int]] = []
+    enclosing article or main element (0: none), element. Empty lines mark borders."""
+    lines: list[tuple[str, int, int, str]] = []
     parts: list[str] = []
     plain = 0
     stack: list[tuple[str, bool, int, int]] = []  # name, starts a dropped element, part, box
     dropped = links = count = part = box = 0
     # Blocks that a class or id calls furniture, 0 for the page: enclosing one, whether it holds
-    # an article, main or h1, characters outside links; and the innermost one of each line.
-    outer, holds, size = [0], [True], [0]
+    # an element that makes it a wrapper, characters outside links and all, whether links alone
+    # drop it, which elements make it a wrapper; and the innermost one of each line.
+    outer, holds, size, full, loose = [0], [True], [0], [0], [False]
+    proofs: list[frozenset[str]] = [_PROOFS]
     boxes: list[int] = []
 
-    def flush(empty: int = 0) -> None:
+    def flush(empty: int = 0, kind: str = "") -> None:
         nonlocal plain
         text = " ".join(codec.unescape("".join(parts)).split()) if parts else ""
         if text:
-            lines.append((text, plain, part))
+            lines.append((text, plain, part, kind))
             size[box] += plain
+            full[box] += max(plain, len(text))
         parts.clear()
         plain = 0
-        lines.extend([("", 0, part)] * empty)
+        lines.extend([("", 0, part, "")] * empty)
         boxes.extend([box] * (len(lines) - len(boxes)))
 
     def gap(name: str) -> int:
@@ -133,10 +171,10 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
             if gone:
                 dropped -= 1
             if box != around:
-                flush()
+                flush(0, name)
                 box = around
             if not dropped and (name in _LINE or gap(name)):
-                flush(gap(name))
+                flush(gap(name), name)
             links -= name == "a"
             part = before
 
@@ -174,23 +212,39 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
                 if gap(stack[at][0]) or stack[at][0] in _GONE:
                     break
         says = furniture(name, m["attrs"])
-        gone = says == SAYS or says == MAY and not block
+        if name == "header" and part:
+            says = NAMED
+        within = stack[-1][0] if stack else ""
+        if block:
+            gone = says == SAYS
+        else:  # inline
+            gone = says >= ADVERT or says > 0 and not (part and any(e[0] in _LINE for e in stack))
         around = box
         if not dropped and block:
-            if says == MAY:
-                flush()
+            if says and not gone:
+                flush(0, within)
                 box = len(outer)
                 outer.append(around)
                 holds.append(False)
                 size.append(0)
-            flush(0 if gone else gap(name))
+                full.append(0)
+                loose.append(says == MAY and part > 0)
+                proofs.append(
+                    _HEADINGS if name == "header" else _MARKS if says == COMMENT else _PROOFS
+                )
+            flush(0 if gone else gap(name), within)
         stack.append((name, gone, part, around))
         dropped += gone
         links += name == "a"
-        if name in ("article", "main", "h1") and not dropped:
+        if name in _PROOFS | _HEADINGS and not dropped:
             holding = box
-            while not holds[holding]:
-                holds[holding] = True
+            while holding:
+                # A comment's own parts say nothing about what is around it.
+                if name not in proofs[holding]:
+                    if proofs[holding] is _MARKS:
+                        break
+                else:
+                    holds[holding] = True
                 holding = outer[holding]
         if name in ("article", "main") and not dropped and not part:
             count += 1
@@ -204,15 +258,17 @@ def text_lines(page: str) -> list[tuple[str, int, int]]:
         return lines
     for i in range(len(outer) - 1, 0, -1):
         size[outer[i]] += size[i]
+        full[outer[i]] += full[i]
     stays = [True]
     for i in range(1, len(outer)):
-        stays.append(stays[outer[i]] and (holds[i] or size[i] >= BLOCK and 2 * size[i] > size[0]))
+        most = proofs[i] is not _MARKS and size[i] >= BLOCK and 2 * size[i] > size[0]
+        stays.append(stays[outer[i]] and (holds[i] or most or loose[i] and 2 * size[i] >= full[i]))
     return [line for line, i in zip(lines, boxes) if stays[i]]
 
 
 def main_text(page: str | None) -> str:
     lines = text_lines(page or "")
-    sizes = [len(t) for t, _, _ in lines]
+    sizes = [len(line[0]) for line in lines]
     stretches: list[tuple[int, int]] = []
     begin = None
     total = sum(sizes[: WINDOW - 1])
@@ -231,9 +287,9 @@ def main_text(page: str | None) -> str:
     dense: dict[tuple[int, int], bool] = {}
     members: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for n, (a, b) in enumerate(stretches):
-        part = max((p for t, _, p in lines[a:b] if t), default=0)
+        part = max((p for t, _, p, _ in lines[a:b] if t), default=0)
         key = (1, part) if part else (0, n)
-        plain = [w for _, w, _ in lines[a:b]]
+        plain = [line[1] for line in lines[a:b]]
         weight[key] = weight.get(key, 0) + sum(plain)
         dense[key] = dense.get(key, False) or (
             max(sum(plain[i : i + WINDOW]) for i in range(len(plain))) >= BLOCK
@@ -244,7 +300,35 @@ def main_text(page: str | None) -> str:
         return ""
     named = [k for k in weight if k[0]] or list(weight)
     best = [k for k in named if dense[k]] or [max(named, key=lambda k: weight[k])]
-    return "\n\n".join(t for k in best for a, b in members[k] for t, _, _ in lines[a:b] if t)
+    if not best[0][0]:
+        best = widened(lines, stretches, [n for _, n in best])
+    return "\n\n".join(t for k in best for a, b in members[k] for t, _, _, _ in lines[a:b] if t)
+
+
+def widened(
+    lines: list[tuple[str, int, int, str]], stretches: list[tuple[int, int]], kept: list[int]
+) -> list[tuple[int, int]]:
+    """Keys of the kept stretches, of those between them, and of the title and the closing
+    paragraphs that are in boxes of their own."""
+    def texts(n: int) -> list[tuple[str, int, int, str]]:
+        a, b = stretches[n]
+        return [line for line in lines[a:b] if line[0]]
+
+    first, last = min(kept), max(kept)
+    chosen = set(kept)
+    inner = [
+        n for n in range(first, last + 1)
+        if n in chosen or 2 * sum(t[1] for t in texts(n)) >= sum(len(t[0]) for t in texts(n))
+    ]
+    while first and all(t[3] in _HEADINGS and t[1] for t in texts(first - 1)):
+        first -= 1
+        inner.insert(0, first)
+    while last + 1 < len(stretches) and all(
+        t[3] == "p" and t[1] >= len(t[0]) and t[0][-1] in _STOPS and t[0][0] not in "©(" for t in texts(last + 1)
+    ):
+        last += 1
+        inner.append(last)
+    return [(0, n) for n in inner]
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -348,6 +348,52 @@ def test_main_text_in_wrappers_that_name_furniture():
     assert pages.main_text(titled) == f"Title\n\n{text}"
 
 
+SAID = "words of the story " * 8
+STORY = f"<p>{SAID}</p>"
+
+
+@pytest.mark.parametrize("inside, kept", [
+    ("<header><h1>Title</h1></header>", ["Title"]),
+    ("<header><span>Site</span></header>", []),
+    ("<p class='share-price'>The price of a share rose.</p>", ["The price of a share rose."]),
+    ("<section class=related-work><p>Others did this before.</p></section>", ["Others did this before."]),
+    ("<p>See <a class=widget href=/>the widget</a> here.</p>", ["See the widget here."]),
+    ("<p><label>Note</label> that it works.</p>", ["Note that it works."]),
+    ("<div class='related-links'><a href=/>more</a></div>", []),
+    ("<div class='share-us-now'><a href=/>Share this page</a></div>", []),
+    ("<div class=ad><p>Buy this now.</p></div>", []),
+    ("<p>Words <span class=sponsored>Buy this now</span> go on.</p>", ["Words go on."]),
+    ("<div class=responses><article><p>I like it, I really do.</p></article></div>", []),
+    ("<article class='comment comment-7'><h3>Ann</h3><p>I like it.</p></article>", []),
+])
+def test_main_text_inside_article(inside, kept):
+    page = f"<body><article>{STORY}{inside}{STORY}</article></body>"
+    assert pages.main_text(page) == "\n\n".join([SAID.strip(), *kept, SAID.strip()])
+
+
+def test_main_text_of_comments_after_the_article():
+    said = f"<article><p>{'I like this very much. ' * 20}</p></article>"
+    for block in ("class=responses", "id=comments", "class='user-comments'"):
+        page = f"<body><article>{STORY}</article><div {block}>{said * 3}</div></body>"
+        assert pages.main_text(page) == SAID.strip()
+
+
+def test_main_text_with_title_and_short_paragraphs_in_rows():
+    def row(inner):
+        return f"<div class=row><div class=col>{inner}</div></div>"
+
+    links = row("<ul><li><a href=/>Home</a><li><a href=/>About</a></ul>")
+    page = (links + row("<h1>Title</h1>") + row(STORY) + row("<p>A short one</p>") + links + row(STORY)
+            + row("<p>That is all.</p>") + row("<p>&copy; 2020 Somebody.</p>") + links)
+    assert pages.main_text(f"<body>{page}</body>").split("\n\n") == [
+        "Title", SAID.strip(), "A short one", SAID.strip(), "That is all."]
+
+
+def test_main_text_of_long_html_and_repeated_attributes():
+    page = f"<article class=a class=ad id>{STORY * 20_000}</article>" + "<div class=x class=y " * 20_000
+    assert pages.main_text(page) == "\n\n".join([SAID.strip()] * 20_000)
+
+
 def test_mixing_meets_targets(spark, docs):
     weights = {f"src{i}": float(i % 3) for i in range(20)}
     out = mixing.mix(docs, weights, total=3e7, shuffle=False)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatsieve.llm.tables import keep, keyed, size_checked
+from chatsieve.llm.tables import keep, keyed, size_checked, spare
 
 MIN_WORDS = 40
 # Documents with cuts, and cut lines in all, that are broadcast; more are joined by shuffle.
@@ -115,39 +115,41 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``, plus
     ``n_lines_cut`` (lines removed) and ``emptied`` (it had words, none remain)."""
+    cut_id, cut_th, places, split_, old, count = spare(
+        docs.columns, "_cut_id", "_cut_th", "_cut", "_lines", "_old", "_n")
     cut = keep(
         repeated_runs(docs, min_words)
         .groupBy("doc_id", "th")
         .agg(F.expr("collect_set(struct(a, b))").alias("runs"))
         .selectExpr(
-            "doc_id AS _cut_id", "th AS _cut_th",
-            "array_distinct(flatten(transform(runs, r -> sequence(r.a, r.b)))) AS _cut",
+            f"doc_id AS {cut_id}", f"th AS {cut_th}",
+            f"array_distinct(flatten(transform(runs, r -> sequence(r.a, r.b)))) AS {places}",
         ),
         "cut-lines",
     )
-    if (cut.agg(F.expr("sum(size(_cut))")).first()[0] or 0) <= MAX_BROADCAST_LINES:
+    if (cut.agg(F.expr(f"sum(size({places}))")).first()[0] or 0) <= MAX_BROADCAST_LINES:
         cut = size_checked(cut, MAX_BROADCAST)
     text = F.col("text").cast("string")
     kept = (
-        "transform(array_except(sequence(0, size(_lines) - 1), _cut), i -> get(_lines, i))"
+        f"transform(array_except(sequence(0, size({split_}) - 1), {places}), i -> get({split_}, i))"
     )
     out = docs.join(
         cut,
-        docs["doc_id"].eqNullSafe(F.col("_cut_id"))
-        & (F.xxhash64(text, F.lit(7)) == F.col("_cut_th")),
+        docs["doc_id"].eqNullSafe(F.col(cut_id))
+        & (F.xxhash64(text, F.lit(7)) == F.col(cut_th)),
         "left",
     )
     names = [c for c in docs.columns if c not in ("n_lines_cut", "emptied")]
     blank = r"(NOT text RLIKE '\\S')"
     return (
-        out.withColumn("_lines", F.expr(r"IF(_cut IS NULL, NULL, split(text, '\n'))"))
-        .withColumn("_old", F.expr(f"IF(_cut IS NULL, text, array_join({kept}, '\n'))"))
-        .withColumn("_n", F.expr(
-            "CAST(IF(_cut IS NULL, 0, size(_cut)) AS LONG)"))
+        out.withColumn(split_, F.expr(rf"IF({places} IS NULL, NULL, split(text, '\n'))"))
+        .withColumn(old, F.expr(f"IF({places} IS NULL, text, array_join({kept}, '\n'))"))
+        .withColumn(count, F.expr(
+            f"CAST(IF({places} IS NULL, 0, size({places})) AS LONG)"))
         .drop("text")
-        .withColumnRenamed("_old", "text")
-        .withColumn("emptied", F.expr(f"_cut IS NOT NULL AND {blank}"))
+        .withColumnRenamed(old, "text")
+        .withColumn("emptied", F.expr(f"{places} IS NOT NULL AND {blank}"))
         .withColumn("text", F.expr("IF(emptied, '', text)"))
-        .withColumn("n_lines_cut", F.col("_n"))
+        .withColumn("n_lines_cut", F.col(count))
         .select(*names, "n_lines_cut", "emptied")
     )

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatsieve.llm.tables import keep
+from chatsieve.llm.tables import keep, spare
 
 SEED = 42
 # Target weights of the registered query and the pipeline; other sources have weight 1.
@@ -78,19 +78,20 @@ def mix(
 ) -> DataFrame:
     """Rows of ``docs`` with ``copy`` (from 1), ``n_copies``, ``mix_order``."""
     names = [c for c in docs.columns if c not in ("copy", "n_copies", "mix_order")]
+    source, draws, mean, sums = spare(docs.columns, "_source", "_draws", "_mean", "_cdf")
     # Per mean: probabilities as running sums, by the recurrence p(n) = p(n-1) m / n.
     cdf = (
         f"aggregate(sequence(1, {STEPS}),"
-        " struct(exp(-_mean) AS p, exp(-_mean) AS s, array(exp(-_mean)) AS sums),"
-        " (a, n) -> struct(a.p * _mean / n AS p, a.s + a.p * _mean / n AS s,"
-        " array_append(a.sums, a.s + a.p * _mean / n) AS sums), a -> a.sums)"
+        f" struct(exp(-{mean}) AS p, exp(-{mean}) AS s, array(exp(-{mean})) AS sums),"
+        f" (a, n) -> struct(a.p * {mean} / n AS p, a.s + a.p * {mean} / n AS s,"
+        f" array_append(a.sums, a.s + a.p * {mean} / n) AS sums), a -> a.sums)"
     )
     table = keep(
         rates(docs, weights, total, default_weight)
-        .selectExpr("source AS _source", "rate",
-                    f"CAST(greatest(1, ceil(rate / {MAX_MEAN}D)) AS INT) AS _draws")
-        .selectExpr("*", "rate / _draws AS _mean")
-        .selectExpr("_source", "_draws", f"{cdf} AS _cdf"),
+        .selectExpr(f"source AS {source}", "rate",
+                    f"CAST(greatest(1, ceil(rate / {MAX_MEAN}D)) AS INT) AS {draws}")
+        .selectExpr("*", f"rate / {draws} AS {mean}")
+        .selectExpr(source, draws, f"{cdf} AS {sums}"),
         "rates",
     )
     if table.count() <= BROADCAST_SOURCES:
@@ -98,14 +99,14 @@ def mix(
     u = uniform(f"'{seed}'", "coalesce(CAST(doc_id AS STRING), '')",
                 "md5(coalesce(CAST(text AS STRING), ''))", "CAST(k AS STRING)")
     # The first n whose running sum passes u; with sums sorted, a count of the others.
-    draw = f"get(transform(array({u}), v -> size(filter(_cdf, s -> s <= v))), 0)"
+    draw = f"get(transform(array({u}), v -> size(filter({sums}, s -> s <= v))), 0)"
     order = ("md5(concat_ws('|', 'order', '{}', coalesce(CAST(doc_id AS STRING), ''),"
              " CAST(copy AS STRING)))").format(seed)
     out = (
         docs.select(*names)
-        .join(table, docs["source"].eqNullSafe(F.col("_source")))
+        .join(table, docs["source"].eqNullSafe(F.col(source)))
         .withColumn("n_copies", F.expr(
-            f"CAST(aggregate(sequence(1, _draws), 0, (n, k) -> n + {draw}) AS LONG)"))
+            f"CAST(aggregate(sequence(1, {draws}), 0, (n, k) -> n + {draw}) AS LONG)"))
         .where("n_copies > 0")
         .withColumn("copy", F.expr("explode(sequence(1L, n_copies))"))
         .withColumn("mix_order", F.expr(order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatsieve.storage import scratch_path, written
 
-__all__ = ["keep", "keyed", "lowered", "same_key", "size_checked", "split_words", "table"]
+__all__ = ["keep", "keyed", "lowered", "same_key", "size_checked", "spare", "split_words", "table"]
 
 _UPPER = "".join(map(chr, range(65, 91)))
 # Listed one by one: a class of single characters is one table lookup per character.
@@ -40,6 +40,14 @@ def size_checked(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Names of helper columns, with as many underscores before them as no given column has."""
+    given = {c.lower() for c in columns}
+    while given.intersection(names):
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``th`` (hash of the text) and ``text``.
 

@@ -112,3 +112,15 @@ def test_pages_of_odd_rows(spark):
     out = pages.extract(spark.createDataFrame(rows, kinds)).collect()
     assert sorted(r.text for r in out) == ["", "", "", "a"]
     assert pages.extract(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_helper_columns_clash_with_none(spark):
+    names = ["_cut_id", "_cut_th", "_cut", "_Lines", "_old", "_n", "_source", "_draws", "_mean", "_cdf", "__cut"]
+    docs = spark.createDataFrame(ROWS, KINDS)
+    for name in names:
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    for out in (line_dedup.dedup_lines(docs, 10), mixing.mix(docs, {"a": 1.0})):
+        rows = out.collect()
+        assert rows and all(r[n] == "x" for r in rows for n in names)
+    plain = line_dedup.dedup_lines(spark.createDataFrame(ROWS, KINDS), 10)
+    assert sorted(str(r.text) for r in line_dedup.dedup_lines(docs, 10).collect()) == sorted(str(r.text) for r in plain.collect())

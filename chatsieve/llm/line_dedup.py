@@ -6,7 +6,8 @@ The least line hash of a window is its fingerprint, so two places that share a
 run of at least ``min_words`` words share fingerprints, whatever stands around.
 Fingerprints are joined over all documents; where one stands at two places or
 more, its windows are extended line by line in both directions and compared by
-content. Of equal windows the first place (by ``doc_id``, text hash, line) stays
+content. A fingerprint or window that many rows share is joined by
+broadcast, not in one task. Of equal windows the first place (by ``doc_id``, text hash, line) stays
 and the lines of all later ones go.
 
 So a line goes exactly if it lies in a run of consecutive lines of at least
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatsieve.llm.tables import keep, keyed, size_checked, spare
+from chatsieve.llm.tables import counted_join, keep, keyed, size_checked, spare
 
 MIN_WORDS = 40
 # Documents with cuts, and cut lines in all, that are broadcast; more are joined by shuffle.
@@ -91,22 +92,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "line-windows",
     )
     place = "struct(doc_id, th, at)"
-    shared = (
-        wins.groupBy("fp")
-        .agg(F.expr(f"min({place})").alias("lo"), F.expr(f"max({place})").alias("hi"))
-        .where("lo <> hi")
-        .select("fp")
+    several = [F.expr(f"{f} AS {name}") for f, name in (
+        (f"min({place})", "lo"), (f"max({place})", "hi"), ("count(*)", "n"))]
+    shared = keep(
+        wins.groupBy("fp").agg(*several).where("lo <> hi").select("fp", "n"),
+        "shared-fingerprints",
     )
-    joined = keep(wins.join(shared, "fp").drop("fp", "at"), "shared-windows")
+    joined = keep(counted_join(wins, shared, "fp").drop("fp", "at"), "shared-windows")
     start = "struct(doc_id, th, a)"
-    first = (
-        joined.groupBy("win")
-        .agg(F.expr(f"min({start})").alias("lo"), F.expr(f"max({start})").alias("hi"))
-        .where("lo <> hi")
-        .select("win", "lo")
+    several = [F.expr(f"{f} AS {name}") for f, name in (
+        (f"min({start})", "lo"), (f"max({start})", "hi"), ("count(*)", "n"))]
+    first = keep(
+        joined.groupBy("win").agg(*several).where("lo <> hi").select("win", "lo", "n"),
+        "first-windows",
     )
     return (
-        joined.join(first, "win")
+        counted_join(joined, first, "win")
         .where(f"{start} > lo")
         .select("doc_id", "th", "a", "b")
     )

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from chatsieve.storage import scratch_path, written
 
-__all__ = ["keep", "keyed", "lowered", "same_key", "size_checked", "spare", "split_words", "table"]
+__all__ = ["counted_join", "keep", "keyed", "lowered", "same_key", "size_checked", "spare", "split_words", "table"]
+
+# Bytes of a table that may be broadcast. Keys with more than this part of all rows are joined apart.
+BROADCAST_BYTES, HOT_KEYS = 64_000_000, 1_000
 
 _UPPER = "".join(map(chr, range(65, 91)))
 # Listed one by one: a class of single characters is one table lookup per character.
@@ -40,6 +43,23 @@ def size_checked(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def counted_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the columns of ``keys``: a written table with one row per ``on`` and, in
+    ``n``, the number of ``rows`` that have it.
+
+    Small ``keys`` are broadcast, by their bytes. Otherwise those that hold more than one in
+    ``HOT_KEYS`` of the rows, so fewer than that, are broadcast, and the rest is shuffled.
+    """
+    width = F.expr("octet_length(CAST(struct(*) AS STRING)) + 64")
+    size, total = keys.agg(F.sum(width), F.sum("n")).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keys.drop("n")), on)
+    often = F.col("n") > total // HOT_KEYS
+    hot = F.broadcast(keys.where(often).drop("n"))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.where(~often).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def spare(columns: list[str], *names: str) -> list[str]:
     """Names of helper columns, with as many underscores before them as no given column has."""
     given = {c.lower() for c in columns}

@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words of an item; an item of fewer words is
 one window. Of the word ``GRAM``-grams inside a window the one with the least
 hash is its fingerprint. A document selects the same fingerprint in every
 window of as many words, so each occurrence of an item window is found from
-fingerprints alone. Windows of documents whose fingerprint the benchmark has are then
+fingerprints alone. Successive windows mostly select the same one, so a document sends on
+one row for each run of them, about two for nine words. Windows of documents whose fingerprint the benchmark has are then
 extended to both sides, to all their words, and compared as wholes: no
 pair of equal windows is lost or added.
 
@@ -21,13 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatsieve.llm.tables import keep, keyed, lowered, same_key, size_checked, split_words
+from chatsieve.llm.tables import BROADCAST_BYTES, keep, keyed, lowered, same_key, size_checked, split_words
 
 WINDOW = 13
 GRAM = 6
 # Fingerprints (8 bytes each) that are broadcast at once; more are taken in blocks.
 BLOCK_ROWS = 2_000_000
-# Documents with candidates whose places are broadcast; with more they are joined by shuffle.
+# Keys of contaminated documents that are broadcast; more are joined by shuffle.
 MAX_BROADCAST = 300_000
 
 
@@ -94,25 +95,48 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def selected(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc_id, th, fp, spot``: each run of windows with one fingerprint, once. ``spot`` holds the
+    window's length ``n`` and the first words of the run's windows, from ``at`` to before ``upto``."""
+    ids = ["doc_id", "th"]
+    short = [n for n in lengths if n < WINDOW]
+    df = docs.selectExpr(*ids, "w")
+    if WINDOW in lengths:
+        df = least_grams(df, [*ids, *["w"] * bool(short)]).withColumnRenamed("least", f"l{WINDOW}")
+    if short:
+        df = df.withColumn("h", F.expr("transform(w, x -> xxhash64(lower(x)))"))
+    for n in short:
+        df = df.withColumn(f"l{n}", F.expr(
+            f"IF(size(h) < {n}, array(), transform(sequence(1, size(h) - {n - 1}),"
+            f" i -> xxhash64(slice(h, i, {n}))))"))
+    names = [f"l{n}" for n in lengths]
+    starts = [
+        f"filter(transform({a}, (x, i) -> IF(i > 0 AND get({a}, i - 1) = x, NULL, i)),"
+        f" x -> x IS NOT NULL) AS s_{a}" for a in names
+    ]
+    runs = [
+        f"transform(s_{a}, (s, j) -> struct(get({a}, s) AS fp, struct({n} AS n, s AS at,"
+        f" coalesce(get(s_{a}, j + 1), size({a})) AS upto) AS spot))" for a, n in zip(names, lengths)
+    ]
+    return (
+        df.selectExpr(*ids, *names, *starts)
+        # Outer, as the optimizer would add a filter that works out the runs twice.
+        .selectExpr(*ids, f"explode_outer(concat({', '.join(runs)})) AS run")
+        .selectExpr(*ids, "run.fp AS fp", "run.spot AS spot")
+    )
+
+
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Places where a document has a fingerprint of the benchmark:
-    ``doc_id, th, spots`` (structs of window length and first word)."""
-    fps = keep(windows.select("n", "fp").distinct(), "fingerprints")
-    found = []
-    for n, rows in sorted(tuple(r) for r in fps.groupBy("n").count().collect()):
-        of_docs = window_fingerprints(docs, n, ["doc_id", "th"]).selectExpr(
-            # Outer, as the optimizer would add a filter that works out ``least`` twice.
-            "doc_id", "th", "posexplode_outer(least) AS (at, fp)"
-        )
-        blocks = 1 + rows // BLOCK_ROWS
-        for block in range(blocks):
-            part = fps.where((F.col("n") == n) & (F.pmod("fp", F.lit(blocks)) == block))
-            found.append(
-                of_docs.join(F.broadcast(part.select("fp")), "fp", "left_semi")
-                .selectExpr("doc_id", "th", f"struct({n} AS n, at) AS spot")
-            )
-    if not found:
-        found = [docs.where("false").selectExpr("doc_id", "th", "struct(0 AS n, 0 AS at) AS spot")]
+    """Runs of windows of a document whose fingerprint the benchmark has:
+    ``doc_id, th, spots`` (see ``selected``). All lengths are found in one pass over the texts."""
+    fps = keep(windows.select("fp").distinct(), "fingerprints")
+    lengths = sorted(n for (n,) in windows.select("n").distinct().collect())
+    of_docs = selected(docs, lengths or [WINDOW])
+    blocks = 1 + fps.count() // BLOCK_ROWS
+    found = [
+        of_docs.join(F.broadcast(fps.where(F.pmod("fp", F.lit(blocks)) == block)), "fp", "left_semi")
+        for block in range(blocks)
+    ]
     return (
         reduce(DataFrame.unionByName, found)
         .groupBy("doc_id", "th").agg(F.expr("collect_set(spot)").alias("spots"))
@@ -134,11 +158,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens = keyed(docs).selectExpr("doc_id", "th", f"{split_words('text')} AS w")
     windows = keep(item_windows(benchmark), "item-windows")
     spots = keep(candidates(tokens, windows), "candidates")
-    near = size_checked(spots, MAX_BROADCAST)
+    # A spot takes 40 bytes, its document's key and list about 100.
+    size = spots.agg(F.sum(F.expr("40 * size(spots) + 100"))).first()[0] or 0
+    near = F.broadcast(spots) if size <= BROADCAST_BYTES else spots
     # Extend each candidate to its whole window and count the words of every text.
     whole = (
-        "transform(spots, s -> struct(s.n AS n, s.at AS at, "
-        f"{lowered("array_join(slice(w, s.at + 1, s.n), ' ')")} AS win))"
+        "flatten(transform(spots, s -> transform(sequence(s.at, s.upto - 1),"
+        " i -> struct(s.n AS n, i AS at, "
+        f"{lowered("array_join(slice(w, i + 1, s.n), ' ')")} AS win))))"
     )
     counts = keep(
         tokens.join(near, same_key(tokens, near), "left").select(

@@ -45,6 +45,34 @@ def test_line_dedup_against_all_runs(spark):
     assert {r.doc_id: r.text for r in out.collect()} == brute.line_dedup(rows, 6)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1_000])
+def test_line_dedup_with_hot_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr("chatsieve.llm.tables.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("chatsieve.llm.tables.HOT_KEYS", hot)
+    rng = random.Random(7)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(9)] + [""]
+    rows = [(i, "\n".join((pool[:6] if i % 3 else []) + rng.choices(pool, k=rng.randint(0, 9)))) for i in range(45)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 6)
+    assert {r.doc_id: r.text for r in out.collect()} == brute.line_dedup(rows, 6)
+
+
+@pytest.mark.parametrize("names", [{"BLOCK_ROWS": 7}, {"BROADCAST_BYTES": 0}])
+def test_contamination_of_repeated_words(spark, monkeypatch, names):
+    for name, value in names.items():
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(0, 60))) for _ in range(40)] + ["a " * 50, "Ab " * 30, None, ""]
+    items = [(i, " ".join(rng.choices("ab", k=n))) for i, n in enumerate((1, 4, 5, 9, 12, 13, 13, 14, 20))]
+    items += [(20, "a " * 13), (21, "b " * 40), (22, None), (23, "ab " * 13)]
+    rows = list(enumerate(texts))
+    out = decontaminate.contamination(
+        spark.createDataFrame(rows, "doc_id BIGINT, text STRING"),
+        spark.createDataFrame(items, "item_id BIGINT, text STRING"),
+    )
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in out.collect()}
+    assert got == {i: brute.contamination(t, items) for i, t in rows}
+
+
 def test_licenses(docs, texts):
     for r in licenses.scan(docs).collect():
         base = brute.licenses(texts[r.doc_id], licenses.BASE)
@@ -141,11 +169,13 @@ def test_attention_gradient():
 
     rng = np.random.default_rng(1)
     x, doc, y = rng.normal(size=(9, quality_mil.INPUTS)), np.repeat([0, 1, 2], [2, 3, 4]), np.array([0.0, 1, 1])
-    model = quality_mil.Attention(x, doc, y, 1)
-    grad = model.gradient(x, doc, y)
+    size = np.array([3, 0, 2, 1, 0, 4, 4, 1, 0])
+    bags = quality_mil.Bags(x, doc, size, np.array([0, 1, 0, 2, 0, 5, 0, 0, 3, 4, 7, 0, 7, 7, 0]))
+    model = quality_mil.Attention(bags, y, 1)
+    grad = model.gradient(bags, y)
 
     def loss():
-        s = model.forward(x, doc, 3)[-1]
+        s = model.forward(bags)[-1]
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
 
     for k, v in model.p.items():
@@ -157,6 +187,47 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-6 - grad[k].flat[0]) < 1e-5
 
 
+def test_word_vectors_and_documents_of_a_step():
+    import numpy as np
+
+    from chatsieve.llm.arrays import SPACE_TABLE, Words
+
+    texts = [b" ".join(b"w%d" % (i % 9) for i in range(n)) for n in (0, 1, 64, 65, 200)]
+    bags = quality_mil.passages(texts)
+    assert bags.doc.tolist() == [0, 1, 2, 3, 3, 4, 4, 4, 4]
+    assert bags.size.tolist() == [0, 1, 64, 64, 1, 64, 64, 64, 8]
+    model = quality_mil.Attention(bags, np.array([0.0, 1, 0, 1, 1]), 1)
+    hashes = [Words([t], SPACE_TABLE).hash for t in texts]
+    said = [
+        sum((model.p["W"][int(h) % quality_mil.BUCKETS] for h in part), np.zeros(quality_mil.HIDDEN))
+        / max(1, len(part)) ** 0.5
+        for words in hashes for part in ([words[i : i + 64] for i in range(0, len(words), 64)] or [[]])
+    ]
+    assert np.allclose(model.said(bags), said)
+    seen = []
+    for some, y in quality_mil.parts(bags, np.arange(5.0), np.random.default_rng(1)):
+        # Documents stay whole, with their own mark.
+        for d, mark in enumerate(y):
+            mine = some.doc == d
+            assert (some.x[mine] == bags.x[bags.doc == mark]).all()
+            assert (some.bucket[mine[some.own]] == bags.bucket[(bags.doc == mark)[bags.own]]).all()
+        seen.extend(y)
+    assert len(set(seen)) == 5
+
+
+def test_a_long_labelled_document_takes_part():
+    import pyarrow as pa
+
+    n = quality_mil.SAMPLE_PASSAGES * 3 + 1
+    text = "\n".join(f"w{i} " * quality_mil.PASSAGE for i in range(n))
+    batch = pa.RecordBatch.from_pydict({"text": [text, None], "quality": pa.array([1, 0], pa.int32())})
+    long, none = (r.to_pylist()[0] for r in quality_mil.measured(iter([batch])))
+    assert (long["y"], len(long["size"]), none["y"], len(none["size"])) == (1, 256, 0, 1)
+    # Spread over the text: the first, and one of the last three.
+    whole = quality_mil.passages([text.encode()]).bucket.astype("uint16")
+    assert long["bucket"][:2] == whole[:1].tobytes() and long["bucket"][-2:] in [whole[-64 * k - 1].tobytes() for k in (0, 1, 2, 3)]
+
+
 def test_near_duplicates(docs, texts):
     out = {r.doc_id: r for r in near_dup.classes(docs).collect()}
     sets = {i: brute.shingles(t) for i, t in texts.items()}

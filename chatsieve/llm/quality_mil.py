@@ -32,7 +32,7 @@ from chatsieve.llm.arrays import SPACE_TABLE, Words, chunks, mix
 PASSAGE = 64
 SAMPLE = 6_000
 SAMPLE_PASSAGES = 256
-STEP_PASSAGES = 4_096
+STEP_PASSAGES = 1_024
 BUCKETS = 1_024
 HIDDEN, GATE = 16, 8
 STEPS, RATE, DECAY = 400, 0.02, 1e-4

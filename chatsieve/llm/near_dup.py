@@ -12,20 +12,26 @@ two texts draw the same with a chance equal to their weighted Jaccard
 similarity. Texts that agree in all rows of a band meet in a bucket. At the
 threshold 0.8 a pair misses all ten bands of three rows with chance 0.0008.
 
-Equal word lists are one node from the start. Candidates come in rounds, each linear in the
-nodes of a group. Groups of the first round are buckets. Those of up to ``SMALL`` nodes are compared
-whole. In larger ones every node meets the centre: the node whose buckets hold most nodes, which is
+Equal word lists are one node from the start. Buckets of up to ``SMALL`` nodes are compared whole.
+In larger ones every node meets the centre: the node whose buckets hold most nodes, which is
 the original of spread-out variants, since its samples are the ones that most of them share.
-Nodes of large groups that still hold more than one component are then grouped by one bucket more, which
-they must share too: similar texts agree in five of ten bands and stay together, texts that only share a
-passage part. This goes on until no such group is large, through all ten bands at most; a large group
-with no more than ``SMALL`` nodes outside of its main component is finished at once, as these meet
-all others. So two similar texts are compared outright unless more than ``SMALL`` nodes of
-several components agree in all bands that they agree in; such nodes all meet ``MAX_SLOTS`` centres.
+This joins most copies of a large bucket. What is left is done without a loss, in two steps:
+
+- Nodes of large buckets that still hold more than one component are dealt by their rarest shingles:
+  those that come before 0.8 of the text's weight is left. Two texts that reach the threshold share
+  one of them (the prefix filter), and texts that only share a passage do not. Groups are
+  compared as buckets were.
+- Nodes of such groups that still are large and hold more than one component are compared with all others of
+  their family (groups with common nodes), two blocks of bounded size at a time, by a product of
+  matrices. Only members of the most frequent component are not compared with one another.
+
+So any two texts that meet in a bucket and reach the threshold get one class, whatever the
+size of their bucket; only the samples' own chance stays (a pair of a bucket or group that is compared by
+its samples first is missed with chance 1 in 19,000).
 
 A pair is looked into if the 30 samples leave a chance that it reaches the threshold, and is linked if its
 weighted Jaccard similarity, or the plain one of its shingles, is 0.8 or more; both are worked out from the
-texts. Links make components (transitive), and later rounds compare only nodes of different components.
+texts. Links make components (transitive), and later steps compare only nodes of different components.
 
 The class of a document is the least ``doc_id`` of its component.
 
@@ -52,10 +58,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 BUCKETS = 1 << 18
-# Groups of so few nodes are compared whole; in others every node meets the centre of each slot:
-# one in buckets, four times as many with each bucket more, but no more than this.
+# Groups of so few nodes are compared whole; in others every node meets the centre.
 SMALL = 32
-MAX_SLOTS = 16
+# About as many nodes and bytes of text are in a block of a family.
+BLOCK_NODES, BLOCK_BYTES = 256, 4_000_000
+# Columns of the matrices of two blocks at a time.
+COLUMNS = 2048
 # Pairs that agree in fewer of the 30 samples are not looked into: at a similarity of 0.8
 # the chance is 1 in 19,000, at 0.7 1 in 120.
 MIN_AGREED = 15
@@ -105,8 +113,8 @@ def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     )
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """Weight of each bucket, from 1 to 2, from all documents. ``BUCKETS`` numbers."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents per bucket, and all documents that have words. ``BUCKETS`` numbers."""
     counts = keep(
         docs.select("text").mapInArrow(bucket_counts, "bucket INT, n LONG")
         .groupBy("bucket").agg(F.sum("n").alias("n")), "frequencies",
@@ -114,8 +122,14 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     df = np.zeros(BUCKETS + 1)
     # Bucket -1, the number of documents, is the last.
     df[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    n_docs = max(df[-1], 1.0)
-    idf = np.log((1 + n_docs) / (1 + np.minimum(df[:-1], n_docs)))
+    return df[:-1], df[-1]
+
+
+def idf_table(docs: DataFrame) -> np.ndarray:
+    """Weight of each bucket, from 1 to 2, from all documents. ``BUCKETS`` numbers."""
+    df, n_docs = frequencies(docs)
+    n_docs = max(n_docs, 1.0)
+    idf = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs)))
     return (1 + idf / np.log(1 + n_docs)).astype(np.float32)
 
 
@@ -252,21 +266,9 @@ def measured(groups: DataFrame) -> DataFrame:
     )
 
 
-def finishing(groups: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs that finish large groups in which all but a few nodes have one label: the few
-    meet every node of another label."""
-    few = sizes.where(f"mixed AND n > {SMALL} AND others <= {SMALL}").select("g", "lead")
-    rows = groups.join(few, "g")
-    others = rows.where("label <> lead").selectExpr("g", "node AS centre", "label AS led")
-    return (
-        rows.select("g", "node", "label").join(others, "g").where("label <> led")
-        .selectExpr("least(centre, node) AS a", "greatest(centre, node) AS b").distinct()
-    )
-
-
-def candidates(groups: DataFrame, sizes: DataFrame, slots: int) -> DataFrame:
+def candidates(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of nodes with different labels to compare in ``groups`` (``g, node,
-    label, weight``): all of a small group, and those with a centre of a large one."""
+    label, weight``): all of a small group, and those with the centre of a large one."""
     rows = groups.join(sizes.where("mixed").select("g", "n"), "g")
     whole = (
         rows.where(f"n <= {SMALL}").groupBy("g")
@@ -277,8 +279,7 @@ def candidates(groups: DataFrame, sizes: DataFrame, slots: int) -> DataFrame:
     )
     large = rows.where(f"n > {SMALL}")
     centres = keep(
-        large.groupBy("g", F.expr(f"pmod(xxhash64(node), {slots}L)"))
-        .agg(F.expr("max(struct(weight, node, label))").alias("c"))
+        large.groupBy("g").agg(F.expr("max(struct(weight, node, label))").alias("c"))
         .selectExpr("g", "c.node AS centre", "c.label AS led"), "centres",
     )
     star = (
@@ -304,24 +305,129 @@ def linked(pairs: DataFrame, drawn: DataFrame, texts: DataFrame, idf: np.ndarray
     )
 
 
-def regrouped(groups: DataFrame, large: DataFrame) -> DataFrame:
-    """Nodes of the ``large`` groups, dealt by one bucket more: ``g, node, weight, keys``
-    (sorted keys of the buckets that the nodes of a group share).
+def rare_shingles(
+    idf: np.ndarray, df: np.ndarray, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """``g, node, weight``: the rarest shingles ``g`` of each text, one row for each.
 
-    A bucket is added that is itself in such a group of the node. A node is in at most 252
-    groups of one depth, so what is collected of it is bounded.
+    All texts order their shingles by ``df`` and hash. Taken are those from which on a text has no
+    less than the threshold's part of its weight, and of its number of shingles: if two texts have none
+    of these in common, what they have in common is less than that. Shingles of one text only are left out.
     """
-    rows = groups.join(large.select("g"), "g")
-    sets = rows.groupBy("node", "weight").agg(F.collect_list("keys").alias("x"))
-    more = "transform(filter(every, k -> NOT array_contains(p, k)), k -> array_sort(array_append(p, k)))"
-    return (
-        sets.selectExpr("*", "array_distinct(flatten(x)) AS every")
+    for batch in batches:
+        for done, coded in chunks(batch.column("text")):
+            h, doc, n = shingles(Words(coded))
+            seen = df[bucket(h)]
+            order = np.lexsort((h, seen, doc))
+            h, doc, n, seen = h[order], doc[order], n[order], seen[order]
+            first = np.searchsorted(doc, np.arange(len(coded)))
+            taken = np.zeros(len(h), bool)
+            for x in (n * idf[bucket(h)].astype(np.float64), np.ones(len(h))):
+                sums = np.concatenate(([0.0], np.cumsum(x)))
+                before = sums[:-1] - sums[first[doc]]
+                whole = np.bincount(doc, x, len(coded))[doc]
+                taken |= whole - before >= (THRESHOLD - 1e-6) * whole
+            at = np.flatnonzero(taken & (seen > 1))
+            nodes, weights = (batch.column(c).take(pa.array(done + doc[at])) for c in ("node", "weight"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[at].view(np.int64)), nodes, weights], ["g", "node", "weight"]
+            )
+
+
+def levels(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of texts, each as often as it occurs: key, text number, hash, whether it is the first."""
+    parts = []
+    for done, coded in chunks(texts):
+        h, doc, n = shingles(Words(coded))
+        level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        h = np.repeat(h, n)
+        parts.append((mix(h + mix(level.astype(_U))), done + np.repeat(doc, n), h, level == 0))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def spanning(idf: np.ndarray, block: pa.Table) -> pa.Table:
+    """Links ``a, b`` between two blocks (or in one) that connect what similar texts of different
+    labels connect: as many as it takes, from all pairs."""
+    block = block.combine_chunks().sort_by("node")
+    side = block.column("block").to_numpy()
+    left = np.flatnonzero(side == block.column("lo")[0].as_py())
+    right = np.flatnonzero(side == block.column("hi")[0].as_py())
+    n = len(side)
+    key, doc, h, once = levels(block.column("text").combine_chunks())
+    weight = idf[bucket(h)].astype(np.float64)
+    # Similarity by weight, and by number of shingles.
+    measures = (weight, once.astype(np.float64))
+    whole = [np.bincount(doc, x, n) for x in measures]
+    inner = [np.zeros((len(left), len(right))) for _ in measures]
+    order = np.argsort(key, kind="stable")
+    new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+    column = np.cumsum(new) - 1
+    # Only what several texts have counts.
+    several = np.bincount(column)[column] > 1
+    order, column = order[several], column[several]
+    column = np.unique(column, return_inverse=True)[1]
+    for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        some = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        at, of = order[some], column[some] - lo
+        has = np.zeros((n, int(of.max()) + 1))
+        has[doc[at], of] = 1
+        for x, sums in zip(measures, inner):
+            each = np.zeros(has.shape[1])
+            each[of] = x[at]
+            sums += (has[left] * each) @ has[right].T
+    good = np.zeros(inner[0].shape, bool)
+    for sums, size in zip(inner, whole):
+        good |= sums >= (THRESHOLD - 1e-9) * (size[left][:, None] + size[right][None, :] - sums)
+    node, label = (block.column(c).to_pylist() for c in ("node", "label"))
+    names = np.unique(np.array(label, object), return_inverse=True)[1]
+    good &= names[left][:, None] != names[right][None, :]
+    links = []
+    for i, j in zip(*np.nonzero(good)):
+        i, j = left[i], right[j]
+        if names[i] != names[j]:
+            names[names == names[j]] = names[i]
+            links.append((min(node[i], node[j]), max(node[i], node[j])))
+    return pa.table(
+        [pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"]
+    )
+
+
+def block_links(groups: DataFrame, large: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links ``a, b`` that finish the ``large`` groups: all nodes of a family of groups are compared
+    but those of its most frequent label with one another."""
+    rows = keep(groups.join(large.select("g"), "g").select("g", "node", "label"), "left")
+    firsts = rows.groupBy("g").agg(F.min("node").alias("a"))
+    family = smallest_labels(rows.join(firsts, "g").selectExpr("a", "node AS b"))
+    nodes = keep(
+        rows.select("node", "label").distinct()
+        .join(family.selectExpr("node", "label AS g"), "node").join(texts, "node"), "families",
+    )
+    sizes = keep(
+        nodes.groupBy("g", "label").agg(
+            F.count("*").alias("n"), F.expr("sum(octet_length(text)) AS bytes"))
+        .groupBy("g").agg(
+            F.expr("max(struct(n, label, bytes)) AS top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        .selectExpr(
+            "g", "top.label AS lead",
+            f"1 + greatest(top.n div {BLOCK_NODES}, top.bytes div {BLOCK_BYTES}) AS k",
+            f"1 + greatest((n - top.n) div {BLOCK_NODES}, (bytes - top.bytes) div {BLOCK_BYTES}) AS k_others",
+        ), "family-sizes",
+    )
+    sizes = size_checked(sizes, MAX_BROADCAST)
+    return keep(
+        nodes.join(sizes, "g")
+        .selectExpr(
+            "*",
+            "IF(label = lead, pmod(xxhash64(node), k), k + pmod(xxhash64(node), k_others)) AS block",
+            # Blocks of the most frequent label, the first k, meet only the others.
+            "explode(sequence(IF(label = lead, k, 0L), k + k_others - 1)) AS met",
+        )
         .selectExpr(
-            "node", "weight",
-            f"explode(array_distinct(flatten(transform(x, p -> {more})))) AS keys",
+            "g", "least(block, met) AS lo", "greatest(block, met) AS hi", "block", "node", "label", "text"
         )
-        .selectExpr("xxhash64(keys) AS g", "node", "weight", "keys")
-    )
+        .groupBy("g", "lo", "hi")
+        .applyInArrow(lambda block: spanning(idf, block), "a BINARY, b BINARY"), "block-links",
+    )
 
 
 def smallest_labels(edges: DataFrame) -> DataFrame:
@@ -393,35 +499,36 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         docs.join(wanted, same_key(docs, wanted))
         .groupBy("node").agg(F.expr("any_value(text)").alias("text")), "pair-texts",
     )
-    tested = links = labels = None
-    last = False
+    links = labels = None
+
+    def linked_by(found: DataFrame) -> DataFrame | None:
+        nonlocal links, labels
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = keep(smallest_labels(links), "labels")
+        return labels
+
     current = with_labels(groups, None)
     sizes = keep(measured(current), "sizes")
-    pairs = candidates(current, sizes, 1)
-    for depth in range(2, BANDS + 3):
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        near = linked(pairs, drawn, texts, idf)
-        if not near.isEmpty():
-            links = near if links is None else links.union(near)
-            labels = keep(smallest_labels(links), "labels")
+    pairs = keep(candidates(current, sizes), "pairs")
+    current = with_labels(groups, linked_by(linked(pairs, drawn, texts, idf)))
+    large = keep(measured(current).where(f"mixed AND n > {SMALL}"), "large")
+    if not large.isEmpty():
+        hot = groups.join(large.select("g"), "g").select("node", "weight").distinct()
+        hot = keep(hot.join(texts, "node"), "hot-texts")
+        groups = keep(
+            hot.mapInArrow(
+                partial(rare_shingles, idf, frequencies(hot)[0]), "g LONG, node BINARY, weight LONG"
+            ), "rare",
+        )
         current = with_labels(groups, labels)
         sizes = keep(measured(current), "sizes")
-        unlike = sizes.where(f"mixed AND n > {SMALL}")
-        if last or unlike.isEmpty():
-            break
-        pairs = finishing(current, sizes)
-        large = unlike.where(f"others > {SMALL}")
-        if depth <= BANDS and not large.isEmpty():
-            groups = keep(regrouped(groups, large), "groups")
-            current = with_labels(groups, labels)
-            sizes = keep(measured(current), "sizes")
-            more = candidates(current, sizes, min(4 ** (depth - 1), MAX_SLOTS))
-            pairs = pairs.union(more).distinct()
-        else:
-            last = True  # these pairs finish what is left
+        tested = pairs
+        pairs = keep(candidates(current, sizes).join(tested, ["a", "b"], "left_anti"), "pairs")
+        current = with_labels(groups, linked_by(linked(pairs, drawn, texts, idf)))
+        large = keep(measured(current).where(f"mixed AND n > {SMALL}"), "large")
+        if not large.isEmpty():
+            linked_by(block_links(current, large, texts, idf))
     if labels is None:
         empty = "node BINARY, label BINARY"
         labels = spark.createDataFrame([], empty)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from chatsieve.llm import (
@@ -342,6 +343,66 @@ def test_comparisons_are_linear(spark, monkeypatch):
     assert sum(c.count() for c in counts) < 300 * 300 / 4
 
 
+def chained(rng, n, words, changed, name):
+    """``n`` texts, each with one stretch changed; only those with near stretches are alike to 0.8."""
+    base = [f"{name}{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        at = rng.randrange(words - changed)
+        out.append(" ".join(base[:at] + [f"{name}{k}x{i if k % 4 == 0 else 0}" for k in range(changed)] + base[at + changed:]))
+    return out
+
+
+def alike(texts, least=0.8):
+    """Pairs alike by number of shingles, or of distinct ones."""
+    sets = [brute.shingles(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            whole = sum(a.values()) + sum(b.values())
+            same = sum((a & b).values())
+            if same >= least * (whole - same) or len(a.keys() & b.keys()) >= least * len(a.keys() | b.keys()):
+                yield j, i
+
+
+def test_large_groups_of_many_components_lose_no_link(spark, monkeypatch):
+    """Few of many texts that agree in some bands are alike: neither centres nor more bands find all."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 16, raising=False)
+    monkeypatch.setattr(near_dup, "COLUMNS", 100, raising=False)
+    rng = random.Random(3)
+    texts = chained(rng, 60, 330, 24, "w") + chained(rng, 40, 200, 10, "z") + strangers(200)
+    out = near_dup.classes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    ).collect()
+    of = {r.doc_id: r.class_id for r in out}
+    wanted = list(alike(texts))
+    assert len(wanted) > 50 and len({of[i] for i in range(100)}) > 10
+    assert [p for p in wanted if of[p[0]] != of[p[1]]] == []
+
+
+def test_block_links_connect_what_all_pairs_connect(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 7)
+    monkeypatch.setattr(near_dup, "COLUMNS", 50)
+    texts = chained(random.Random(4), 24, 200, 10, "w") + ["a b " * 40, "a b " * 44, "a b " * 20]
+    rows = [(1, f"{i:03d}".encode(), f"{i % 3:03d}".encode() if i < 6 else f"{i:03d}".encode(), t)
+            for i, t in enumerate(texts)]
+    groups = spark.createDataFrame([r[:3] for r in rows], "g LONG, node BINARY, label BINARY")
+    nodes = spark.createDataFrame([(r[1], r[3]) for r in rows], "node BINARY, text STRING")
+    idf = np.ones(near_dup.BUCKETS, np.float32)
+    links = near_dup.block_links(groups, groups.select("g").distinct(), nodes, idf).collect()
+    pairs = set(alike(texts))
+    found = {(int(r.a), int(r.b)) for r in links}
+    assert {(24, 25), (24, 26), (25, 26)} & found
+
+    def parts(links):
+        of = {i: int(r[2]) for i, r in enumerate(rows)}
+        for a, b in links:
+            of = {i: of[a] if x == of[b] else x for i, x in of.items()}
+        return {frozenset(i for i in of if of[i] == x) for x in of.values()}
+
+    assert parts(found) == parts(pairs | found) and found <= pairs and len(parts(found)) > 3
+
+
 def test_keep_one_of_repeated_rows(spark):
     one, two = (" ".join(f"w{i}" for i in range(k, k + 90)) for k in (0, 1))
     rows = [(5, one), (5, one), (5, two), (6, one), (7, "other"), (7, "words"), (8, None), (8, None), (9, "other x"), (9, "other x")]

@@ -13,6 +13,7 @@ from chatsieve.operators.curate import (
     with_drop_reason,
     with_quality,
 )
+from chatsieve.operators.features import FEATURES
 from chatsieve.operators.split import split_hash
 from chatsieve.plans.prepare import measured_lines
 from chatsieve.sources.jsonl import malformed, parse_lines
@@ -27,6 +28,16 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = N
     return parse_lines(lines.where("raw <> ''"))
 
 
+def settled(rows: DataFrame, columns: list[str], computed: list[str]) -> DataFrame:
+    """``columns`` and ``computed`` of ``rows``, the latter worked out once for each row.
+
+    A filter on computed columns is otherwise moved below them, with what they are computed from
+    in place of their names: lines were parsed and measured again at each use. It does not pass a
+    generator, here one of a single row. (A batch run writes the measures instead.)
+    """
+    return rows.selectExpr(*columns, f"inline(array(struct({', '.join(computed)})))")
+
+
 def curated_stream(
     lines: DataFrame,
     min_quality: float = MIN_QUALITY,
@@ -41,9 +52,12 @@ def curated_stream(
     content, the first to arrive is kept, and any one of those that arrive in one batch.
     The split is by threshold, so that a line keeps its side as more lines come.
     """
-    scored = with_quality(measured_lines(lines))
-    passing = kept(with_drop_reason(scored, min_quality, min_assistant_length))
-    first = passing.select("raw", "key", "quality", "bucket").dropDuplicates(["key"])
+    scored = with_quality(settled(measured_lines(lines), ["raw"], FEATURES))
+    decided = settled(
+        with_drop_reason(scored, min_quality, min_assistant_length),
+        ["raw", "key", "valid"], ["quality", "bucket", "drop_reason"],
+    )
+    first = kept(decided).select("raw", "key", "quality", "bucket").dropDuplicates(["key"])
     return split_hash(first, "key", eval_ratio, seed)
 
 

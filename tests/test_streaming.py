@@ -10,8 +10,8 @@ import pytest
 from chatsieve.operators.split import split_hash
 from chatsieve.operators.curate import with_quality
 from chatsieve.plans.prepare import measured_lines, prepare_jsonl
-from chatsieve.sources.jsonl import read_jsonl
-from chatsieve.streaming.prepare import prepare_stream, quarantine_stream
+from chatsieve.sources.jsonl import parse_lines, read_jsonl
+from chatsieve.streaming.prepare import curated_stream, prepare_stream, quarantine_stream
 from tests.conftest import sample
 
 
@@ -90,3 +90,10 @@ def test_scores_on_a_stream_are_those_of_a_batch(spark, files):
     add("a")
     rows = with_quality(measured_lines(read_jsonl(spark, str(folder)))).where("valid").collect()
     assert len(rows) == 62 and all(r.quality > 0 for r in rows)
+
+
+def test_a_line_is_parsed_once(spark):
+    """No filter carries the parser, or the words of a line, to a second place."""
+    lines = parse_lines(spark.createDataFrame([(json.dumps(sample()),)], "raw STRING"))
+    plan = curated_stream(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

@@ -447,19 +447,39 @@ def smallest_labels(edges: DataFrame) -> DataFrame:
         if now == state:
             return labels
         state = now
-        reach = both.union(labels.selectExpr("node", "label")).union(labels.selectExpr("node", "node"))
+        reach = both.union(labels.selectExpr("node", "label"))
         of = labels.selectExpr("node AS b", "label")
         labels = keep(
-            reach.join(of, "b").groupBy("a").agg(F.min("label").alias("label"))
-            .selectExpr("a AS node", "label"), "labels",
+            reach.join(of, "b").selectExpr("a AS node", "label").union(labels)
+            .groupBy("node").agg(F.min("label").alias("label")), "labels",
         )
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (as of ``smallest_labels``) after more ``links``: only the components that these
+    connect are worked on, each as one node that goes by its label."""
+    ends = (
+        links.join(labels.selectExpr("node AS a", "label AS of_a"), "a", "left")
+        .join(labels.selectExpr("node AS b", "label AS of_b"), "b", "left")
+        .selectExpr("coalesce(of_a, a) AS a", "coalesce(of_b, b) AS b")
+    )
+    merged = smallest_labels(ends)
+    new = merged.join(labels.select("node"), "node", "left_anti")
+    return keep(
+        labels.join(merged.selectExpr("node AS label", "label AS now"), "label", "left")
+        .selectExpr("node", "coalesce(now, label) AS label").union(new), "labels",
+    )
+
+
 def with_labels(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``groups`` with the component of each node; a node without a link is its own."""
+    """``groups`` with the component of each node; a node without a link is its own. Written, as
+    each step reads it several times."""
     if labels is None:
         return groups.withColumn("label", F.col("node"))
-    return groups.join(labels, "node", "left").withColumn("label", F.expr("coalesce(label, node)"))
+    return keep(
+        groups.join(labels, "node", "left").withColumn("label", F.expr("coalesce(label, node)")),
+        "groups",
+    )
 
 
 def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -505,7 +525,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         nonlocal links, labels
         if not found.isEmpty():
             links = found if links is None else links.union(found)
-            labels = keep(smallest_labels(links), "labels")
+            labels = smallest_labels(found) if labels is None else joined_labels(labels, found)
         return labels
 
     current = with_labels(groups, None)

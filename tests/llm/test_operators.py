@@ -403,6 +403,31 @@ def test_block_links_connect_what_all_pairs_connect(spark, monkeypatch):
     assert parts(found) == parts(pairs | found) and found <= pairs and len(parts(found)) > 3
 
 
+def test_labels_joined_by_more_links(spark):
+    """Later links give the components that all links give at once."""
+    rng = random.Random(8)
+    for n in (20, 60):
+        links = [tuple(sorted(f"{rng.randrange(90):02d}".encode() for _ in range(2))) for _ in range(n)]
+        first, more = (spark.createDataFrame(x, "a BINARY, b BINARY") for x in (links[::2], links[1::2]))
+        wanted = near_dup.smallest_labels(first.union(more))
+        found = near_dup.joined_labels(near_dup.smallest_labels(first), more)
+        assert {(bytes(r.node), bytes(r.label)) for r in found.collect()} == {
+            (bytes(r.node), bytes(r.label)) for r in wanted.collect()}
+        assert found.count() == wanted.count()
+
+
+def test_components_are_not_worked_out_again(spark, monkeypatch):
+    """A step that adds links works on these, not on the links of all steps before it."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    calls, labels = [], near_dup.smallest_labels
+    monkeypatch.setattr(near_dup, "smallest_labels", lambda e: (
+        calls.append({(bytes(r.a), bytes(r.b)) for r in e.collect()}), labels(e))[1])
+    rng = random.Random(3)
+    texts = chained(rng, 60, 330, 24, "w") + chained(rng, 40, 200, 10, "z") + strangers(50)
+    near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    assert len(calls) > 2 and calls[0] and not any(calls[0] <= c for c in calls[1:])
+
+
 def test_keep_one_of_repeated_rows(spark):
     one, two = (" ".join(f"w{i}" for i in range(k, k + 90)) for k in (0, 1))
     rows = [(5, one), (5, one), (5, two), (6, one), (7, "other"), (7, "words"), (8, None), (8, None), (9, "other x"), (9, "other x")]

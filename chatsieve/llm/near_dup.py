@@ -26,12 +26,11 @@ This joins most copies of a large bucket. What is left is done without a loss, i
   matrices. Only members of the most frequent component are not compared with one another.
 
 So any two texts that meet in a bucket and reach the threshold get one class, whatever the
-size of their bucket; only the samples' own chance stays (a pair of a bucket or group that is compared by
-its samples first is missed with chance 1 in 19,000).
+size of their bucket; only the samples' own chance to meet in none stays.
 
-A pair is looked into if the 30 samples leave a chance that it reaches the threshold, and is linked if its
-weighted Jaccard similarity, or the plain one of its shingles, is 0.8 or more; both are worked out from the
-texts. Links make components (transitive), and later steps compare only nodes of different components.
+A pair is linked if its weighted Jaccard similarity, or the plain one of its shingles, is 0.8 or more; both
+are worked out from the texts. Only pairs whose sizes rule out both are not looked into: the smaller
+text has less than 0.8 of the weight, and of the number of shingles, of the larger. Links make components (transitive), and later steps compare only nodes of different components.
 
 The class of a document is the least ``doc_id`` of its component.
 
@@ -64,9 +63,6 @@ SMALL = 32
 BLOCK_NODES, BLOCK_BYTES = 256, 4_000_000
 # Columns of the matrices of two blocks at a time.
 COLUMNS = 2048
-# Pairs that agree in fewer of the 30 samples are not looked into: at a similarity of 0.8
-# the chance is 1 in 19,000, at 0.7 1 in 120.
-MIN_AGREED = 15
 # Nodes whose keys are broadcast to fetch their texts; with more they are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 # Pairs whose texts are taken from a batch at a time.
@@ -161,7 +157,8 @@ def signatures(
     idf: np.ndarray, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     """``node`` (16 bytes that stand for the word list, NULL without words), ``bands`` (one
-    key per band) and ``drawn`` (two bytes of each sample), beside ``doc_id`` and ``th``."""
+    key per band), ``heft`` (weight of all shingles) and ``kinds`` (number of distinct ones), beside
+    ``doc_id`` and ``th``."""
     for batch in batches:
         done = 0
         for _, coded in chunks(batch.column("text")):
@@ -169,11 +166,10 @@ def signatures(
             h, doc, n = shingles(words)
             some = np.flatnonzero(words.count)
             keys = np.zeros((len(coded), BANDS), _U)
-            short = np.zeros((len(coded), BANDS * ROWS), np.uint16)
+            weight = n * idf[bucket(h)].astype(np.float64)
             if len(h):
                 first = np.searchsorted(doc, some)
-                drawn = samples(h, n * idf[bucket(h)], first)
-                short[some] = drawn.astype(np.uint16)
+                drawn = samples(h, weight, first)
                 for b in range(BANDS):
                     key = np.full(len(some), b, _U)
                     for r in range(ROWS):
@@ -192,9 +188,10 @@ def signatures(
                     batch.column("th").slice(done, len(coded)),
                     pa.array(node, pa.binary()),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array([row.tobytes() for row in short], pa.binary()),
+                    pa.array(np.bincount(doc, weight, len(coded)).astype(np.float64)),
+                    pa.array(np.bincount(doc, minlength=len(coded)).astype(np.int64)),
                 ],
-                ["doc_id", "th", "node", "bands", "drawn"],
+                ["doc_id", "th", "node", "bands", "heft", "kinds"],
             )
             done += len(coded)
 
@@ -240,19 +237,6 @@ def similarity(
         )
 
 
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs ``a, b`` whose samples ``da`` and ``db`` agree often enough."""
-    for batch in batches:
-        left, right = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-            for c in ("da", "db")
-        )
-        good = pa.array((left == right).sum(1) >= MIN_AGREED)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"]
-        )
-
-
 def measured(groups: DataFrame) -> DataFrame:
     """Per group ``g``: its size ``n``, whether it is ``mixed`` (has two labels or more), its most
     frequent label ``lead`` and ``others``, the number of nodes with another."""
@@ -289,13 +273,15 @@ def candidates(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return whole.union(star).distinct()
 
 
-def linked(pairs: DataFrame, drawn: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Those of ``pairs`` that are near-duplicates; texts are fetched only for pairs whose
-    samples agree."""
+def linked(pairs: DataFrame, extents: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Those of ``pairs`` that are near-duplicates; texts are fetched only for pairs whose sizes
+    leave it open."""
+    part = THRESHOLD - 1e-6
     likely = keep(
-        pairs.join(drawn.selectExpr("node AS a", "drawn AS da"), "a")
-        .join(drawn.selectExpr("node AS b", "drawn AS db"), "b")
-        .mapInArrow(agreeing, "a BINARY, b BINARY"), "likely",
+        pairs.join(extents.selectExpr("node AS a", "heft AS wa", "kinds AS na"), "a")
+        .join(extents.selectExpr("node AS b", "heft AS wb", "kinds AS nb"), "b")
+        .where(f"least(wa, wb) >= {part} * greatest(wa, wb) OR least(na, nb) >= {part} * greatest(na, nb)")
+        .select("a", "b"), "likely",
     )
     return keep(
         likely.join(texts.selectExpr("node AS a", "text AS ta"), "a")
@@ -492,14 +478,14 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         docs.mapInArrow(
             partial(signatures, idf),
             f"doc_id {dict(docs.dtypes)['doc_id']}, th LONG, node BINARY, bands ARRAY<LONG>,"
-            " drawn BINARY",
+            " heft DOUBLE, kinds LONG",
         ),
         "signed",
     )
     nodes = keep(
         signed.where("node IS NOT NULL").groupBy("node").agg(
-            F.expr("any_value(bands)").alias("bands"), F.expr("any_value(drawn)").alias("drawn"),
-            F.expr("min(struct(doc_id, th))").alias("at"),
+            F.expr("any_value(bands)").alias("bands"), F.expr("any_value(heft)").alias("heft"),
+            F.expr("any_value(kinds)").alias("kinds"), F.expr("min(struct(doc_id, th))").alias("at"),
         ), "nodes",
     )
     # A key already depends on its band.
@@ -510,10 +496,10 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = keep(
         met.join(weights, "node").selectExpr("g", "node", "weight", "array(g) AS keys"), "buckets"
     )
-    drawn = keep(nodes.join(weights, "node", "left_semi").select("node", "drawn", "at"), "drawn")
+    extents = keep(nodes.join(weights, "node", "left_semi").select("node", "heft", "kinds", "at"), "extents")
     # Texts of nodes that share a bucket, each once.
     wanted = size_checked(
-        drawn.selectExpr("node", "at.doc_id AS doc_id", "at.th AS th"), MAX_BROADCAST
+        extents.selectExpr("node", "at.doc_id AS doc_id", "at.th AS th"), MAX_BROADCAST
     )
     texts = keep(
         docs.join(wanted, same_key(docs, wanted))
@@ -531,7 +517,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     current = with_labels(groups, None)
     sizes = keep(measured(current), "sizes")
     pairs = keep(candidates(current, sizes), "pairs")
-    current = with_labels(groups, linked_by(linked(pairs, drawn, texts, idf)))
+    current = with_labels(groups, linked_by(linked(pairs, extents, texts, idf)))
     large = keep(measured(current).where(f"mixed AND n > {SMALL}"), "large")
     if not large.isEmpty():
         hot = groups.join(large.select("g"), "g").select("node", "weight").distinct()
@@ -545,7 +531,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = keep(measured(current), "sizes")
         tested = pairs
         pairs = keep(candidates(current, sizes).join(tested, ["a", "b"], "left_anti"), "pairs")
-        current = with_labels(groups, linked_by(linked(pairs, drawn, texts, idf)))
+        current = with_labels(groups, linked_by(linked(pairs, extents, texts, idf)))
         large = keep(measured(current).where(f"mixed AND n > {SMALL}"), "large")
         if not large.isEmpty():
             linked_by(block_links(current, large, texts, idf))

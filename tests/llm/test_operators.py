@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chatsieve.llm import (
@@ -403,6 +404,34 @@ def test_block_links_connect_what_all_pairs_connect(spark, monkeypatch):
     assert parts(found) == parts(pairs | found) and found <= pairs and len(parts(found)) > 3
 
 
+def test_pairs_that_meet_are_compared_however_few_samples_agree(spark):
+    """A word said over and over takes most of the weight; the shingles are the same: plainly alike."""
+    texts = [" ".join([f"p{p}w{i}" for i in range(60)] + [f"r{p}"] * n) for p in range(60) for n in (20, 150)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "th": [0] * len(texts), "text": texts})
+    signed = pa.Table.from_batches(near_dup.signatures(near_dup.idf_table(docs), iter([batch])))
+    bands = [set(x) for x in signed.column("bands").to_pylist()]
+    meet = [i for i in range(0, len(texts), 2) if bands[i] & bands[i + 1]]
+    of = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    assert len(meet) > 10 and [i for i in meet if of[i] != of[i + 1]] == []
+
+
+def test_sizes_rule_out_only_what_cannot_be_alike(spark):
+    base = [f"w{i}" for i in range(104)]
+    texts = {"a": base, "b": base[:84], "c": base[:83], "d": base[:24] * 5}
+    extents = pa.Table.from_batches(near_dup.signatures(np.ones(near_dup.BUCKETS, np.float32), iter([
+        pa.RecordBatch.from_pydict({"doc_id": [0] * 4, "th": [0] * 4, "text": [" ".join(t) for t in texts.values()]})])))
+    sizes = list(zip((k.encode() for k in texts), extents.column("heft").to_pylist(), extents.column("kinds").to_pylist()))
+    assert [x[1:] for x in sizes] == [(100, 100), (80, 80), (79, 79), (116, 24)]
+    texts = spark.createDataFrame([(k.encode(), " ".join(t)) for k, t in texts.items()], "node BINARY, text STRING")
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"a", b"c"), (b"a", b"d")], "a BINARY, b BINARY")
+    links = near_dup.linked(
+        pairs, spark.createDataFrame(sizes, "node BINARY, heft DOUBLE, kinds LONG"), texts,
+        np.ones(near_dup.BUCKETS, np.float32))
+    assert [(bytes(r.a), bytes(r.b)) for r in links.collect()] == [(b"a", b"b")]
+
+
 def test_labels_joined_by_more_links(spark):
     """Later links give the components that all links give at once."""
     rng = random.Random(8)
